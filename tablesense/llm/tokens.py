@@ -12,6 +12,8 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +37,50 @@ _SPLIT_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _CACHED_WORDS, _CACHED_CHARS = 400_000, 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level vocabularies write each byte: itself, or from U+0100 on those without a glyph."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Ids of words, as bytes, by the library's model. It is emptied when full, so memory is bounded."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of what stands between blanks: words, numbers and signs."""
+
+    def __init__(self, words: _Words):
+        self.words = words
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join([self.words[w] for w in _PIECES.findall(chunk)])
+        if len(chunk) <= _CACHED_CHARS:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts with the ``tokenizers`` library, keeping the ids of words it has seen.
 
     A tokenizer that drops white space and splits by ``_SPLIT_RULE`` encodes each word by itself, so a text's ids are
-    its words' ids in a row. Words not seen yet go to the library together. Texts with characters beyond ``_UNSAFE``,
-    and all texts where the tokenizer's file has other rules, are encoded whole by the library. The cache is
-    emptied when full, so memory is bounded.
+    its words' ids in a row: texts are split here, and each new word goes to the model that the library loaded. Texts
+    with characters that ``_UNSAFE`` finds, and all texts where the tokenizer's file has other rules, are encoded whole
+    by the library.
     """
 
     def __init__(self, path: str):
@@ -50,60 +89,24 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         rules = json.loads(self.library.to_str())
         steps = [x.get("type") for x in (rules["normalizer"] or {}).get("normalizers", [])]
-        splits = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT_RULE]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {c: _PIECES.findall(c) for c in chunks}
-        new = list({w for ws in split.values() for w in ws if w not in self.words})
-        if len(self.words) + len(new) > _CACHED_WORDS:
-            self.words.clear()
-            new = list({w for ws in split.values() for w in ws})
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
-            for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.chunks) + len(split) > _CACHED_WORDS:
-            self.chunks.clear()
-        for c, ws in split.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        splits = [(x.get("type"), x.get("pattern", {}).get("Regex")) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        added = [x["content"] for x in rules["added_tokens"]]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and splits == [("Split", _SPLIT_RULE), ("ByteLevel", None)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.chunks = _Chunks(_Words(self.library.model))
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
         out: list[bytes] = []
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not self.by_word or _UNSAFE.search(text):
-                out.append(self._whole(text))
+            elif not self.by_word or _UNSAFE.search(text) or (self.added and self.added.search(text)):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
-                chunks = text.lower().split()
-                try:
-                    out.append(b"".join([self.chunks[c] for c in chunks]))
-                except KeyError:
-                    out.append(self._slow(chunks))
+                out.append(b"".join(map(self.chunks.__getitem__, text.lower().split())))
         return out
 
-    def _slow(self, chunks: list[str]) -> bytes:
-        parts = []
-        for lo in range(0, len(chunks), 50_000):
-            some = chunks[lo : lo + 50_000]
-            long = {c for c in some if len(c) > _CACHED_CHARS}
-            new = {c for c in some if c not in self.chunks} - long
-            if new:
-                self._learn(new)
-            known = self.chunks if not long else self.chunks | {c: self._whole(c) for c in long}
-            if any(c not in known for c in some):  # the cache was emptied meanwhile
-                self._learn({c for c in some if c not in known})
-                known = known | self.chunks
-            parts.append(b"".join([known[c] for c in some]))
-        return b"".join(parts)
-
 
 _encoders: dict[str, WordEncoder] = {}
 
