@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import decontamination, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
+from tablesense.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,6 +60,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate_substrings(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), weights=(1.0,) * 8, grown=(1.0,) * 9)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -71,6 +75,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _normalised_sql(text: str) -> str:
+    plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.SIGNS}', ' ', 'g')"
+    spelt = f"concat(' ', {plain}, ' ')"
+    for old, new in licenses.SPELLINGS:
+        spelt = f"replace({spelt}, ' {old} ', ' {new} ')"
+    return f"trim(regexp_replace({spelt}, ' +', ' ', 'g'))"
+
+
+def _licenses_sql() -> str:
+    quoted = [(name.replace("'", "''"), text.replace("'", "''")) for name, text in licenses.KNOWN]
+    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(quoted))
+    return f"""
+WITH known AS (
+  SELECT digest, min_by(license_id, k) AS license_id
+  FROM (SELECT k, license_id, sha256({_normalised_sql("text")}) AS digest FROM (VALUES {values}) v(k, license_id, text)) GROUP BY digest
+), d AS (SELECT doc_id, {_normalised_sql("text")} AS normal FROM documents)
+SELECT doc_id, CAST(length(normal) AS BIGINT) AS n_normal, sha256(normal) AS digest, license_id
+FROM d LEFT JOIN known ON known.digest = sha256(normal)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -79,11 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_substrings": op7_substrings,
+    "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": _licenses_sql(),
     "op6_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
