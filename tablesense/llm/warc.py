@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.llm.files import move, open_for_reading, open_for_writing
-from tablesense.llm.shared import new_folder, partitions
+from tablesense.llm.shared import new_folder, partitions, stage
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
@@ -69,6 +69,7 @@ def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = stage(groups, "equal-payloads")  # its size is known then: payloads stay where they are if it is small
     found = rows.join(groups, "digest", "left")
     revisit = F.col("first").isNotNull() & ~((F.col("first.tie") == F.col("tie")) & F.col("first.id").eqNullSafe(F.col("id")))
     return found.select("id", "url", "payload", F.col("first.id").alias("original"), revisit.alias("revisit"), "tie")
