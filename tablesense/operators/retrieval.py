@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tablesense.functions.text import bm25_idf, content_hash, cosine, index_tokens, tfidf_idf
 
 FIRST_STAGE, FINAL, RRF_K = 30, 6, 60
+#: Scores are rounded, so that equal texts tie whatever order their parts are summed in.
+DIGITS = 6
 
 
 class Encoder(Protocol):
@@ -64,7 +66,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     hits = own.join(df, "token").join(wanted, "token").join(lengths, id_col).crossJoin(F.broadcast(corpus))
     norm = 1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.col("avg_len")
     part = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return hits.groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+    return hits.groupBy(query_id, id_col).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def tfidf(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
@@ -83,7 +85,7 @@ def tfidf(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, que
     length = lambda rows, key: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{key}"))
     dots = w.select(id_col, "token", F.col("w").alias("a")).join(q.select(query_id, "token", F.col("w").alias("b")), "token").groupBy(query_id, id_col).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
     joined = dots.join(length(w, id_col), id_col).join(length(q, query_id), query_id)
-    return joined.select(query_id, id_col, F.coalesce(F.try_divide("dot", F.col(f"norm_{id_col}") * F.col(f"norm_{query_id}")), F.lit(0.0)).alias("score"))
+    return joined.select(query_id, id_col, F.round(F.coalesce(F.try_divide("dot", F.col(f"norm_{id_col}") * F.col(f"norm_{query_id}")), F.lit(0.0)), DIGITS).alias("score"))
 
 
 def dense(items: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str, query_vector: str) -> DataFrame:

@@ -121,6 +121,7 @@ class SqliteSource(DataSource):
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, parts: int = 4) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite_file").option("path", path).option("dbtable", table).option("numPartitions", parts).load()
 
