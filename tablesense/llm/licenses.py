@@ -28,6 +28,7 @@ SPELLINGS = (
     ("categorise", "categorize"),
     ("centre", "center"),
     ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("favourite", "favorite"),

@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     wanted = [known.where(F.col("y") == k).orderBy(mixed, id_col).limit(max(half, max_documents - sizes.get(1 - k, 0))) for k in (0, 1)]
     sample = wanted[0].union(wanted[1]).select(F.col(id_col).alias("__id"), "y")
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "y", docs[text_col].cast("string").alias("t"))
+    texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("t"))
+    rows = texts.join(F.broadcast(sample), F.col("__own") == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "y", "t")
 
     def encode(it):
         for b in it:
