@@ -61,7 +61,7 @@ def match_columns(spark, d):
     return A.match_columns(g, p)
 
 
-@query("""SELECT 4 AS matched, 4 AS gold_columns, 5 AS pred_columns, 1.0 AS recall, 0.9 AS score""")
+@query("""SELECT CAST(4 AS BIGINT) AS matched, CAST(4 AS BIGINT) AS gold_columns, CAST(5 AS BIGINT) AS pred_columns, CAST(1.0 AS DOUBLE) AS recall, CAST(0.9 AS DOUBLE) AS score""")
 def score_table(spark, d):
     return A.score_table(_gold(spark, d), _noisy(_gold(spark, d)))
 
@@ -96,18 +96,18 @@ def _samples(spark, d) -> DataFrame:
     return A.sample_signatures([base, base.select(F.lower("n_name").alias("b"), "n_nationkey"), n.select("n_name", "n_regionkey", "n_nationkey"), n.select(F.lit(1).alias("one"), F.lit(2).alias("two"))])
 
 
-@query("""SELECT * FROM (VALUES (0, 3), (1, 3), (2, 1), (3, 1), (4, 1)) t(nth, votes)""")
+@query("""SELECT nth, CAST(votes AS BIGINT) AS votes FROM (VALUES (0, 3), (1, 3), (2, 1), (3, 1), (4, 1)) t(nth, votes)""")
 def vote_columns(spark, d):
     votes = A.column_votes(_samples(spark, d)).agg(F.sort_array(F.collect_list("votes"), asc=False).alias("v"))
     return votes.select(F.posexplode("v").alias("nth", "votes"))
 
 
-@query("""SELECT 2 AS width""")
+@query("""SELECT CAST(2 AS BIGINT) AS width""")
 def vote_modal_width(spark, d):
     return A.modal_width(_samples(spark, d))
 
 
-@query("""SELECT 0 AS sample_id, 2 AS coverage, 0 AS extras""")
+@query("""SELECT 0 AS sample_id, CAST(2 AS BIGINT) AS coverage, CAST(0 AS BIGINT) AS extras""")
 def best_sample(spark, d):
     sigs = _samples(spark, d)
     return A.best_sample(sigs, A.vote_winners(sigs))
@@ -128,11 +128,11 @@ def _run(spark, d) -> DataFrame:
     return A.score_run(tasks, golds, preds)
 
 
-@query("""SELECT * FROM (VALUES ('task_1', CAST(NULL AS VARCHAR), 4, 5, 4, 0.9), ('task_2', NULL, 3, 2, 1, round(1 / 3.0 - 0.25, 6)), ('task_3', 'missing_prediction', 3, 0, 0, 0.0), ('task_4', 'missing_gold', 0, 3, 0, 0.0)) t(task_id, error, gold_columns, pred_columns, matched, score)""")
+@query("""SELECT task_id, error, CAST(gold_columns AS BIGINT) AS gold_columns, CAST(pred_columns AS BIGINT) AS pred_columns, CAST(matched AS BIGINT) AS matched, CAST(score AS DOUBLE) AS score FROM (VALUES ('task_1', CAST(NULL AS VARCHAR), 4, 5, 4, 0.9), ('task_2', NULL, 3, 2, 1, round(1 / 3.0 - 0.25, 6)), ('task_3', 'missing_prediction', 3, 0, 0, 0.0), ('task_4', 'missing_gold', 0, 3, 0, 0.0)) t(task_id, error, gold_columns, pred_columns, matched, score)""")
 def score_run(spark, d):
     return _run(spark, d)
 
 
-@query("""SELECT 4 AS tasks, 2 AS scored, round((0.9 + round(1 / 3.0 - 0.25, 6)) / 4, 6) AS mean_score, round((1 + 1 / 3.0) / 4, 6) AS mean_recall""")
+@query("""SELECT CAST(4 AS BIGINT) AS tasks, CAST(2 AS BIGINT) AS scored, round((0.9 + round(1 / 3.0 - 0.25, 6)) / 4, 6) AS mean_score, round((1 + 1 / 3.0) / 4, 6) AS mean_recall""")
 def score_run_summary(spark, d):
     return A.run_summary(_run(spark, d))

@@ -168,7 +168,7 @@ def cell_types(spark, d):
     return table(spark, d, "orders").select("o_orderkey", cell_dtype(text).alias("dtype"), value_label(text).alias("label"))
 
 
-@query("""SELECT 4 AS file_count, 3 AS kind_count, 1510 AS total_bytes, 10 AS document_bytes, 1500 AS table_bytes""")
+@query("""SELECT CAST(4 AS BIGINT) AS file_count, CAST(3 AS BIGINT) AS kind_count, CAST(1510 AS BIGINT) AS total_bytes, CAST(10 AS BIGINT) AS document_bytes, CAST(1500 AS BIGINT) AS table_bytes""")
 def size_totals(spark, d):
     files = spark.createDataFrame([("a.csv", "csv", 1000), ("b.csv", "csv", 200), ("c.db", "db", 300), ("k.md", "md", 10)], "path string, kind string, length long")
     return P.size_totals(files)
