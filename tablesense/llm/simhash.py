@@ -110,10 +110,10 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of least id. All columns stay as they are.
 
-    Rows that repeat the kept id within its group are one document; the first of them in the order of all their
-    columns' hash stays. Of a group of null ids only, one row stays.
+    Rows that repeat a kept id are one document, of which any one row stays; so are rows without an id.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__keep")).distinct()
+    first = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias("__keep")).agg((F.count("*") > 1).alias("__again"))
+    keep = stage(first, "kept")
     kept = docs.join(keep, F.col("__keep").eqNullSafe(docs[id_col]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    return kept if keep.where("__again").isEmpty() else kept.dropDuplicates([id_col])  # texts move once more only if ids repeat
