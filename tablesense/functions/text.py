@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablesense.functions.cells import strip
+
 #: Words that term indexes leave out.
 STOPWORDS = (
     "the a an of is are was were and or in on for to by with what which who how list "
@@ -76,7 +78,7 @@ def last_match(c: Column, pattern: str, group: int = 1) -> Column:
 def fenced_code(c: Column) -> Column:
     """What is inside the first code fence; all of a text without one."""
     inner = F.regexp_extract(c, r"(?is)```(?:[a-z]*)\s*(.*?)```", 1)
-    return F.when(inner == "", F.trim(c)).otherwise(F.trim(inner))
+    return strip(F.when(inner == "", c).otherwise(inner))
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
