@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,4 +20,15 @@ def session(app: str = "tablesense", master: str | None = None, **settings: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=SETTINGS | settings).getOrCreate()
+    return shipped(builder.config(map=SETTINGS | settings).getOrCreate())
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers find this package where it lies, whatever folder they were started in. On a cluster
+    without a common file system the package goes along with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
