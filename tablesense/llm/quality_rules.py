@@ -75,10 +75,16 @@ def stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     return rows.mapInArrow(batches, f"id {kind}, lang string, source string, {', '.join(f'{c} long' for c in STATS)}")
 
 
+#: Words of average length and without faults that a text is measured with, so that a few words of a short one don't count
+#: as much as hundreds of a long one.
+PRIOR_WORDS, PRIOR_CHARS = 20, 100
+
+
 def _vector() -> list[Column]:
     """The transformed counts: scale of length, mean word length, and shares of the rest on a log scale."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.ln(words), F.ln((F.col("word_chars") + 1) / words), F.ln(1 + 100 * F.col("n_symbols") / words), F.ln(1 + 100 * F.col("n_dup_lines") / words), F.ln(1 + 100 * F.col("n_repeat_words") / words)]
+    more = words + PRIOR_WORDS
+    return [F.ln(words), F.ln((F.col("word_chars") + PRIOR_CHARS) / more), *[F.ln(1 + 100 * F.col(c) / more) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]]
 
 
 #: Least standard deviations of the vector, below which a difference is of no account: most documents have no symbols
