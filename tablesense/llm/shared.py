@@ -35,6 +35,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Deletes a staged table that no later plan reads."""
+    jvm = staged.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that nothing refers to any more; it notices those on JVM collection only."""
     import gc

@@ -12,10 +12,10 @@ Buckets are refined, and members that are alone dropped, in rounds:
    those of half the size, each found once and used again for all larger ones; of ``length`` bytes, of two that
    overlap. At each anchor that is left, two whole strings are judged (which settles the inside of repeated
    passages), and two shorter ones that bound which of the others can repeat.
-3. Strings that are still open, at the ends of passages, are judged one by one, together with all others in the
-   buckets of their anchors.
+3. Strings that are still open, at the ends of passages, are judged one by one, together with those in the buckets of
+   their anchors; of anchors with equal surroundings one stands for all.
 
-Identifiers are 64-bit hashes of content; a string counts as equal only within the same anchor q-gram's and its own.
+Identifiers are 64-bit hashes of content; listed strings are equal if theirs and 32 bits of their bucket's and place are.
 Rows hold identifiers and places, never text. Equal texts are kept once, in a table bucketed by content, so that each
 round joins to the texts without moving them. Hot buckets are counted with partial aggregates and joined as rows.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import free_shuffles, new_folder, partitions, stage
+from tablesense.llm.shared import discard, free_shuffles, new_folder, partitions, stage
 from tablesense.llm.tokens import slices
 
 Q = 64
@@ -137,8 +137,10 @@ def _anchor_rows(length: int):
 
 
 #: What is judged at an anchor: the whole strings that begin there (0) and whose anchor begins their last Q bytes (1); the
-#: halves that all strings share which begin within ``near`` bytes before it (2), and further before it (3).
-_FORWARD, _BACK, _NEAR, _FAR = range(4)
+#: halves that all strings share which begin within ``near`` bytes before it (2), and further before it (3); and all that
+#: strings with this anchor can cover (4). Of equal ones of the last kind one is marked (5) to stand for all.
+_FORWARD, _BACK, _NEAR, _FAR, _FULL, _FIRST = range(6)
+_KINDS = 8
 
 
 def _probe_places(at: np.ndarray, size: int, length: int):
@@ -148,6 +150,7 @@ def _probe_places(at: np.ndarray, size: int, length: int):
     yield _BACK, at - (length - Q) >= 0, at - (length - Q), length
     yield _NEAR, at + length - near <= size, at, length - near
     yield _FAR, at - near >= 0, at - near, near + Q
+    yield _FULL, (at - (length - Q) >= 0) & (at + length <= size), at - (length - Q), 2 * length - Q
 
 
 def _probe_rows(length: int):
@@ -156,13 +159,13 @@ def _probe_rows(length: int):
             out = []
             for k, data in _text_rows(batch, 1):
                 at = np.sort(_list(batch, "at", k))
-                ids = identifiers(data, 1 << (length - 1).bit_length() - 1)
+                ids = identifiers(data, 1 << (2 * length - Q - 1).bit_length() - 1)
                 for kind, has, start, size in _probe_places(at, len(data), length):
                     found = _of(ids, start[has], size).view(np.int64)
-                    out.append((np.full(len(found), k), np.full(len(found), kind, np.int8), start[has], at[has], found))
+                    out.append((np.full(len(found), k), _KINDS * at[has] + kind, found))
             if out:
-                which, kind, start, at, found = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(which)), pa.array(kind), pa.array(start), pa.array(at), pa.array(found)], names=["tkey", "kind", "start", "at", "ident"])
+                which, probe, found = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(which)), pa.array(probe), pa.array(found)], names=["tkey", "probe", "ident"])
 
     return run
 
@@ -182,10 +185,9 @@ def covered_bytes(size: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 def _state(batch: pa.RecordBatch, k: int, data: np.ndarray, length: int):
     """Of a text's judged anchors: places, their identifiers, bounds of open strings, and starts of strings found."""
-    seen = batch.column("seen")[k].values
-    kind, start, at = (seen.field(n).to_numpy(zero_copy_only=False) for n in ("kind", "start", "at"))
-    found = start[kind <= _BACK].astype(np.int64)
-    places = np.unique(at[kind >= _NEAR]).astype(np.int64)
+    at, kind = np.divmod(_list(batch, "seen", k), _KINDS)
+    found = np.concatenate([at[kind == _FORWARD], at[kind == _BACK] - (length - Q)])
+    places = np.setdiff1d(at[(kind == _NEAR) | (kind == _FAR)], at[kind == _FULL])  # one stands for those
     if not len(places):
         return places, None, None, None, found
     h = identifiers(data, Q)[Q]
@@ -195,45 +197,68 @@ def _state(batch: pa.RecordBatch, k: int, data: np.ndarray, length: int):
     return places, h[places], lo, hi, found
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from lo to hi, bounds by bounds, and which bounds each is of."""
+    n = np.maximum(hi - lo + 1, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+
+
+def _is_open(size: int, found: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Which strings have a byte that no string found covers."""
+    missing = np.concatenate([[0], np.cumsum(~covered_bytes(size, found, length))])
+    return missing[start + length] > missing[start]
+
+
 def _open_rows(length: int):
-    """Buckets of the anchors with strings that aren't inside what was found."""
+    """Buckets of the anchors with strings that aren't inside what was found, and how far before the anchor those begin."""
 
     def run(it):
         for batch in it:
-            out = [np.zeros(0, np.uint64)]
+            buckets, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for k, data in _text_rows(batch, 1):
                 places, ids, lo, hi, found = _state(batch, k, data, length)
                 if not len(places):
                     continue
-                missing = np.concatenate([[0], np.cumsum(~covered_bytes(len(data), found, length))])
-                # strings lo..hi cover the bytes from lo to hi + length: open if one of those isn't covered
-                some = hi >= lo
-                lo, hi = lo[some], hi[some]
-                out.append(ids[some][missing[hi + length] > missing[lo]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], names=["bucket"])
+                which, start = _spread(lo, hi)
+                some = _is_open(len(data), found, start, length)
+                buckets.append(ids[which[some]])
+                before.append(places[which[some]] - start[some])
+            pairs = np.unique(np.stack([np.concatenate(buckets).view(np.int64), np.concatenate(before)]), axis=1)
+            first = np.flatnonzero(np.diff(pairs[0], prepend=pairs[0][:1] ^ 1)) if pairs.size else np.zeros(0, np.int64)
+            last = np.append(first[1:], pairs.shape[1]) - 1 if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0][first]), pa.array(pairs[1][first]), pa.array(pairs[1][last])], names=["bucket", "least", "most"])
 
     return run
 
 
 def _string_rows(length: int):
-    """All possible strings of the anchors listed in ``open``, as bucket, place in it and identifier."""
+    """The strings of the anchors in open buckets that begin as far before them as open ones do: bucket and distance, the
+    string's identifier, and whether it is open itself."""
 
     def run(it):
         for batch in it:
             for k, data in _text_rows(batch, 1):
-                places, ids, lo, hi, _ = _state(batch, k, data, length)
+                places, ids, lo, hi, found = _state(batch, k, data, length)
                 if not len(places):
                     continue
-                take = np.isin(ids, _list(batch, "open", k).astype(np.int64).view(np.uint64)) & (hi >= lo)
-                if not take.any():
+                wanted = batch.column("open")[k].values
+                bucket = wanted.field("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
+                order = np.argsort(bucket)
+                at = np.minimum(np.searchsorted(bucket[order], ids), len(bucket) - 1)
+                row = order[at]
+                take = bucket[row] == ids
+                least, most = (wanted.field(n).to_numpy(zero_copy_only=False)[row] for n in ("least", "most"))
+                lo, hi = np.maximum(lo, places - most)[take], np.minimum(hi, places - least)[take]
+                which, start = _spread(lo, hi)
+                if not len(start):
                     continue
-                places, ids, lo, n = places[take], ids[take], lo[take], (hi - lo + 1)[take]
-                start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 whole = _of(identifiers(data, 1 << (length - 1).bit_length() - 1), start, length)
-                ident = _pair(whole, np.repeat(ids, n) + (np.repeat(places, n) - start).astype(np.uint64))
+                ident = _pair(ids[take][which], (places[take][which] - start).astype(np.uint64)).astype(np.uint32).view(np.int32)
+                opened = _is_open(len(data), found, start, length)
                 for j in range(0, len(start), 1 << 16):
                     m = len(start[j : j + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(np.full(m, k))), pa.array(start[j : j + m].astype(np.int64)), pa.array(whole[j : j + m].view(np.int64)), pa.array(ident[j : j + m].view(np.int64))], names=["tkey", "start", "whole", "ident"])
+                    yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(np.full(m, k))), pa.array(start[j : j + m].astype(np.int64)), pa.array(whole[j : j + m].view(np.int64)), pa.array(ident[j : j + m]), pa.array(opened[j : j + m])], names=["tkey", "start", "whole", "ident", "open"])
 
     return run
 
@@ -261,10 +286,9 @@ def _key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
-def _bucketed_texts(docs: DataFrame, text_col: str) -> DataFrame:
+def _bucketed_texts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """tkey, text (bytes), copies: each distinct text once, in a table bucketed by tkey in the shared folder."""
     spark = docs.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
     rows = docs.select(_key(text_col).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     once = rows.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     once.write.bucketBy(partitions(spark), "tkey").option("path", new_folder(spark, name)).option("compression", "zstd").saveAsTable(name)
@@ -273,7 +297,7 @@ def _bucketed_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
-    """One row per distinct text: tkey (MD5 of its UTF-8 bytes; null: of none), n_bytes, n_removed, n_spans (maximal
+    """A written table with one row per distinct text: tkey (MD5 of its UTF-8 bytes; null: of none), n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 and, if ``keep_text``, kept_text (bytes that removal leaves without their character are
     left out; null where nothing was removed).
 
@@ -282,46 +306,62 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
     """
     if length < 2 * Q:
         raise ValueError(f"strings of {2 * Q} bytes at least are found")
-    texts = _bucketed_texts(docs, text_col)
+    name = f"texts_{uuid.uuid4().hex}"
+    texts = _bucketed_texts(docs, text_col, name)
     plain = texts.select("tkey", "text")
     near = stage(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
     shared = near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     own = near.join(shared, "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
-    probes = stage(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, kind tinyint, start long, at long, ident long"), "probes")
+    probes = stage(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, probe long, ident long"), "probes")
     free_shuffles(docs.sparkSession)
 
-    whole = F.when(F.col("kind") <= _BACK, F.lit(0)).otherwise(F.col("kind"))  # equal strings are equal whatever their kind
-    text = F.xxhash64("tkey")
-    places = probes.select(whole.alias("space"), "ident", "tkey", "start", "kind", "at")
-    repeated = places.groupBy("space", "ident").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).where("a <> b or c <> d").select("space", "ident")
-    seen = stage(places.join(repeated, ["space", "ident"]).groupBy("tkey").agg(F.collect_list(F.struct("kind", "start", "at")).alias("seen")), "seen")
+    kind, text = F.col("probe") % _KINDS, F.xxhash64("tkey")
+    start = F.floor(F.col("probe") / _KINDS) - F.when(kind.isin(_BACK, _FULL), length - Q).otherwise(0)
+    space = F.when(kind <= _BACK, 0).otherwise(kind).cast("byte")  # equal strings are one, whatever their kind
+    member = F.xxhash64("tkey", "probe")
+    places = probes.select(space.alias("space"), "ident", "tkey", "probe")
+    ends = probes.select(space.alias("space"), "ident", text.alias("t"), start.alias("s"), member.alias("m"))
+    repeated = ends.groupBy("space", "ident").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("s").alias("c"), F.max("s").alias("d"), F.min("m").alias("first")).where("a <> b or c <> d").select("space", "ident", "first")
+    marked = places.join(repeated, ["space", "ident"]).withColumn("probe", F.col("probe") + F.when((kind == _FULL) & (member == F.col("first")), _FIRST - _FULL).otherwise(0))
+    seen = stage(marked.groupBy("tkey").agg(F.collect_list("probe").alias("seen")), "seen")
+    discard(probes)
     free_shuffles(docs.sparkSession)
 
     judged = plain.join(seen.hint("shuffle_hash"), "tkey")
-    open_buckets = stage(judged.mapInArrow(_open_rows(length), "bucket long").distinct(), "open-buckets")
-    listed = near.join(open_buckets, "bucket").groupBy("tkey").agg(F.collect_set("bucket").alias("open"))
+    open_ = judged.mapInArrow(_open_rows(length), "bucket long, least long, most long")
+    open_buckets = stage(open_.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-buckets")
+    listed = near.join(open_buckets, "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
     to_list = plain.join(seen.hint("shuffle_hash"), "tkey").join(listed.hint("shuffle_hash"), "tkey")
-    strings = stage(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, whole long, ident long"), "strings")
+    strings = stage(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, whole long, ident int, open boolean"), "strings")
+    discard(near)
     free_shuffles(docs.sparkSession)
-    twice = strings.groupBy("ident", "whole").agg(F.count("*").alias("n")).where("n > 1").select("ident", "whole")
-    found = strings.join(twice, ["ident", "whole"]).select("tkey", "start")
-    first = seen.select("tkey", F.explode(F.filter("seen", lambda s: s["kind"] <= _BACK)).alias("s")).select("tkey", F.col("s.start").alias("start"))
+    counted = strings.groupBy("ident", "whole").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+    twice = stage(counted.where("n > 1 and open").select("ident", "whole"), "repeated-strings")
+    free_shuffles(docs.sparkSession)
+    found = strings.where("open").join(twice, ["ident", "whole"]).select("tkey", "start")
+    probed = seen.select("tkey", F.explode("seen").alias("probe")).where(kind <= _BACK)
+    first = probed.select("tkey", start.alias("start"))
     starts = first.union(found).groupBy("tkey").agg(F.collect_list("start").alias("starts"))
     cut = texts.join(starts.hint("shuffle_hash"), "tkey", "left").select("tkey", "text", "copies", "starts")
-    return cut.mapInArrow(_cut_rows(length, keep_text), "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    cuts = stage(cut.mapInArrow(_cut_rows(length, keep_text), "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cuts")
+    for done in (texts, seen, open_buckets, strings, twice):
+        discard(done)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    free_shuffles(docs.sparkSession)
+    return cuts
 
 
 def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256. Null texts are empty. Rows with null or
     repeated ids are texts like all others; an empty table gives an empty result."""
-    cuts = stage(substring_cuts(docs, text_col, length).drop("kept_text"), "cuts")
+    cuts = substring_cuts(docs, text_col, length).drop("kept_text")
     return docs.select(F.col(id_col), _key(text_col).alias("tkey")).join(cuts, "tkey").drop("tkey")
 
 
 def remove_substrings(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", length: int = 200) -> DataFrame:
     """``docs`` with what is left of each text; ``length_col``, where there is one, is its new length in characters. Null
     texts stay null. All other columns stay as they are."""
-    cuts = stage(substring_cuts(docs, text_col, length, keep_text=True).where("n_removed > 0").select(F.col("tkey").alias("__tkey"), F.col("kept_text").alias("__kept")), "cuts")
+    cuts = substring_cuts(docs, text_col, length, keep_text=True).where("n_removed > 0").select(F.col("tkey").alias("__tkey"), F.col("kept_text").alias("__kept"))
     found = docs.join(cuts, _key(text_col) == F.col("__tkey"), "left")
     changed = F.col("__kept").isNotNull()
     out = {text_col: F.when(changed, F.col("__kept")).otherwise(docs[text_col])}
