@@ -17,7 +17,8 @@ Buckets are refined, and members that are alone dropped, in rounds:
 
 Identifiers are 64-bit hashes of content; listed strings are equal if theirs and 32 bits of their bucket's and place are.
 Rows hold identifiers and places, never text. Equal texts are kept once, in a table bucketed by content, so that each
-round joins to the texts without moving them. Hot buckets are counted with partial aggregates and joined as rows.
+round joins to the texts without moving them. Hot buckets are counted with partial aggregates and joined as rows
+to written tables of what was counted, so that a skewed join can be split.
 """
 
 from __future__ import annotations
@@ -310,8 +311,8 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
     texts = _bucketed_texts(docs, text_col, name)
     plain = texts.select("tkey", "text")
     near = stage(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
-    shared = near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    own = near.join(shared, "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
+    shared = stage(near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+    own = near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
     probes = stage(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, probe long, ident long"), "probes")
     free_shuffles(docs.sparkSession)
 
@@ -322,15 +323,18 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
     places = probes.select(space.alias("space"), "ident", "tkey", "probe")
     ends = probes.select(space.alias("space"), "ident", text.alias("t"), start.alias("s"), member.alias("m"))
     repeated = ends.groupBy("space", "ident").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("s").alias("c"), F.max("s").alias("d"), F.min("m").alias("first")).where("a <> b or c <> d").select("space", "ident", "first")
-    marked = places.join(repeated, ["space", "ident"]).withColumn("probe", F.col("probe") + F.when((kind == _FULL) & (member == F.col("first")), _FIRST - _FULL).otherwise(0))
+    repeated = stage(repeated, "repeated-probes")
+    marked = places.join(repeated.hint("shuffle_hash"), ["space", "ident"]).withColumn("probe", F.col("probe") + F.when((kind == _FULL) & (member == F.col("first")), _FIRST - _FULL).otherwise(0))
     seen = stage(marked.groupBy("tkey").agg(F.collect_list("probe").alias("seen")), "seen")
     discard(probes)
+    discard(repeated)
+    discard(shared)
     free_shuffles(docs.sparkSession)
 
     judged = plain.join(seen.hint("shuffle_hash"), "tkey")
     open_ = judged.mapInArrow(_open_rows(length), "bucket long, least long, most long")
     open_buckets = stage(open_.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-buckets")
-    listed = near.join(open_buckets, "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
+    listed = near.join(open_buckets.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
     to_list = plain.join(seen.hint("shuffle_hash"), "tkey").join(listed.hint("shuffle_hash"), "tkey")
     strings = stage(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, whole long, ident int, open boolean"), "strings")
     discard(near)
@@ -338,7 +342,7 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
     counted = strings.groupBy("ident", "whole").agg(F.count("*").alias("n"), F.max("open").alias("open"))
     twice = stage(counted.where("n > 1 and open").select("ident", "whole"), "repeated-strings")
     free_shuffles(docs.sparkSession)
-    found = strings.where("open").join(twice, ["ident", "whole"]).select("tkey", "start")
+    found = strings.where("open").join(twice.hint("shuffle_hash"), ["ident", "whole"]).select("tkey", "start")
     probed = seen.select("tkey", F.explode("seen").alias("probe")).where(kind <= _BACK)
     first = probed.select("tkey", start.alias("start"))
     starts = first.union(found).groupBy("tkey").agg(F.collect_list("start").alias("starts"))
