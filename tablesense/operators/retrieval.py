@@ -10,6 +10,9 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,58 @@ def top_k(scores: DataFrame, query_id: str, id_col: str, k: int = FIRST_STAGE) -
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Rows of a block; what is held at once is a pair of blocks.
+_ITEMS, _QUERIES = 1024, 512
+
+
+def _blocks(rows: DataFrame, id_col: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Blocks of up to ``size`` rows: their ids, the width and, as bytes of doubles, their vectors at length 1 and padded with zeros."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def pack(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                vectors = [np.array([v or 0.0 for v in x or ()], dtype=np.float64) for x in batch.column(1).to_pylist()]
+                matrix = np.zeros((len(vectors), max(map(len, vectors))))
+                for row, v in zip(matrix, vectors, strict=True):
+                    row[: len(v)] = v
+                norms = np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+                unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms != 0)
+                ids = pa.ListArray.from_arrays([0, batch.num_rows], pa.concat_arrays([batch.column(0)]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.shape[1]]), pa.array([unit.tobytes()])], names=[f"{prefix}_ids", f"{prefix}_width", f"{prefix}_unit"])
+
+    return rows.select(id_col, F.col(vector).cast("array<double>")).mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_width long, {prefix}_unit binary")
+
+
+def nearest(items: DataFrame, queries: DataFrame, id_col: str, vector: str, query_id: str, query_vector: str, k: int = FINAL) -> DataFrame:
+    """query_id, id_col, score (cosine, rounded), rank: the ``k`` best items of each of many queries; ties by id, of a plain type.
+
+    Every query is scored with every item, a block of queries with a block of items by one product of matrices; only a
+    block's best ``k`` leave it. Null and zero vectors score 0, and null elements count as 0."""
+    kinds = queries.schema[query_id].dataType.simpleString(), items.schema[id_col].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                wanted, ids = batch.column("q_ids")[n].values, batch.column("i_ids")[n].values
+                q, x = (np.frombuffer(batch.column(f"{p}_unit")[n].as_py()).reshape(len(of), -1) for p, of in (("q", wanted), ("i", ids)))
+                order, width = pc.array_sort_indices(ids, null_placement="at_start").to_numpy(), min(q.shape[1], x.shape[1])
+                cosines = q[:, :width] @ x[order, :width].T
+                whole = np.rint(np.where(np.isnan(cosines), 2.0, cosines) * 10**DIGITS).astype(np.int64)
+                keys = whole * len(ids) - np.arange(len(ids))  # all different: best score first, then least id
+                top = np.argpartition(-keys, min(k, len(ids)) - 1, axis=1)[:, :k]
+                scores = np.take_along_axis(whole, top, axis=1) / 10**DIGITS
+                scores = np.where(scores > 1.5, np.nan, scores)
+                taken = pa.array(np.repeat(np.arange(len(wanted)), top.shape[1]))
+                yield pa.RecordBatch.from_arrays([wanted.take(taken), ids.take(pa.array(order[top].ravel())), pa.array(scores.ravel())], names=["q", "i", "score"])
+
+    spread = _blocks(items, id_col, vector, _ITEMS, "i").repartition(items.sparkSession.sparkContext.defaultParallelism)
+    pairs = spread.crossJoin(_blocks(queries, query_id, query_vector, _QUERIES, "q"))
+    best = pairs.mapInArrow(score, f"q {kinds[0]}, i {kinds[1]}, score double")
+    return top_k(best.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "score"), query_id, id_col, k)
+
+
 def fuse(rankings: list[DataFrame], query_id: str, id_col: str, k: int = RRF_K) -> DataFrame:
     """query_id, id_col, score: reciprocal ranks, summed over the rankings (columns query_id, id_col, rank)."""
     all_ = reduce(DataFrame.unionByName, [r.select(query_id, id_col, "rank") for r in rankings])

@@ -231,9 +231,8 @@ WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_i
 SELECT query_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 6""")
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = R.dense(e, q, "vec_id", "embedding", "query_id", "q").withColumn("score", F.round("score", 6))
-    return R.top_k(s, "query_id", "vec_id", R.FINAL).select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.nearest(e, q, "vec_id", "embedding", "query_id", "q").select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _RRF = f"""WITH {_BM25}, {_TFIDF}, u AS (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 30 UNION ALL SELECT item_id, doc_id, rank FROM tfr WHERE rank <= 30),
