@@ -99,9 +99,9 @@ def rate_per_minute(done: int, seconds: float) -> float:
     return done / seconds * 60 if done and seconds > 0 else 0.0
 
 
-def first_success(samples: DataFrame, order: str, ok: str) -> DataFrame:
-    """The first sample that succeeded."""
-    return samples.where(F.col(ok)).agg(F.min_by(F.struct(*samples.columns), order).alias("s")).where("s is not null").select("s.*")
+def first_success(samples: DataFrame, order: str, ok: str, by: Sequence[str] = ()) -> DataFrame:
+    """The first sample that succeeded, of all or of each group of equal ``by``."""
+    return samples.where(F.col(ok)).groupBy(*by).agg(F.min_by(F.struct(*samples.columns), order).alias("s")).where("s is not null").select("s.*")
 
 
 def repaired_json(text: str | None) -> str | None:

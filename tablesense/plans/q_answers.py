@@ -26,7 +26,7 @@ def query(sql: str):
 
 
 def _gold(spark, d) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 def _noisy(gold: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def counter_summary(spark, d):
 
 @query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND conv_id = 0 GROUP BY 1""")
 def first_success(spark, d):
-    c = table(spark, d, "conversations").where("conv_id = 0").select("conv_id", "turn", (F.col("role") == "assistant").alias("ok"))
-    return X.first_success(c, "turn", "ok").select("conv_id", "turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("ok"))
+    return X.first_success(c, "turn", "ok", ["conv_id"]).select("conv_id", "turn")
 
 
 @query("""SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"note":"a\\nb"}' AS reply FROM events""")

@@ -62,7 +62,7 @@ def profile_dtype_vote(spark, d):
 
 @query("""SELECT user_id AS value, cnt, cardinality FROM (SELECT user_id, count(*) AS cnt FROM events WHERE user_id < 40 GROUP BY 1 ORDER BY cnt DESC, user_id LIMIT 5), (SELECT count(DISTINCT user_id) AS cardinality FROM events WHERE user_id < 40)""")
 def profile_database_column(spark, d):
-    return P.exact_profile(table(spark, d, "events").where("user_id < 40"), "user_id")
+    return P.exact_profile(table(spark, d, "events"), "event_type")
 
 
 @query("""SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2""")

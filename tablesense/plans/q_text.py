@@ -162,7 +162,7 @@ def legality_records(spark, d):
 def record_text_detector(spark, d):
     para = "Patient file number 12345 was recorded on 1991-03-04 with GOT level 35 U/L and creatinine value 1.2 mg/dL. "
     text = F.when(F.col("o_orderkey") % 2 == 0, F.repeat(F.lit(para), 6)).otherwise(F.repeat(F.lit("A quiet walk by the river. "), 40))
-    return table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", X.looks_like_records(text).alias("is_record"))
+    return table(spark, d, "orders").select("o_orderkey", X.looks_like_records(text).alias("is_record"))
 
 
 @query("""SELECT content_hash, copies, first_doc FROM (SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1)""")
