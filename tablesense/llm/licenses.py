@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesense.llm.license_digests import DIGESTS
+
 #: Spellings that licence matching guidelines hold to be equivalent, each to be read as the second.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
@@ -59,7 +61,7 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 
-#: Texts and one-line notices of public licences, by identifier.
+#: Texts and one-line notices of public licences, by identifier. More of them are in DIGESTS.
 KNOWN = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -102,12 +104,18 @@ def known_licenses(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN
     return rows.select("k", "license_id", canonical_digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min_by("license_id", "k").alias("license_id"))
 
 
+def shipped_licenses(spark: SparkSession) -> DataFrame:
+    """license_id, digest: those of KNOWN and of ``DIGESTS``, which has none of KNOWN's."""
+    more = spark.createDataFrame([(d, name) for name, digests in DIGESTS.items() for d in digests], "digest string, license_id string")
+    return known_licenses(spark).select("digest", "license_id").unionByName(more)
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id_col, n_normal (characters of the normalised text), digest, license_id (null: not known).
 
     Null, empty and blank texts, and texts of signs or copyright lines only, all have the digest of ''. Only digests are
     joined; which side is broadcast, if one is, Spark decides by its size. Repeated rows and null ids are looked up like all others.
     """
-    known = known_licenses(docs.sparkSession) if known is None else known
+    known = shipped_licenses(docs.sparkSession) if known is None else known
     rows = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("normal")).select(id_col, F.char_length("normal").cast("long").alias("n_normal"), F.sha2(F.col("normal").cast("binary"), 256).alias("digest"))
     return rows.join(known.select("digest", "license_id"), "digest", "left").select(id_col, "n_normal", "digest", "license_id")
