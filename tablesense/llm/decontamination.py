@@ -45,14 +45,12 @@ def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str)
     return each.groupBy("w").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), F.size("w").alias("n"), "w", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id_col, n_words, n_hit (words inside an occurrence of a window), items (sorted array
-    of the ids, as strings, of items with occurring windows).
+def _content(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
-    A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window. Null texts have
-    no words. Rows with null or repeated ids are judged like all others; an item without an id counts as ''; items of
-    equal text are all named. Empty tables give no rows or no hits.
-    """
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """What ``contamination`` returns, with the MD5 of the text as ``__content``."""
     windows = stage(item_windows(benchmark, window, item_col, item_text_col), "windows")
     width = F.least("n", F.lit(shingle))
     parts = stage(
@@ -62,7 +60,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     known = stage(parts.select("size", "shingle").distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles")
     sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # up to ``shingle`` numbers
 
-    content = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    content = _content(text_col)
     texts = docs.select(content.alias("content"), words(F.col(text_col)).alias("w"))
 
     def occurrences(size: int) -> DataFrame:
@@ -72,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     rows = docs.select(F.col(id_col).alias("id"), content.alias("content"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     nothing = F.array().cast("array<string>")
     if not sizes:
-        return rows.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
+        return rows.select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
     found = stage(reduce(DataFrame.union, map(occurrences, sizes)).distinct(), "occurrences")
 
     counts = found.groupBy("sid").agg(F.count("*").alias("often"))
@@ -86,11 +84,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     spans = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("begin", "n")), lambda s: F.sequence(s["begin"], s["begin"] + s["n"] - 1))))
     hits = verified.groupBy("content").agg(F.size(spans).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return rows.join(hits, "content", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", nothing).alias("items"))
+    return rows.join(hits, "content", "left").select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", nothing).alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id_col, n_words, n_hit (words inside an occurrence of a window), items (sorted array
+    of the ids, as strings, of items with occurring windows).
+
+    A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window. Null texts have
+    no words. Rows with null or repeated ids are judged like all others; an item without an id counts as ''; items of
+    equal text are all named. Empty tables give no rows or no hits.
+    """
+    return _judged(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text_col).drop("__content")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that have a word inside a window of an item. All columns stay as they are. Rows of a
-    repeated id go together; rows without an id go where any such row is contaminated."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col("__bad").eqNullSafe(docs[id_col]), "left_anti")
+    """``docs`` without the documents that have a word inside a window of an item. All columns stay as they are. Each row is
+    judged by its own text, whatever other rows of its id, or without an id, have."""
+    bad = _judged(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("__bad"), "__content").distinct()
+    return docs.join(bad, (F.col("__content") == _content(text_col)) & F.col("__bad").eqNullSafe(docs[id_col]), "left_anti")

@@ -110,10 +110,17 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of least id. All columns stay as they are.
 
-    Rows that repeat a kept id are one document, of which any one row stays; so are rows without an id.
+    Rows are told apart by id and text: rows without an id, or of one id with other texts, are documents of their own. A row
+    with an id goes before those without, then the least id, then the least MD5 of the text; of rows alike in both, the one
+    whose columns come first as JSON.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias("__keep")).agg((F.count("*") > 1).alias("__again"))
-    keep = stage(first, "kept")
-    kept = docs.join(keep, F.col("__keep").eqNullSafe(docs[id_col]), "left_semi")
-    return kept if keep.where("__again").isEmpty() else kept.dropDuplicates([id_col])  # texts move once more only if ids repeat
+    content = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    key = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), content.alias("content"))
+    found = near_duplicates(docs.select(key.alias("__key"), F.col(text_col)), "__key", text_col, **options)
+    first = found.where(F.col("component_id") == F.col("__key")).groupBy("__key").agg((F.count("*") > 1).alias("__again"))
+    keep = stage(first.select(F.col("__key.id").alias("__keep"), F.col("__key.content").alias("__content"), "__again"), "kept")
+    kept = docs.join(keep, (F.col("__content") == content) & F.col("__keep").eqNullSafe(docs[id_col]), "left_semi")
+    if keep.where("__again").isEmpty():
+        return kept
+    best = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__row")  # texts move once more only if rows are repeated
+    return kept.groupBy(F.col(id_col).alias("__id"), content.alias("__content")).agg(best).select("__row.*")
