@@ -6,8 +6,8 @@ next estimate. The start is deterministic, coordinatewise medians and median dev
 scaled to be consistent for normal data, and documents beyond a Mahalanobis distance are rejected.
 
 A step is a pass over narrow rows: distances go into a histogram per group, whose cumulative counts give the cutoff, and
-the rows within it are summed. No task ever holds a group; groups too small to be estimated are pooled by language and
-then over all. All rows count in every estimate.
+the rows within it are summed. No task ever holds a group. Groups too small to be estimated are judged by all rows of
+their language, or else by all rows of the table, however few; covariances of few rows are drawn to a wide one.
 """
 
 from __future__ import annotations
@@ -91,6 +91,8 @@ def _vector() -> list[Column]:
 #: and repeat nothing, and their spread of nearly nothing would make outliers of all others.
 FLOORS = (0.25, 0.05, 0.35, 0.5, 0.6)
 D = len(FLOORS)
+#: Standard deviations that so many rows more would have: the covariance of a few rows by themselves says little.
+SPREAD, PRIOR_ROWS = (1.0, 0.1, 0.7, 1.0, 1.2), 2 * (D + 1)
 _BINS, _PER_DOUBLING = 4096, 64
 
 
@@ -126,7 +128,8 @@ def _estimate(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, scale: float
     rows, cols = np.triu_indices(D)
     cov[:, rows, cols] = squares / n[:, None] - mu[:, rows] * mu[:, cols]
     cov = cov + np.triu(cov, 1).transpose(0, 2, 1)
-    cov = cov * scale
+    weight = (PRIOR_ROWS / (n + PRIOR_ROWS))[:, None, None]
+    cov = (1 - weight) * scale * cov + weight * np.diag(np.square(SPREAD))
     # a covariance with more spread added is still one; directions below the floor are lifted to about it
     cov[:, range(D), range(D)] = np.maximum(cov[:, range(D), range(D)], 0) + np.square(FLOORS)
     return mu, np.linalg.inv(cov)[:, rows, cols]
@@ -144,12 +147,15 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _pooled(rows: DataFrame, least: int) -> DataFrame:
-    """``rows`` with group: language and source, or language, or all, the first of them with ``least`` rows."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = counts.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("rest"))
-    named = counts.join(by_lang, "lang", "left").select("lang", "source", F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("rest") >= least, F.to_json(F.array("lang"))).otherwise("[]").alias("group"))
-    return rows.join(stage(named, "groups"), ["lang", "source"])
+def _groups(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of each language and source: the group that judges it, which is its own, or its language, or all, the first of them
+    with ``least`` rows, or else all; and the groups that it helps to estimate, which is every one of those three that judges any."""
+    counts = stage(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "counts")
+    by_lang = counts.groupBy("lang").agg(F.sum("n").alias("whole"))
+    own, lang, every = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    judging = stage(counts.join(by_lang, "lang").select("lang", "source", F.when(F.col("n") >= least, own).when(F.col("whole") >= least, lang).otherwise(every).alias("group")), "groups")
+    helping = counts.select("lang", "source", F.explode(F.array(own, lang, every)).alias("group")).join(judging.select("group").distinct(), "group", "left_semi")
+    return judging, stage(helping, "helping")
 
 
 def mcd_states(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
@@ -180,20 +186,20 @@ def mcd_states(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFram
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 5) -> DataFrame:
-    """One row per row of ``docs``: id_col, STATS, base_failed, distance (squared; null where no group is large enough), kept.
+    """One row per row of ``docs``: id_col, STATS, base_failed, distance (squared; null where base_failed), kept.
 
     base_failed: fewer than 10 words, or over 20 of 100 words inside repeated windows. Other rows are kept unless their
     squared distance is beyond the chi-squared quantile of ``1 - tail``. Rows that fail the base limits are in no
     estimate. Null texts have no words; null languages and sources are groups of their own, as '' is. Groups below
-    ``least`` rows are pooled; where even all are fewer, only the base limits hold. Rows with null or repeated ids are
+    ``least`` rows are judged by all rows of their language, or where these are fewer too by all of the table, of whatever size. Rows with null or repeated ids are
     judged like all others.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = stage(stats(docs, id_col, text_col, lang_col, source_col).withColumn("base_failed", failed), "stats")
     base = rows.where("not base_failed")
-    measured = stage(_pooled(base, least).select("group", "lang", "source", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
-    states = mcd_states(measured.select("group", *[f"x{i}" for i in range(D)]), share, steps).where(F.col("size") >= least)
-    named = measured.select("lang", "source", "group").distinct().join(states, "group")
+    judging, helping = _groups(base, least)
+    measured = stage(base.join(helping, ["lang", "source"]).select("group", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
+    named = judging.join(mcd_states(measured, share, steps), "group")
     vectors = rows.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
     far = F.when(~F.col("base_failed"), _distance())
     judged = vectors.join(stage(named, "named-states"), ["lang", "source"], "left").withColumn("distance", far)
