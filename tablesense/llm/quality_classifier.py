@@ -186,10 +186,10 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 6000, max_passages: int = 128) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 6000) -> Model:
     """Fits on rows that aren't held out: at most ``max_documents`` of them, as many of each label as there are up to half
-    (the bound of the sample; a label's rows weigh as much as all its rows do), those of least hash of their id. Of a
-    text with over ``max_passages`` passages, so many evenly spread ones are learned from; scoring takes all of them.
+    (the bound of the sample; a label's rows weigh as much as all its rows do), those of least hash of their id. All
+    passages of their texts are learned from.
 
     A document with several labels has their mean, rounded half up; null labels are none.
     """
@@ -207,10 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in slices(b, 2, _BLOCK):
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 x, bag = encode_passages(texts)
-                out = []
-                for k in range(len(texts)):
-                    own = x[bag == k]
-                    out.append(own[np.unique(np.linspace(0, len(own) - 1, min(len(own), max_passages)).astype(int))].tobytes())
+                out = [x[bag == k].tobytes() for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
     got = sorted(rows.mapInArrow(encode, "id string, y int, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
