@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Mapping
+import itertools
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.functions.names import close_names, name_ratio, plain_name
+from tablesense.plans.dialect import tokens
 from tablesense.plans.spec import Filter, QuerySpec, compile_spec
 
 #: What Spark's error conditions are called here.
@@ -136,30 +137,41 @@ def run_spec(spec: QuerySpec, sources: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-_READING = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(select|with|describe|show|values|from)\b", re.I)
+#: What a statement's parsed tree may hold: relations and operators of queries, and what describes them. Whatever isn't here
+#: isn't run, so commands that a later version of Spark adds are refused.
+READING_NODES = frozenset(
+    """Project Filter UnresolvedHaving Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join AsOfJoin LateralJoin Union Except Intersect Generate
+    Window Sample Expand Unpivot UnresolvedPivot Pivot WithWindowDefinition SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith CTERelationDef
+    CTERelationRef UnresolvedRelation UnresolvedInlineTable UnresolvedTableValuedFunction UnresolvedTVFAliases OneRowRelation OneRowRelation$ LocalRelation Range
+    RelationTimeTravel UnresolvedOrdinal DescribeRelation DescribeColumn DescribeQueryCommand ShowTables ShowColumns ShowNamespaces ShowViews UnresolvedTable
+    UnresolvedTableOrView UnresolvedView UnresolvedNamespace CurrentNamespace CurrentNamespace$""".split()
+)
+#: Functions that call any method of the JVM.
+CALLING_FUNCTIONS = frozenset({"reflect", "try_reflect", "java_method"})
+
+
+def _nodes(plan) -> Iterator:
+    """All nodes of a parsed plan, those of common table expressions and of subqueries in expressions too."""
+    yield plan
+    for part in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for k in range(part.size()):
+            node = part.apply(k)
+            if hasattr(node, "subqueries"):
+                yield from _nodes(node)
+            elif hasattr(node, "_2"):
+                yield from _nodes(node._2())
 
 
 def read_only_sql(spark: SparkSession, sql: str, limit: int | None = 200) -> tuple[DataFrame, DataFrame]:
-    """Rows of a reading statement, at most ``limit`` of them, and whether there are more. The parsed statement decides what is
-    reading, not its text alone."""
-    if not _READING.match(sql):
-        raise ValueError("only statements that read are run")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).getClass().getSimpleName()
-    if re.search("Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Set|Add|Replace|Load|Call", plan):
-        raise ValueError("only statements that read are run")
+    """Rows of a reading statement, at most ``limit`` of them, and whether there are more. The whole parsed tree decides: every
+    node of it must be of ``READING_NODES``, and no function may call the JVM. Text that doesn't parse raises Spark's error."""
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    odd = sorted({name for n in _nodes(tree) if (name := n.getClass().getSimpleName()) not in READING_NODES})
+    calls = {t.strip("`").lower() for t, then in itertools.pairwise([*(x for x in tokens(sql) if x.strip()), ""]) if then == "("} & CALLING_FUNCTIONS
+    if odd or calls:
+        raise ValueError(f"only statements that read are run, not {', '.join([*odd, *calls])}")
     df = spark.sql(sql)
     if limit is None:
         return df, df.sparkSession.createDataFrame([(False,)], "truncated boolean")
     some = df.limit(limit + 1)
     return df.limit(limit), some.agg((F.count("*") > limit).alias("truncated"))
-
-
-def dialect_sql(sql: str) -> str:
-    """A few habits of SQLite in Spark's words: quoted names, IFNULL and GLOB need none; integer division does."""
-    sql = re.sub(r"(\b\w+\b|\))\s*//\s*", r"\1 div ", sql)
-    sql = re.sub(r"strftime\(\s*'%Y'\s*,\s*([^()]+)\)", r"date_format(\1, 'yyyy')", sql, flags=re.I)
-    sql = re.sub(r"strftime\(\s*'%m'\s*,\s*([^()]+)\)", r"date_format(\1, 'MM')", sql, flags=re.I)
-    sql = re.sub(r"julianday\(([^()]+)\)\s*-\s*julianday\(([^()]+)\)", r"datediff(\1, \2)", sql, flags=re.I)
-    sql = re.sub(r"group_concat\(\s*([^(),]+)\s*\)", r"listagg(\1, ',')", sql, flags=re.I)
-    sql = re.sub(r"\bIIF\(", "if(", sql, flags=re.I)
-    return re.sub(r"\blike\b", "ilike", sql, flags=re.I)

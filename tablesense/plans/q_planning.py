@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablesense.plans import checks as C
 from tablesense.plans import routing as G
+from tablesense.plans.dialect import sqlite_sql
 from tablesense.plans.q_core import table
 from tablesense.plans.spec import Filter, Join, Measure, QuerySpec
 from tablesense.sources import files as S
@@ -133,11 +134,21 @@ def guarded_sql(spark, d):
     return C.read_only_sql(spark, f"SELECT n_regionkey, count(*) AS n FROM {view} GROUP BY n_regionkey")[0]
 
 
-@query("""SELECT n_nationkey // 2 AS half, CASE WHEN n_name ILIKE 'nation_1%' THEN 'yes' ELSE 'no' END AS one FROM nation""")
+@query("""
+SELECT o_orderkey // 7 AS weeks, o_totalprice / 7 AS seventh, 3 * o_custkey // 2 AS more, CASE WHEN o_orderpriority ILIKE '%urgent' THEN 'like / urgent' ELSE 'no' END AS urgent,
+  substr(o_orderstatus || o_orderkey, 2) AS code, strftime(o_orderdate, '%Y-%m') AS month, strftime(date_trunc('month', o_orderdate) + INTERVAL 40 DAY, '%Y-%m-%d') AS later,
+  CAST(NULL AS DOUBLE) AS nothing, CAST(0 AS BIGINT) AS bad, regexp_matches(o_orderpriority, '^[1-3]-.*$') AS soon, greatest(o_custkey, 500) AS most
+FROM orders""")
 def sqlite_dialect(spark, d):
-    view = f"nation_{uuid.uuid4().hex}"
-    table(spark, d, "nation").createOrReplaceTempView(view)
-    return spark.sql(C.dialect_sql(f"SELECT cast(n_nationkey // 2 as int) AS half, IIF(n_name LIKE 'nation_1%', 'yes', 'no') AS one FROM {view}"))
+    view = f"orders_{uuid.uuid4().hex}"
+    table(spark, d, "orders").createOrReplaceTempView(view)
+    said = f"""
+    SELECT CAST([o_orderkey] / 7 AS INTEGER) AS weeks, o_totalprice / 7 AS seventh, CAST(3 * o_custkey / 2 AS INTEGER) AS more, IIF(o_orderpriority LIKE '%URGENT', 'like / urgent', 'no') AS urgent,
+      substr("o_orderstatus" || o_orderkey, 2) AS code, strftime('%Y-%m', o_orderdate) AS month, date(o_orderdate, 'start of month', '+40 days') AS later,
+      o_totalprice / 0 AS nothing, CAST(o_orderstatus AS INT) AS bad, o_orderpriority GLOB '[1-3]-*' AS soon, max(o_custkey, 500) AS most
+    FROM {view} -- a comment with a / b like c
+    """
+    return spark.sql(sqlite_sql(said))
 
 
 def _folder(spark: SparkSession) -> str:

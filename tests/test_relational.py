@@ -102,17 +102,65 @@ def test_empty_results_are_tried_loosely(spark):
     assert got(C.run_spec(QuerySpec("t", filters=(Filter("flag", "=", "yes"), Filter("id", "=", 7))), have)) == [("Yes", "7.0")]
 
 
-def test_sql_is_read_only(spark):
-    rows, flag = C.read_only_sql(spark, "select id from range(10)", 3)
-    assert rows.count() == 3 and flag.first()["truncated"]
-    for bad in ("drop table x", "insert into x values (1)", "with a as (select 1) insert into x select * from a", "set a=b", "create table y as select 1"):
-        with pytest.raises(ValueError):
+WRITES = [
+    "drop table x",
+    "insert into x values (1)",
+    "with a as (select 1) insert into x select * from a",
+    "from (select 1 as i) insert into x select i",
+    "with a as (select 1) from a insert into x select * insert into y select *",
+    "set a=b",
+    "create table y as select 1",
+    "explain select 1",
+    "refresh table x",
+    "cache table x",
+    "delete from x",
+    "select reflect('java.lang.System', 'exit', '1')",
+    "select * from (select `java_method` ('java.lang.System', 'gc'))",
+    "use other",
+]
+
+
+@pytest.mark.parametrize("bad", WRITES)
+def test_sql_is_read_only(spark, bad):
+    with pytest.raises(ValueError):
+        C.read_only_sql(spark, bad)
+
+
+def test_a_write_behind_a_with_is_not_run(spark):
+    spark.sql("CREATE TABLE kept (i INT) USING parquet")
+    with pytest.raises(ValueError):
+        C.read_only_sql(spark, "WITH a AS (SELECT 1 AS i) INSERT INTO kept SELECT * FROM a")
+    assert spark.table("kept").count() == 0
+    spark.sql("DROP TABLE kept")
+
+
+@pytest.mark.parametrize(
+    "good",
+    [
+        "select id from range(10)",
+        "with a as (select id from range(10)) select * from a where id in (select max(id) from a) or exists (select 1)",
+        "-- a comment\n(select 'drop table x' as s) union all values ('y'), ('reflect(')",
+        "select x, count(*) over (partition by x) from (select explode(array(1, 2)) as x) where x between 1 and 2 group by x having x > 0 order by 1 limit 3",
+        "select * from values (1, 'a'), (2, 'b') t(k, v) pivot (max(v) for k in (1, 2))",
+        "show tables",
+        "from range(3) select id",
+    ],
+)
+def test_queries_of_all_kinds_are_run(spark, good):
+    rows, flag = C.read_only_sql(spark, good, 3)
+    assert rows.count() <= 3 and flag.count() == 1
+
+
+def test_statements_that_do_not_parse_and_many_at_once(spark):
+    from pyspark.errors import ParseException
+
+    for bad in ("select 1; drop table x", "selec 1", ""):
+        with pytest.raises(ParseException):
             C.read_only_sql(spark, bad)
-    assert C.read_only_sql(spark, "select 'drop table x' as s")[0].count() == 1
 
 
 def test_errors_become_issues(spark):
-    for sql, code in (("select a from range(1)", "no_such_column"), ("select * from nowhere", "no_such_table"), ("select from from", "sql_syntax")):
+    for sql, code in (("select a from range(1)", "no_such_column"), ("select * from nowhere", "no_such_table"), ("select a b c from range(1)", "sql_syntax")):
         with pytest.raises(Exception) as caught:  # noqa: PT011
             spark.sql(sql).schema  # noqa: B018
         assert C.issue_of(caught.value).code == code
