@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import stage
+from tablesense.llm.shared import discard, stage
 
 
 def _star(edges: DataFrame, keep) -> DataFrame:
@@ -15,7 +15,7 @@ def _star(edges: DataFrame, keep) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``edges``: columns a and b, of one orderable type. Returns node, root: root is the least node of its component.
+    """``edges``: columns a and b, of one orderable type. Returns a written table of node, root: root is the least node of its component.
 
     Only nodes with a link to another node are returned. Null ends and self-links are ignored. A hub's links are
     aggregated before they are shuffled, and each round ends in a written table.
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         own = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         least = own.groupBy("a").agg(F.min("b").alias("m"))
         small = own.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = stage(small.where("a <> b").distinct(), "links")
+        before, now = now, stage(small.where("a <> b").distinct(), "links")
+        discard(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
         if state[0] == state[2] and state == seen:
             break
@@ -36,4 +37,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    found = stage(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "components")
+    discard(now)
+    return found

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +30,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` as a written Parquet table: its lineage ends here, and a lost executor costs no more than a reread."""
-    path = new_folder(df.sparkSession, name)
+    path = folder or new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(staged: DataFrame) -> None:
-    """Deletes a staged table that no later plan reads."""
-    jvm = staged.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders that no later plan reads, in whatever file system they are."""
+    jvm = spark._jvm
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``stage`` whose tables go when the block ends, by failure too. What the block returns mustn't read them."""
+    folders: list[str] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        folders.append(new_folder(spark, name))
+        return stage(df, name, folders[-1])
+
+    try:
+        yield put
+    finally:
+        delete(spark, *folders)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for df in staged:
+        delete(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -5,7 +5,8 @@ that differs at one bit or none, for 3 segments with two differing bits each wou
 under each of its variants with one bit taken out; two segments that differ at one bit at most share a variant.
 An equality join of the 64 variants brings candidates together, and the bit count of the whole XOR verifies them.
 
-The index holds distinct fingerprints, so a group of copies is one entry. Links are reduced to a component per
+The index holds distinct fingerprints, so a group of copies is one entry, and buckets are reduced to stars around hubs
+before pairs are looked for. Links are reduced to a component per
 fingerprint by distributed star contraction, and rows get their component by joining on the fingerprint.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesense.llm.components import connected_components
-from tablesense.llm.shared import stage
+from tablesense.llm.shared import discard, partitions, stage, temporary
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _BLOCK = 1 << 16
@@ -77,14 +78,30 @@ def _meeting_bit(differing: Column) -> Column:
 
 
 def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """a, b (a < b): pairs of distinct ``fp`` within ``distance`` bits. ``distance`` may be up to 5, the bound of the variants."""
+    """a, b (a < b), a written table: links between distinct ``fp`` within ``distance`` bits (up to 5, the bound of the variants).
+
+    Not all pairs: those that a bucket's hub stands between are left out. The hub of a bucket is the member with the most
+    copies (column n, where there is one). Members within ``distance`` of it get a link to it, and pairs are looked for only where one
+    member isn't. So the components are those of all pairs, but a dense group of distinct fingerprints is a star.
+    """
     if not 0 <= distance <= 2 * len(SEGMENTS) - 1:
         raise ValueError(f"three segments with one-bit variants find up to {2 * len(SEGMENTS) - 1} differing bits")
-    index = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    x, y = index.alias("x"), index.alias("y")
-    differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(differing) <= distance) & (F.shiftrightunsigned("x.key", 24) == _meeting_bit(differing))
-    return x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    spark = prints.sparkSession
+    copies = F.col("n") if "n" in prints.columns else F.lit(1)
+    # every fingerprint becomes 64 rows, which the planner doesn't count: joins of the index are never left to its choice
+    spread = prints.select("fp", copies.alias("n")).repartition(partitions(spark), "fp")
+    index = spread.select("fp", "n", F.explode(_variants(F.col("fp"))).alias("key"))
+    with temporary(spark) as put:
+        hubs = put(index.groupBy("key").agg(F.max_by("fp", "n").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "hubs")
+        beside = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance
+        met = put(index.select("fp", "key").hint("merge").join(hubs.hint("merge"), "key").select("key", "fp", "hub", beside.alias("beside")), "met")
+        x, y = met.where("not beside").select("key", "fp").alias("x"), met.select("key", "fp", "beside").alias("y")
+        differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+        once = F.col("y.beside") | (F.col("x.fp") < F.col("y.fp"))
+        near = (F.col("x.key") == F.col("y.key")) & once & (F.bit_count(differing) <= distance) & (F.shiftrightunsigned("x.key", 24) == _meeting_bit(differing))
+        pairs = x.hint("merge").join(y.hint("merge"), near).select(F.col("x.fp").alias("p"), F.col("y.fp").alias("q"))
+        links = pairs.union(met.where("beside and fp <> hub").select("fp", "hub"))
+        return stage(links.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -92,14 +109,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and blank texts have fingerprint 0 and are linked like any other. A row with a null id belongs to its
     fingerprint's component but never names it; a component of null ids only has a null component_id. Repeated rows
-    come back as often as they came. An empty table gives an empty result.
+    come back as often as they came. An empty table gives an empty result. Texts may be of any length; other columns of
+    ``docs``, whatever their names, are not read.
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = stage(connected_components(near_links(distinct, distance)), "components")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = named.join(least, "root").select("fp", "component_id")
+    with temporary(docs.sparkSession) as put:
+        distinct = put(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+        links = near_links(distinct, distance)
+        roots = connected_components(links)
+        named = put(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+        discard(links, roots)
+        least = put(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        component = stage(named.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

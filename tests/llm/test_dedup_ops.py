@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablesense.llm import packing, simhash, substrings
 from tablesense.llm.components import connected_components
@@ -67,14 +68,58 @@ def test_variants_meet(fp, bits):
     assert variants(fp) & variants(other)
 
 
-def test_near_links_finds_each_pair_once(spark):
-    r = random.Random(5)
+def signed(prints):
+    return [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+
+
+def links_of(spark, prints):
+    return [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(spark.createDataFrame(signed(prints), "fp long")).collect()]
+
+
+def grouped(nodes, links):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_links_are_true_and_lose_no_component(spark, seed):
+    r = random.Random(seed)
     base = [r.getrandbits(64) for _ in range(5)]
-    prints = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 6))) for b in base for _ in range(30)})
-    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
-    got = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(spark.createDataFrame(signed, "fp long")).collect()]
-    want = {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 4}
-    assert len(got) == len(want) and {frozenset(p) for p in got} == want
+    prints = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 9))) for b in base for _ in range(60)})
+    got = links_of(spark, prints)
+    assert len(got) == len(set(got)) and all(0 < (a ^ b).bit_count() <= 4 for a, b in got)
+    all_pairs = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4]
+    assert grouped(prints, got) == grouped(prints, all_pairs)
+
+
+def test_a_dense_group_of_distinct_fingerprints_is_a_star(spark):
+    """Every two of 2,017 fingerprints within two bits of one are linked, which is two million pairs; the hubs' links are few."""
+    centre = random.Random(9).getrandbits(64)
+    prints = sorted({centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)})
+    got = links_of(spark, prints)
+    assert len(set(grouped(prints, got).values())) == 1 and len(got) < 50 * len(prints)
+
+
+def test_the_index_is_never_broadcast(spark):
+    """A row of 64 variants looks like one to the planner."""
+    prints = spark.range(30_000).select(F.xxhash64("id").alias("fp"))
+    plans = []
+    write = simhash.stage
+    simhash.stage, kept = lambda df, name, *folder: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name, *folder))[1], simhash.stage
+    try:
+        simhash.near_links(prints)
+    finally:
+        simhash.stage = kept
+    assert plans and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
 
 
 def test_keep_one_per_group_keeps_columns_and_least_ids(spark):
