@@ -1,41 +1,47 @@
-"""Exact substring deduplication on a sparse suffix array, by bucket-pointer refinement.
+"""Exact substring deduplication on a sparse suffix array, by refinement of q-gram buckets.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else. The suffixes that are
-sorted are those at anchors: in every string of ``length`` bytes, the leftmost of its q-grams with the least hash. Equal
+kept are those at anchors: in every string of ``length`` bytes, the leftmost of its q-grams with the least hash. Equal
 strings have their anchor at the same place, so a string can repeat only if its anchor's bucket, the suffixes that
 begin with the same q-gram, has two members.
 
 Buckets are refined, and members that are alone dropped, in rounds:
 
 1. q-gram buckets of all anchors; the rest of the corpus is done with here.
-2. Buckets refined by the bucket identifiers at later offsets. Identifiers of 2q, 4q ... bytes are made of the pairs of
-   those of half the size, each found once and used again for all larger ones; of ``length`` bytes, of two that
-   overlap. At each anchor that is left, two whole strings are judged (which settles the inside of repeated
-   passages), and two shorter ones that bound which of the others can repeat.
-3. Strings that are still open, at the ends of passages, are judged one by one, together with those in the buckets of
-   their anchors; of anchors with equal surroundings one stands for all.
-
-Identifiers are 64-bit hashes of content; listed strings are equal if theirs and 32 bits of their bucket's and place are.
+2. Buckets refined by identifiers of what stands at later and earlier offsets of each suffix: by all that strings with this
+   anchor can cover (which settles the inside of repeated passages), and by the two halves that bound which of its strings can
+   repeat. Of suffixes that agree in all of that, one stands for all from here on.
+3. What is left, strings with a byte that nothing found so far covers, is judged string by string, together with those of the
+   same distance in the same bucket. The bounds of the round before carry over.
+
+An identifier is the BLAKE2b digest of 128 bits of the string itself, so equal identifiers are equal strings to the same
+certainty as equal SHA-256 digests are equal texts; 64-bit hashes only say where anchors are and which are alone for certain. Numbers for buckets, as
+bucket-pointer refinement has them, would need every suffix of the repeated text as a row; the README says what that costs.
+
 Rows hold identifiers and places, never text. Equal texts are kept once, in a table bucketed by content, so that each
 round joins to the texts without moving them. Hot buckets are counted with partial aggregates and joined as rows
-to written tables of what was counted, so that a skewed join can be split.
+to written tables of what was counted, so that a skewed join can be split. Texts are worked through in pieces of bounded size.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import discard, free_shuffles, new_folder, partitions, stage
+from tablesense.llm.shared import delete, free_shuffles, new_folder, partitions, stage, temporary
 from tablesense.llm.tokens import slices
 
 Q = 64
 _BLOCK = 256 << 10
+#: So much of a text is hashed at a time.
+_PIECE = 2 << 20
 
 
 def _codes() -> np.ndarray:
@@ -55,19 +61,21 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def identifiers(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Identifiers of the strings of 1, 2, 4 ... ``most`` bytes that begin at each place."""
-    ids, size = {1: _CODES[data]}, 1
-    while size < most:
-        ids[2 * size] = _pair(ids[size][:-size], ids[size][size:])
-        size *= 2
-    return ids
+def grams(data: np.ndarray, size: int = Q) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes, a power of two, that begin at each place; of rows, if ``data`` has them."""
+    h, done = _CODES[data], 1
+    while done < size:
+        h = _pair(h[..., :-done], h[..., done:])
+        done *= 2
+    return h
 
 
-def _of(ids: dict[int, np.ndarray], at: np.ndarray, size: int) -> np.ndarray:
-    """Identifiers of ``size`` bytes at some places, by the two largest halves that cover them."""
-    half = 1 << (size - 1).bit_length() - 1
-    return _pair(ids[half][at], ids[half][at + size - half])
+def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``grams`` at some places only."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(data, Q)
+    return np.concatenate([grams(windows[at[k : k + 8192]])[:, 0] for k in range(0, len(at), 8192)])
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -80,37 +88,52 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of several texts, one after the other in ``data``, and the q-grams' identifiers there.
+    """Places of the anchors of several texts, one after the other in ``data``, and the q-grams' hashes there.
 
-    Where q-grams of a string tie, all of them are anchors; more than need be do no harm."""
-    width = length - Q + 1
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = identifiers(data, Q)[Q]
-    least = _slide(h, width, np.minimum)
-    inside = np.zeros(len(data) + 1, np.int32)
-    whole = ends - starts >= length
-    np.add.at(inside, starts[whole], 1)
-    np.add.at(inside, ends[whole] - length + 1, -1)
-    least = np.where(np.cumsum(inside[: len(least)]) > 0, least, 0)
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    at = np.flatnonzero(_slide(padded, width, np.maximum)[: len(h)] == h)
-    return at, h[at]
-
-
-def reach(h: np.ndarray, at: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start of the strings of a text of ``size`` bytes whose anchor is at each of ``at``; last < first: none."""
+    Where q-grams of a string tie, all of them are anchors; more than need be do no harm. Windows of a long text are looked
+    at in pieces that overlap by a string."""
     width = length - Q + 1
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo in range(0, max(0, len(data) - length + 1), _PIECE):
+        part = data[lo : lo + _PIECE + length - 1]
+        h = grams(part)
+        least = _slide(h, width, np.minimum)
+        inside = np.zeros(len(part) + 1, np.int32)
+        first, last = np.maximum(starts - lo, 0), np.minimum(ends - length + 1 - lo, len(part) - length + 1)
+        whole = last > first
+        np.add.at(inside, first[whole], 1)
+        np.add.at(inside, last[whole], -1)
+        least = np.where(np.cumsum(inside[: len(least)]) > 0, least, 0)
+        padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+        at = np.flatnonzero(_slide(padded, width, np.maximum)[: len(h)] == h)
+        found[0].append(at + lo)
+        found[1].append(h[at])
+    at, first = np.unique(np.concatenate(found[0]), return_index=True)
+    return at, np.concatenate(found[1])[first]
+
+
+def reach(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings of a text whose anchor is at each of ``at`` (ascending); last < first: none."""
+    width, size = length - Q + 1, len(data)
     lo, hi = np.maximum(0, at - width + 1), np.minimum(at, size - length)
-    padded = np.concatenate([np.full(width, np.iinfo(np.uint64).max), h, np.full(width, np.iinfo(np.uint64).max)])
     back = np.arange(1, width)
-    for k in range(0, len(at), 4096):
-        a = at[k : k + 4096]
-        own = h[a][:, None]
-        before = padded[a[:, None] + width - back] <= own  # the nearest tie or less to the left
-        lo[k : k + 4096] = np.maximum(lo[k : k + 4096], np.where(before.any(axis=1), a - back[before.argmax(axis=1)] + 1, 0))
-        after = padded[a[:, None] + width + back] < own
-        hi[k : k + 4096] = np.minimum(hi[k : k + 4096], np.where(after.any(axis=1), a + back[after.argmax(axis=1)] - width, size))
+    for begin in range(0, size, _PIECE):
+        own = slice(*np.searchsorted(at, [begin, begin + _PIECE]))
+        if own.start == own.stop:
+            continue
+        from_ = max(0, begin - width)
+        h = grams(data[from_ : begin + _PIECE + width + Q])
+        most = np.full(width, np.iinfo(np.uint64).max)
+        padded = np.concatenate([most, h, most])
+        for k in range(own.start, own.stop, 4096):
+            some = slice(k, min(k + 4096, own.stop))
+            a = at[some]
+            here = a - from_ + width
+            value = padded[here][:, None]
+            before = padded[here[:, None] - back] <= value  # the nearest tie or less to the left
+            lo[some] = np.maximum(lo[some], np.where(before.any(axis=1), a - back[before.argmax(axis=1)] + 1, 0))
+            after = padded[here[:, None] + back] < value
+            hi[some] = np.minimum(hi[some], np.where(after.any(axis=1), a + back[after.argmax(axis=1)] - width, size))
     return lo, hi
 
 
@@ -137,65 +160,106 @@ def _anchor_rows(length: int):
     return run
 
 
-#: What is judged at an anchor: the whole strings that begin there (0) and whose anchor begins their last Q bytes (1); the
-#: halves that all strings share which begin within ``near`` bytes before it (2), and further before it (3); and all that
-#: strings with this anchor can cover (4). Of equal ones of the last kind one is marked (5) to stand for all.
-_FORWARD, _BACK, _NEAR, _FAR, _FULL, _FIRST = range(6)
-_KINDS = 8
+def _digests(data: memoryview, starts: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Identifiers of the strings of ``size`` bytes that begin at each of ``starts``, as pairs of 64-bit integers. ``kind`` keeps
+    strings apart that aren't to be compared."""
+    blake, mark = hashlib.blake2b, bytes([kind])
+    out = b"".join([blake(data[s : s + size], digest_size=16, person=mark).digest() for s in starts.tolist()])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+#: What is judged at an anchor: the halves that all strings share which begin within ``near`` bytes before it (0), and further
+#: before it (1); all that strings with this anchor can cover (2). Of equal ones of the last kind one is marked (3) to stand for all.
+_NEAR, _FAR, _FULL, _FIRST = range(4)
+_KINDS = 4
 
 
 def _probe_places(at: np.ndarray, size: int, length: int):
     """For each kind: which anchors have it, where it starts, and its size."""
     near = (length - Q) // 2
-    yield _FORWARD, at + length <= size, at, length
-    yield _BACK, at - (length - Q) >= 0, at - (length - Q), length
     yield _NEAR, at + length - near <= size, at, length - near
     yield _FAR, at - near >= 0, at - near, near + Q
     yield _FULL, (at - (length - Q) >= 0) & (at + length <= size), at - (length - Q), 2 * length - Q
 
 
+def _batches(key: pa.Array, found: Iterator[tuple[int, list[np.ndarray]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of several texts, with each text's key, in batches of some 64,000."""
+    which, columns, n = [], [], 0
+
+    def out():
+        took = key.take(pa.array(np.concatenate(which)))
+        return pa.RecordBatch.from_arrays([took, *(pa.array(np.concatenate(c)) for c in zip(*columns))], names=["tkey", *names])
+
+    for k, values in found:
+        which.append(np.full(len(values[0]), k))
+        columns.append(values)
+        n += len(values[0])
+        if n >= 1 << 16:
+            yield out()
+            which, columns, n = [], [], 0
+    if n:
+        yield out()
+
+
 def _probe_rows(length: int):
+    def probes(batch):
+        for k, data in _text_rows(batch, 1):
+            at, view = np.sort(_list(batch, "at", k)), memoryview(data)
+            for kind, has, start, size in _probe_places(at, len(data), length):
+                for j in range(0, int(has.sum()), 1 << 16):
+                    some = slice(j, j + (1 << 16))
+                    ids = _digests(view, start[has][some], size, kind)
+                    yield k, [_KINDS * at[has][some] + kind, ids[:, 0].copy(), ids[:, 1].copy()]
+
     def run(it):
         for batch in it:
-            out = []
-            for k, data in _text_rows(batch, 1):
-                at = np.sort(_list(batch, "at", k))
-                ids = identifiers(data, 1 << (2 * length - Q - 1).bit_length() - 1)
-                for kind, has, start, size in _probe_places(at, len(data), length):
-                    found = _of(ids, start[has], size).view(np.int64)
-                    out.append((np.full(len(found), k), _KINDS * at[has] + kind, found))
-            if out:
-                which, probe, found = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(which)), pa.array(probe), pa.array(found)], names=["tkey", "probe", "ident"])
+            yield from _batches(batch.column("tkey"), probes(batch), ["probe", "x", "y"])
 
     return run
 
 
-def _possible(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, near: np.ndarray, far: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds narrowed to what the judged halves leave possible."""
-    hi_far, lo_near = np.minimum(hi, at - half), np.maximum(lo, at - half)
-    return np.where(far, lo, lo_near), np.where(near, hi, hi_far)
-
-
 def covered_bytes(size: int, starts: np.ndarray, length: int) -> np.ndarray:
     marks = np.zeros(size + 1, np.int32)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + length, -1)
-    return np.cumsum(marks[:-1]) > 0
+    return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
 
-def _state(batch: pa.RecordBatch, k: int, data: np.ndarray, length: int):
-    """Of a text's judged anchors: places, their identifiers, bounds of open strings, and starts of strings found."""
-    at, kind = np.divmod(_list(batch, "seen", k), _KINDS)
-    found = np.concatenate([at[kind == _FORWARD], at[kind == _BACK] - (length - Q)])
-    places = np.setdiff1d(at[(kind == _NEAR) | (kind == _FAR)], at[kind == _FULL])  # one stands for those
-    if not len(places):
-        return places, None, None, None, found
-    h = identifiers(data, Q)[Q]
-    lo, hi = reach(h, places, len(data), length)
-    near, far = np.isin(places, at[kind == _NEAR]), np.isin(places, at[kind == _FAR])
-    lo, hi = _possible(lo, hi, places, near, far, (length - Q) // 2)
-    return places, h[places], lo, hi, found
+def _found(seen: np.ndarray, length: int) -> np.ndarray:
+    """Starts of strings that the second round has found: two that cover all that an anchor's strings can."""
+    at, kind = np.divmod(seen, _KINDS)
+    full = at[kind >= _FULL]
+    return np.concatenate([full - (length - Q), full])
+
+
+class _Judged:
+    """A text after the second round: places of anchors that have halves which repeat and that no other stands for, and
+    how many bytes before each place of the text nothing found covers."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int, data: np.ndarray, length: int):
+        seen = _list(batch, "seen", k)
+        at, kind = np.divmod(seen, _KINDS)
+        self.data, self.length = data, length
+        self.near, self.far = at[kind == _NEAR], at[kind == _FAR]
+        self.places = np.setdiff1d(np.union1d(self.near, self.far), at[kind == _FULL])
+        missing = ~covered_bytes(len(data), _found(seen, length), length)
+        self.missing = np.concatenate([[0], np.cumsum(missing, dtype=np.int32)])
+
+    def in_doubt(self) -> np.ndarray:
+        """Places with a string that may have a byte which isn't covered."""
+        lo, hi = np.maximum(self.places - (self.length - Q), 0), np.minimum(self.places + self.length, len(self.data))
+        return self.places[self.missing[hi] > self.missing[lo]]
+
+    def bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the places' strings, as far as the halves that repeat leave them possible."""
+        lo, hi = reach(self.data, places, self.length)
+        half = (self.length - Q) // 2
+        lo = np.where(np.isin(places, self.far), lo, np.maximum(lo, places - half))
+        return lo, np.where(np.isin(places, self.near), hi, np.minimum(hi, places - half))
+
+    def is_open(self, start: np.ndarray) -> np.ndarray:
+        """Which strings have a byte that no string found covers."""
+        return self.missing[start + self.length] > self.missing[start]
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +269,6 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def _is_open(size: int, found: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Which strings have a byte that no string found covers."""
-    missing = np.concatenate([[0], np.cumsum(~covered_bytes(size, found, length))])
-    return missing[start + length] > missing[start]
-
-
 def _open_rows(length: int):
     """Buckets of the anchors with strings that aren't inside what was found, and how far before the anchor those begin."""
 
@@ -218,13 +276,14 @@ def _open_rows(length: int):
         for batch in it:
             buckets, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for k, data in _text_rows(batch, 1):
-                places, ids, lo, hi, found = _state(batch, k, data, length)
-                if not len(places):
-                    continue
-                which, start = _spread(lo, hi)
-                some = _is_open(len(data), found, start, length)
-                buckets.append(ids[which[some]])
-                before.append(places[which[some]] - start[some])
+                text = _Judged(batch, k, data, length)
+                doubt = text.in_doubt()
+                for j in range(0, len(doubt), 1 << 14):
+                    places = doubt[j : j + (1 << 14)]
+                    which, start = _spread(*text.bounds(places))
+                    some = text.is_open(start)
+                    buckets.append(grams_at(data, places)[which[some]])
+                    before.append(places[which[some]] - start[some])
             pairs = np.unique(np.stack([np.concatenate(buckets).view(np.int64), np.concatenate(before)]), axis=1)
             first = np.flatnonzero(np.diff(pairs[0], prepend=pairs[0][:1] ^ 1)) if pairs.size else np.zeros(0, np.int64)
             last = np.append(first[1:], pairs.shape[1]) - 1 if len(first) else first
@@ -234,32 +293,30 @@ def _open_rows(length: int):
 
 
 def _string_rows(length: int):
-    """The strings of the anchors in open buckets that begin as far before them as open ones do: bucket and distance, the
-    string's identifier, and whether it is open itself."""
+    """The strings of the anchors in open buckets that begin as far before them as open ones do: the string's identifier, and
+    whether it is open itself."""
+
+    def strings(batch):
+        for k, data in _text_rows(batch, 1):
+            text, wanted = _Judged(batch, k, data, length), batch.column("open")[k].values
+            bucket, least, most = (wanted.field(n).to_numpy(zero_copy_only=False) for n in ("bucket", "least", "most"))
+            order = np.argsort(bucket.view(np.uint64))
+            bucket, least, most = bucket.view(np.uint64)[order], least[order], most[order]
+            for j in range(0, len(text.places), 1 << 12):
+                places = text.places[j : j + (1 << 12)]
+                own = grams_at(data, places)
+                row = np.minimum(np.searchsorted(bucket, own), len(bucket) - 1)
+                take = bucket[row] == own
+                places, row = places[take], row[take]
+                lo, hi = text.bounds(places)
+                _, start = _spread(np.maximum(lo, places - most[row]), np.minimum(hi, places - least[row]))
+                if len(start):
+                    ids = _digests(memoryview(data), start, length, _KINDS)
+                    yield k, [start.astype(np.int64), ids[:, 0].copy(), ids[:, 1].copy(), text.is_open(start)]
 
     def run(it):
         for batch in it:
-            for k, data in _text_rows(batch, 1):
-                places, ids, lo, hi, found = _state(batch, k, data, length)
-                if not len(places):
-                    continue
-                wanted = batch.column("open")[k].values
-                bucket = wanted.field("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-                order = np.argsort(bucket)
-                at = np.minimum(np.searchsorted(bucket[order], ids), len(bucket) - 1)
-                row = order[at]
-                take = bucket[row] == ids
-                least, most = (wanted.field(n).to_numpy(zero_copy_only=False)[row] for n in ("least", "most"))
-                lo, hi = np.maximum(lo, places - most)[take], np.minimum(hi, places - least)[take]
-                which, start = _spread(lo, hi)
-                if not len(start):
-                    continue
-                whole = _of(identifiers(data, 1 << (length - 1).bit_length() - 1), start, length)
-                ident = _pair(ids[take][which], (places[take][which] - start).astype(np.uint64)).astype(np.uint32).view(np.int32)
-                opened = _is_open(len(data), found, start, length)
-                for j in range(0, len(start), 1 << 16):
-                    m = len(start[j : j + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([batch.column("tkey").take(pa.array(np.full(m, k))), pa.array(start[j : j + m].astype(np.int64)), pa.array(whole[j : j + m].view(np.int64)), pa.array(ident[j : j + m]), pa.array(opened[j : j + m])], names=["tkey", "start", "whole", "ident", "open"])
+            yield from _batches(batch.column("tkey"), strings(batch), ["start", "x", "y", "open"])
 
     return run
 
@@ -272,8 +329,8 @@ def _cut_rows(length: int, keep_text: bool):
                 if batch.column("copies")[k].as_py() > 1 and len(data) >= length:
                     gone = np.ones(len(data), bool)
                 else:
-                    starts = batch.column("starts")[k]
-                    gone = covered_bytes(len(data), starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else np.zeros(0, np.int64), length)
+                    seen, starts = (_list(batch, n, k) if batch.column(n)[k].is_valid else np.zeros(0, np.int64) for n in ("seen", "starts"))
+                    gone = covered_bytes(len(data), np.concatenate([_found(seen, length), starts]), length)
                 left = data[~gone].tobytes()
                 size.append(len(data)), removed.append(int(gone.sum())), digests.append(hashlib.sha256(left).hexdigest())
                 spans.append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
@@ -283,75 +340,72 @@ def _cut_rows(length: int, keep_text: bool):
     return run
 
 
-def _key(text_col: str):
-    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+def _key(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-def _bucketed_texts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """tkey, text (bytes), copies: each distinct text once, in a table bucketed by tkey in the shared folder."""
-    spark = docs.sparkSession
-    rows = docs.select(_key(text_col).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+@contextlib.contextmanager
+def _bucketed_texts(docs: DataFrame, text_col: str) -> Iterator[DataFrame]:
+    """tkey, text (bytes), copies: each distinct text once, in a table bucketed by tkey in the shared folder, for as long as the
+    block lasts."""
+    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
+    rows = docs.select(_key(F.col(text_col)).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     once = rows.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    once.write.bucketBy(partitions(spark), "tkey").option("path", new_folder(spark, name)).option("compression", "zstd").saveAsTable(name)
-    free_shuffles(spark)
-    return spark.table(name)
+    try:
+        once.write.bucketBy(partitions(spark), "tkey").option("path", folder).option("compression", "zstd").saveAsTable(name)
+        free_shuffles(spark)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, folder)
 
 
 def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
-    """A written table with one row per distinct text: tkey (MD5 of its UTF-8 bytes; null: of none), n_bytes, n_removed, n_spans (maximal
+    """A written table with one row per distinct text: tkey (128 bits of the SHA-256 of its UTF-8 bytes; null: of none), n_bytes, n_removed, n_spans (maximal
     removed runs), kept_sha256 and, if ``keep_text``, kept_text (bytes that removal leaves without their character are
     left out; null where nothing was removed).
 
     Strings never reach over the end of a text. Texts shorter than ``length`` lose nothing. A text that occurs more than
-    once loses all. ``length`` is 2 * Q at least.
+    once loses all. ``length`` is 2 * Q at least. Texts may be of any length; an empty table gives no rows.
     """
     if length < 2 * Q:
         raise ValueError(f"strings of {2 * Q} bytes at least are found")
-    name = f"texts_{uuid.uuid4().hex}"
-    texts = _bucketed_texts(docs, text_col, name)
-    plain = texts.select("tkey", "text")
-    near = stage(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
-    shared = stage(near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
-    own = near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
-    probes = stage(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, probe long, ident long"), "probes")
-    free_shuffles(docs.sparkSession)
-
-    kind, text = F.col("probe") % _KINDS, F.xxhash64("tkey")
-    start = F.floor(F.col("probe") / _KINDS) - F.when(kind.isin(_BACK, _FULL), length - Q).otherwise(0)
-    space = F.when(kind <= _BACK, 0).otherwise(kind).cast("byte")  # equal strings are one, whatever their kind
-    member = F.xxhash64("tkey", "probe")
-    places = probes.select(space.alias("space"), "ident", "tkey", "probe")
-    ends = probes.select(space.alias("space"), "ident", text.alias("t"), start.alias("s"), member.alias("m"))
-    repeated = ends.groupBy("space", "ident").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("s").alias("c"), F.max("s").alias("d"), F.min("m").alias("first")).where("a <> b or c <> d").select("space", "ident", "first")
-    repeated = stage(repeated, "repeated-probes")
-    marked = places.join(repeated.hint("shuffle_hash"), ["space", "ident"]).withColumn("probe", F.col("probe") + F.when((kind == _FULL) & (member == F.col("first")), _FIRST - _FULL).otherwise(0))
-    seen = stage(marked.groupBy("tkey").agg(F.collect_list("probe").alias("seen")), "seen")
-    discard(probes)
-    discard(repeated)
-    discard(shared)
-    free_shuffles(docs.sparkSession)
-
-    judged = plain.join(seen.hint("shuffle_hash"), "tkey")
-    open_ = judged.mapInArrow(_open_rows(length), "bucket long, least long, most long")
-    open_buckets = stage(open_.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-buckets")
-    listed = near.join(open_buckets.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
-    to_list = plain.join(seen.hint("shuffle_hash"), "tkey").join(listed.hint("shuffle_hash"), "tkey")
-    strings = stage(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, whole long, ident int, open boolean"), "strings")
-    discard(near)
-    free_shuffles(docs.sparkSession)
-    counted = strings.groupBy("ident", "whole").agg(F.count("*").alias("n"), F.max("open").alias("open"))
-    twice = stage(counted.where("n > 1 and open").select("ident", "whole"), "repeated-strings")
-    free_shuffles(docs.sparkSession)
-    found = strings.where("open").join(twice.hint("shuffle_hash"), ["ident", "whole"]).select("tkey", "start")
-    probed = seen.select("tkey", F.explode("seen").alias("probe")).where(kind <= _BACK)
-    first = probed.select("tkey", start.alias("start"))
-    starts = first.union(found).groupBy("tkey").agg(F.collect_list("start").alias("starts"))
-    cut = texts.join(starts.hint("shuffle_hash"), "tkey", "left").select("tkey", "text", "copies", "starts")
-    cuts = stage(cut.mapInArrow(_cut_rows(length, keep_text), "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cuts")
-    for done in (texts, seen, open_buckets, strings, twice):
-        discard(done)
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    free_shuffles(docs.sparkSession)
+    spark = docs.sparkSession
+    with _bucketed_texts(docs, text_col) as texts, temporary(spark) as kept:
+        plain = texts.select("tkey", "text")
+        near = kept(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
+        with temporary(spark) as put:
+            shared = put(near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+            own = near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
+            probes = put(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, probe long, x long, y long"), "probes")
+            free_shuffles(spark)
+            member = F.xxhash64("tkey", "probe")
+            often = probes.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1").select("x", "y", "first")
+            repeated = put(often, "repeated-probes")
+            free_shuffles(spark)
+            stands = (F.col("probe") % _KINDS == _FULL) & (member == F.col("first"))
+            marked = probes.join(repeated.hint("shuffle_hash"), ["x", "y"]).select("tkey", (F.col("probe") + F.when(stands, _FIRST - _FULL).otherwise(0)).alias("probe"))
+            seen = kept(marked.groupBy("tkey").agg(F.collect_list("probe").alias("seen")), "seen")
+        free_shuffles(spark)
+
+        open_ = plain.join(seen.hint("shuffle_hash"), "tkey").mapInArrow(_open_rows(length), "bucket long, least long, most long")
+        with temporary(spark) as put:
+            open_buckets = put(open_.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-buckets")
+            listed = near.join(open_buckets.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
+            to_list = plain.join(seen.hint("shuffle_hash"), "tkey").join(listed.hint("shuffle_hash"), "tkey")
+            strings = put(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, x long, y long, open boolean"), "strings")
+            free_shuffles(spark)
+            counted = strings.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+            twice = put(counted.where("n > 1 and open").select("x", "y"), "repeated-strings")
+            free_shuffles(spark)
+            found = strings.where("open").join(twice.hint("shuffle_hash"), ["x", "y"])
+            starts = kept(found.groupBy("tkey").agg(F.collect_list("start").alias("starts")), "starts")
+        free_shuffles(spark)
+        cut = texts.join(seen.hint("shuffle_hash"), "tkey", "left").join(starts.hint("shuffle_hash"), "tkey", "left").select("tkey", "text", "copies", "seen", "starts")
+        cuts = stage(cut.mapInArrow(_cut_rows(length, keep_text), "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cuts")
+    free_shuffles(spark)
     return cuts
 
 
@@ -359,14 +413,14 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256. Null texts are empty. Rows with null or
     repeated ids are texts like all others; an empty table gives an empty result."""
     cuts = substring_cuts(docs, text_col, length).drop("kept_text")
-    return docs.select(F.col(id_col), _key(text_col).alias("tkey")).join(cuts, "tkey").drop("tkey")
+    return docs.select(F.col(id_col), _key(F.col(text_col)).alias("tkey")).join(cuts, "tkey").drop("tkey")
 
 
 def remove_substrings(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", length: int = 200) -> DataFrame:
     """``docs`` with what is left of each text; ``length_col``, where there is one, is its new length in characters. Null
     texts stay null. All other columns stay as they are."""
     cuts = substring_cuts(docs, text_col, length, keep_text=True).where("n_removed > 0").select(F.col("tkey").alias("__tkey"), F.col("kept_text").alias("__kept"))
-    found = docs.join(cuts, _key(text_col) == F.col("__tkey"), "left")
+    found = docs.join(cuts, _key(docs[text_col]) == F.col("__tkey"), "left")
     changed = F.col("__kept").isNotNull()
     out = {text_col: F.when(changed, F.col("__kept")).otherwise(docs[text_col])}
     if length_col and length_col in docs.columns:
