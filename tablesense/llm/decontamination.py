@@ -3,19 +3,17 @@
 An item's windows of consecutive words are the sets to contain; their elements are shingles of up to three words, with
 their places. Shingles are ordered by rarity: by how often the whole corpus has them. For full containment one element
 is the necessary prefix, the rarest, so a window is looked for where its rarest shingle is. The place of that shingle
-bounds where the window begins and ends. A candidate is verified by all the window's shingles standing at their places;
+bounds where the window begins and ends, within its text. A candidate is verified by all the window's shingles standing at their places;
 shingles are compared as strings, so no hash decides. Only the occurrences of the items' own shingles ever leave the
 scan, as three numbers each, and texts are never shuffled. Equal texts are one text until the last join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import stage
+from tablesense.llm.shared import stage, text_key
 
 #: Characters between words, once A-Z are lower-cased: the ASCII characters that are neither digits nor letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,11 +28,13 @@ def words(text: Column) -> Column:
 
 
 def _shingles(w: Column, size: int) -> Column:
-    """Runs of ``size`` words joined by spaces, which no word has; the last ``size - 1`` are null."""
-    out = w
-    for k in range(1, size):
-        out = F.zip_with(out, F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+    """pos, shingle of the runs of ``size`` words joined by spaces, which no word has; those of the last ``size - 1`` are null."""
+
+    def at(word: Column, i: Column) -> Column:
+        rest = [x for k in range(1, size) for x in (F.lit(" "), F.get(w, i + k))]
+        return F.struct(i.alias("pos"), (F.concat(word, *rest) if rest else word).alias("shingle"))
+
+    return F.transform(w, at)
 
 
 def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -45,12 +45,9 @@ def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str)
     return each.groupBy("w").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), F.size("w").alias("n"), "w", "items")
 
 
-def _content(text_col: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-
-
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """What ``contamination`` returns, with the MD5 of the text as ``__content``."""
+    """What ``contamination`` returns, with the key of the text as ``__content``."""
+    # what is staged here stays, for the result reads it; all of it is narrow
     windows = stage(item_windows(benchmark, window, item_col, item_text_col), "windows")
     width = F.least("n", F.lit(shingle))
     parts = stage(
@@ -60,18 +57,18 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     known = stage(parts.select("size", "shingle").distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles")
     sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # up to ``shingle`` numbers
 
-    content = _content(text_col)
-    texts = docs.select(content.alias("content"), words(F.col(text_col)).alias("w"))
-
-    def occurrences(size: int) -> DataFrame:
-        each = texts.select("content", F.posexplode(_shingles(F.col("w"), size)).alias("pos", "shingle"))
-        return each.join(known.where(F.col("size") == size), "shingle").select("content", "pos", "sid")
-
-    rows = docs.select(F.col(id_col).alias("id"), content.alias("content"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     nothing = F.array().cast("array<string>")
+    texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("content"), words(F.col(text_col)).alias("w"))
+    texts = texts.select("id", "content", "w", F.size("w").cast("long").alias("n_words"))  # before the words are exploded, so that no row carries all of them
     if not sizes:
-        return rows.select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
-    found = stage(reduce(DataFrame.union, map(occurrences, sizes)).distinct(), "occurrences")
+        return texts.select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
+    # one pass over the texts: a row for the document itself, by a shingle that no text has, and one for each shingle that the items have
+    document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("shingle")))
+    each = texts.select("id", "content", "n_words", F.explode(F.concat(document, *[_shingles(F.col("w"), n) for n in sizes])).alias("e")).select("id", "content", "n_words", "e.*")
+    wanted = known.select("shingle", "sid").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"), F.lit(-1).cast("long").alias("sid")))
+    met = stage(each.join(wanted, "shingle").select(F.when(F.col("sid") < 0, F.col("id")).alias("id"), "content", "n_words", "pos", "sid"), "occurrences")
+    rows = met.where("sid < 0").select("id", "content", "n_words")
+    found = stage(met.where("sid >= 0").select("content", "pos", "sid").distinct(), "found")
 
     counts = found.groupBy("sid").agg(F.count("*").alias("often"))
     elements = stage(parts.join(known, ["size", "shingle"]).join(counts, "sid", "left").select("wid", "n", "at", "sid", F.coalesce("often", F.lit(0)).alias("often")), "elements")
@@ -93,13 +90,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window. Null texts have
     no words. Rows with null or repeated ids are judged like all others; an item without an id counts as ''; items of
-    equal text are all named. Empty tables give no rows or no hits.
+    equal text are all named. Empty tables give no rows or no hits. Texts may be of any length; other columns of either table,
+    whatever their names, are not read.
     """
     return _judged(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text_col).drop("__content")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that have a word inside a window of an item. All columns stay as they are. Each row is
-    judged by its own text, whatever other rows of its id, or without an id, have."""
+    judged by its own text, whatever other rows of its id, or without an id, have. An empty table stays empty."""
     bad = _judged(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("__bad"), "__content").distinct()
-    return docs.join(bad, (F.col("__content") == _content(text_col)) & F.col("__bad").eqNullSafe(docs[id_col]), "left_anti")
+    return docs.join(bad, (F.col("__content") == text_key(docs[text_col])) & F.col("__bad").eqNullSafe(docs[id_col]), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesense.llm.components import connected_components
-from tablesense.llm.shared import discard, partitions, stage, temporary
+from tablesense.llm.shared import discard, partitions, stage, temporary, text_key
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _BLOCK = 1 << 16
@@ -132,10 +132,10 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one document of each near-duplicate group: the one of least id. All columns stay as they are.
 
     Rows are told apart by id and text: rows without an id, or of one id with other texts, are documents of their own. A row
-    with an id goes before those without, then the least id, then the least MD5 of the text; of rows alike in both, the one
+    with an id goes before those without, then the least id, then the least digest of the text; of rows alike in both, the one
     whose columns come first as JSON.
     """
-    content = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    content = text_key(F.col(text_col))
     key = F.struct(F.col(id_col).isNull().alias("lost"), F.col(id_col).alias("id"), content.alias("content"))
     found = near_duplicates(docs.select(key.alias("__key"), F.col(text_col)), "__key", text_col, **options)
     first = found.where(F.col("component_id") == F.col("__key")).groupBy("__key").agg((F.count("*") > 1).alias("__again"))

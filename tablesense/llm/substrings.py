@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import delete, free_shuffles, new_folder, partitions, stage, temporary
+from tablesense.llm.shared import delete, free_shuffles, new_folder, partitions, stage, temporary, text_key
 from tablesense.llm.tokens import slices
 
 Q = 64
@@ -340,18 +340,13 @@ def _cut_rows(length: int, keep_text: bool):
     return run
 
 
-def _key(text: Column) -> Column:
-    """128 bits of the SHA-256 of a text."""
-    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
-
-
 @contextlib.contextmanager
 def _bucketed_texts(docs: DataFrame, text_col: str) -> Iterator[DataFrame]:
     """tkey, text (bytes), copies: each distinct text once, in a table bucketed by tkey in the shared folder, for as long as the
     block lasts."""
     spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
     folder = new_folder(spark, name)
-    rows = docs.select(_key(F.col(text_col)).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(text_key(F.col(text_col)).alias("tkey"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     once = rows.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     try:
         once.write.bucketBy(partitions(spark), "tkey").option("path", folder).option("compression", "zstd").saveAsTable(name)
@@ -413,14 +408,14 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256. Null texts are empty. Rows with null or
     repeated ids are texts like all others; an empty table gives an empty result."""
     cuts = substring_cuts(docs, text_col, length).drop("kept_text")
-    return docs.select(F.col(id_col), _key(F.col(text_col)).alias("tkey")).join(cuts, "tkey").drop("tkey")
+    return docs.select(F.col(id_col), text_key(F.col(text_col)).alias("tkey")).join(cuts, "tkey").drop("tkey")
 
 
 def remove_substrings(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", length: int = 200) -> DataFrame:
     """``docs`` with what is left of each text; ``length_col``, where there is one, is its new length in characters. Null
     texts stay null. All other columns stay as they are."""
     cuts = substring_cuts(docs, text_col, length, keep_text=True).where("n_removed > 0").select(F.col("tkey").alias("__tkey"), F.col("kept_text").alias("__kept"))
-    found = docs.join(cuts, _key(docs[text_col]) == F.col("__tkey"), "left")
+    found = docs.join(cuts, text_key(docs[text_col]) == F.col("__tkey"), "left")
     changed = F.col("__kept").isNotNull()
     out = {text_col: F.when(changed, F.col("__kept")).otherwise(docs[text_col])}
     if length_col and length_col in docs.columns:
