@@ -109,15 +109,17 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     slot = "array<struct<first:long,n:long,sequence:long,each:long,offset:long>>"
     plan = spark.createDataFrame(list(by_length.items()), f"length long, slots {slot}")
     within = Window.partitionBy("part", "length").orderBy("row")
-    ranked = pieces.withColumn("own", F.row_number().over(within) - 1).join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("own"))
+    # bases grow with the parts; the pieces are dealt by part and length already, so this join moves them no further
+    ranked = pieces.withColumn("own", F.row_number().over(within) - 1).join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("own"))
     taken = ranked.join(F.broadcast(plan), "length").withColumn("slot", F.element_at(F.filter("slots", lambda s: (F.col("rank") >= s["first"]) & (F.col("rank") < s["first"] + s["n"])), 1))
     nth = F.col("rank") - F.col("slot.first")
     return taken.withColumn("sequence_id", (F.col("slot.sequence") + F.floor(nth / F.col("slot.each"))).cast("long")).withColumn("offset", (F.col("slot.offset") + F.pmod(nth, F.col("slot.each")) * F.col("length")).cast("long")).drop("own", "base", "rank", "slots", "slot")
 
 
-def written_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``cut_pieces`` as a written table, with part and row: a place for each piece that doesn't change any more."""
-    cut = cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
+def written_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """``cut_pieces`` as a written table, with ids_crc32, part and row: a place for each piece that doesn't change any more."""
+    cut = cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
+    cut = cut if keep_ids else cut.drop("ids")
     return stage(cut.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
@@ -129,11 +131,11 @@ def packed_ids(placed: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32 (of the ids as written), part, row, sequence_id, offset.
+    """One row per piece: id_col, piece, start, length, ids_crc32, part, row, sequence_id, offset.
 
     Null and empty texts are ``end_id`` alone. Rows with null or repeated ids are documents of their own. An empty
-    table gives an empty result. ``packed_ids`` joins the ids back where the sequences themselves are wanted.
+    table gives an empty result. Texts may be of any length; no other column of ``docs``, whatever its name, is read. Where the
+    sequences themselves are wanted, ``packed_ids`` joins the pieces of ``place_pieces`` to those of ``written_pieces``.
     """
-    written = written_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
-    small = written.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "row")
-    return place_pieces(small, capacity).withColumnRenamed("id", id_col)
+    written = written_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, keep_ids=False)
+    return place_pieces(written, capacity).withColumnRenamed("id", id_col)

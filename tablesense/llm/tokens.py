@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-import zlib
 from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -228,7 +227,3 @@ def read_tokens(spark: SparkSession, files: TokenFiles, id_type: str = "long", i
                     lo = hi
 
     return listed.mapInArrow(read, schema).withColumnRenamed("id", id_col)
-
-
-def crc32_of_ids(ids: bytes) -> int:
-    return zlib.crc32(ids)
