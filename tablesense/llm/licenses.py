@@ -85,11 +85,17 @@ COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(?:copyright|\(c\)|©|all rights reserved)[^\
 SIGNS = r"[^\p{L}\p{N}\p{M}]+"
 
 
+def spellings() -> list[tuple[str, str]]:
+    """SPELLINGS as they stand between words: a blank at either end, two between words."""
+    return [tuple(f" {x.replace(' ', '  ')} " for x in pair) for pair in SPELLINGS]
+
+
 def normalised(text: Column) -> Column:
     """Words of a text in their canonical form, with single spaces; null: ''."""
     text = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    plain = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), SIGNS, " ")
-    spelt = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, F.concat(F.lit(" "), plain, F.lit(" ")))
+    # two blanks between words: neighbours that are spelt anew share none
+    plain = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), SIGNS, "  ")
+    spelt = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), spellings(), F.concat(F.lit(" "), plain, F.lit(" ")))
     return F.trim(F.regexp_replace(spelt, " +", " "))
 
 
@@ -115,6 +121,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
     Null, empty and blank texts, and texts of signs or copyright lines only, all have the digest of ''. Only digests are
     joined; which side is broadcast, if one is, Spark decides by its size. Repeated rows and null ids are looked up like all others.
+    An empty table gives no rows. Texts may be of any length; no other column of ``docs``, whatever its name, is read.
     """
     known = shipped_licenses(docs.sparkSession) if known is None else known
     rows = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("normal")).select(id_col, F.char_length("normal").cast("long").alias("n_normal"), F.sha2(F.col("normal").cast("binary"), 256).alias("digest"))

@@ -70,26 +70,29 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, files = warc.write_warc(_table(spark, sf_dir, "pages"), least_bytes=0)
-    read = warc.read_warc(spark, folder, files)
+    pages = _table(spark, sf_dir, "pages")
+    folder, files = warc.write_warc(pages, least_bytes=0)
+    read = warc.read_warc(spark, folder, files, pages.schema["page_id"].dataType.simpleString())
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _normalised_sql(text: str) -> str:
-    plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.SIGNS}', ' ', 'g')"
+    plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.SIGNS}', '  ', 'g')"
     spelt = f"concat(' ', {plain}, ' ')"
-    for old, new in licenses.SPELLINGS:
-        spelt = f"replace({spelt}, ' {old} ', ' {new} ')"
+    for old, new in licenses.spellings():
+        spelt = f"replace({spelt}, '{old}', '{new}')"
     return f"trim(regexp_replace({spelt}, ' +', ' ', 'g'))"
 
 
 def _licenses_sql() -> str:
     quoted = [(name.replace("'", "''"), text.replace("'", "''")) for name, text in licenses.KNOWN]
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(quoted))
+    digests = ", ".join(f"('{d}', '{name}')" for name, known in licenses.DIGESTS.items() for d in known)
     return f"""
 WITH known AS (
   SELECT digest, min_by(license_id, k) AS license_id
   FROM (SELECT k, license_id, sha256({_normalised_sql("text")}) AS digest FROM (VALUES {values}) v(k, license_id, text)) GROUP BY digest
+  UNION ALL SELECT digest, license_id FROM (VALUES {digests}) v(digest, license_id)
 ), d AS (SELECT doc_id, {_normalised_sql("text")} AS normal FROM documents)
 SELECT doc_id, CAST(length(normal) AS BIGINT) AS n_normal, sha256(normal) AS digest, license_id
 FROM d LEFT JOIN known ON known.digest = sha256(normal)

@@ -36,7 +36,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown:
 
     slot numbers a shard's rows from 0 without gaps in ascending order of id, null ids first; rows of equal ids follow
     their CRC and size. Repeated rows get slots of their own. Rows are range-sorted once with ties split, and a
-    partition's first slot in a shard is a prefix sum of counts: no task holds a shard. Other columns aren't read.
+    partition's first slot in a shard is a prefix sum of counts: no task holds a shard. An empty table gives no rows. Texts may be
+    of any length; other columns, whatever their names, aren't read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -50,8 +51,3 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown:
     within = Window.partitionBy("shard", "part").orderBy(*order)
     ranked = placed.withColumn("rank", F.row_number().over(within) - 1)
     return ranked.join(bases, ["shard", "part"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"), "grown_shard")
-
-
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * 8, id_col: str = "doc_id") -> None:
-    """``docs`` as Parquet in a folder per shard. A shard is written by as many tasks as its rows came from."""
-    docs.withColumn("shard", rendezvous_shard(F.col(id_col), weights)).write.partitionBy("shard").parquet(path)

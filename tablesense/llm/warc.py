@@ -12,7 +12,7 @@ import base64
 import hashlib
 import json
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,30 +26,36 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
 
 
-def _record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+#: Stands for a null id, which no quoted id is.
+_NO_ID = "!"
 
 
-def _page_id(record_id: str) -> int | None:
-    number = record_id[len("<urn:page:") : -1]
-    return int(number) if number else None
+def _record_id(page_id, own: str) -> str:
+    """A record's id: the page's, and what tells it from other records of that page."""
+    return f"<urn:page:{_NO_ID if page_id is None else quote(str(page_id), safe='')}:{own}>"
 
 
-def _record(page_id, url: str | None, payload: bytes, original, is_revisit: bool, date: str) -> bytes:
-    """A record's bytes. A revisit has no payload; its length and digest are in the headers all the same."""
+def _page_id(record_id: str, kind: type):
+    text = record_id[len("<urn:page:") :].rpartition(":")[0]
+    return None if text == _NO_ID else kind(unquote(text))
+
+
+def _record(page_id, url: str | None, payload: bytes, original, is_first: bool, is_revisit: bool, place: str, date: str) -> bytes:
+    """A record's bytes. A revisit has no payload; its length and digest are in the headers all the same. The record that
+    revisits refer to is named by its page and payload, all others by page and ``place``, so no two names are the same."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(page_id, digest if is_first else place)}",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {quote(url, safe=":/?#[]@!$&'()*+,;=%~")}"] if url else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         f"WARC-Payload-Length: {len(payload)}",
-        *([f"WARC-Refers-To: {_record_id(original)}", f"WARC-Profile: {_PROFILE}"] if is_revisit else []),
+        *([f"WARC-Refers-To: {_record_id(original, digest)}", f"WARC-Profile: {_PROFILE}"] if is_revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -62,29 +68,39 @@ def _gzip(data: bytes, level: int) -> bytes:
 
 
 def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """id, url, payload, original, revisit. Of rows with equal payloads of ``least_bytes`` or more, the one of smallest
-    id is the original; all others are revisits. Null ids come after all others. Of repeated rows one is the original."""
+    """id, url, payload, digest, tie, original, first, revisit. Of rows with equal payloads of ``least_bytes`` or more, the one of
+    smallest id is the first; all others are revisits of it. Null ids come after all others. Of rows that are alike in id and
+    payload one is the first: only where there are such is the table written once more, so that places in it tell them apart."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("tie"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = stage(groups, "equal-payloads")  # its size is known then: payloads stay where they are if it is small
-    found = rows.join(groups, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~((F.col("first.tie") == F.col("tie")) & F.col("first.id").eqNullSafe(F.col("id")))
-    return found.select("id", "url", "payload", F.col("first.id").alias("original"), revisit.alias("revisit"), "tie")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("tie", F.lit(0).cast("long"))
+
+    def equal(rows: DataFrame) -> DataFrame:
+        place = F.struct(F.col("id").isNull().alias("last"), "id", "tie", "alike")
+        alike = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest", "id", "tie").agg(F.count("*").alias("alike"))
+        groups = alike.groupBy("digest").agg(F.min(place).alias("first"), F.sum("alike").alias("n")).where("n > 1")
+        return stage(groups, "equal-payloads")  # its size is known then: payloads stay where they are if it is small
+
+    groups = equal(rows)
+    if not groups.where("first.alike > 1").isEmpty():
+        rows = stage(rows.drop("tie"), "pages").withColumn("tie", F.monotonically_increasing_id())
+        groups = equal(rows)
+    found = rows.join(groups.select("digest", F.col("first").alias("of")), "digest", "left")
+    first = F.col("of").isNotNull() & (F.col("of.tie") == F.col("tie")) & F.col("of.id").eqNullSafe(F.col("id"))
+    return found.select("id", "url", "payload", "digest", "tie", F.col("of.id").alias("original"), first.alias("first"), (F.col("of").isNotNull() & ~first).alias("revisit"))
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 256 << 20, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", level: int = 6) -> tuple[str, list[dict]]:
     """Writes a record per row (null html: an empty payload) and returns the folder and the manifest's files.
 
     A file ends with the record that takes it to ``roll_bytes``. One manifest row per file reaches the driver. An empty
-    table gives a manifest without files.
+    table gives a manifest without files. Ids may be numbers or text, null or repeated; payloads may be of any length that a
+    row can have; no other column of ``pages``, whatever its name, is read.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     rows = with_originals(pages, id_col, url_col, html_col, least_bytes)
-    ranged = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_last(), "tie").sortWithinPartitions(F.col("id").asc_nulls_last(), "tie").drop("tie")
+    order = [F.col("id").asc_nulls_last(), "digest", "tie", "url"]
+    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("id", "url", "payload", "original", "first", "revisit")
 
     def write(it):
         task = TaskContext.get()
@@ -97,13 +113,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 25
             done.append((part, number, name, records, size, digest.hexdigest()))
 
         for batch in it:
-            columns = [c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(3), batch.column(4))]
-            for k, (page_id, url, original, is_revisit) in enumerate(zip(*columns)):
+            columns = [c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(3), batch.column(4), batch.column(5))]
+            for k, (page_id, url, original, is_first, is_revisit) in enumerate(zip(*columns)):
                 if out is None:
                     name, records, size, digest = f"part-{part:06d}-{number:04d}.warc.gz", 0, 0, hashlib.sha256()
                     temporary = f"{folder}/_temporary-{attempt}-{name}"
                     out = open_for_writing(temporary)
-                data = _gzip(_record(page_id, url, batch.column(2)[k].as_py(), original, is_revisit, date), level)
+                data = _gzip(_record(page_id, url, batch.column(2)[k].as_py(), original, is_first, is_revisit, f"{part}-{number}-{records}", date), level)
                 out.write(data)
                 digest.update(data)
                 records, size = records + 1, size + len(data)
@@ -140,10 +156,12 @@ def records(path: str):
             raise ValueError(f"{path} ends within a record")
 
 
-def read_warc(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest (bare base32 SHA-1) and payload (null for
+def read_warc(spark: SparkSession, folder: str, files: list[dict], id_type: str = "bigint") -> DataFrame:
+    """page_id (of ``id_type``, an integer or string type), url, record_type, refers_to, payload_bytes, payload_digest (bare base32 SHA-1) and payload (null for
     revisits) of each record in the files listed. Block digests, and the payload's of responses, are verified."""
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    numbers = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64()}
+    id_kind, id_arrow = (int, numbers[id_type]) if id_type in numbers else (str, pa.string())
+    schema = f"page_id {id_type}, url string, record_type string, refers_to {id_type}, payload_bytes long, payload_digest string, payload binary"
     if not files:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame([(f["name"],) for f in files], "name string").repartition(len(files))
@@ -156,11 +174,11 @@ def read_warc(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
         if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(headers["warc-payload-length"])):
             raise ValueError(f"{name}: a payload doesn't have its digest")
         refers = headers.get("warc-refers-to")
-        return _page_id(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, refers and _page_id(refers), int(headers["warc-payload-length"]), digest, payload if kind == "response" else None
+        return _page_id(headers["warc-record-id"], id_kind), headers.get("warc-target-uri"), kind, refers and _page_id(refers, id_kind), int(headers["warc-payload-length"]), digest, payload if kind == "response" else None
 
     def read(it):
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        types = [id_arrow, pa.string(), pa.string(), id_arrow, pa.int64(), pa.string(), pa.binary()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
