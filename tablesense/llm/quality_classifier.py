@@ -103,7 +103,9 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, at + 4] = np.bincount(of[order], weights=again, minlength=n) / per_word[:, 0]
     low = data | np.where(kind == 1, 32, 0).astype(np.uint8)
     pair = ((low[:-1].astype(np.uint32) * 0x9E3779B1 + low[1:].astype(np.uint32) * 0x85EBCA77) >> 20) % _PAIRS
-    hashed = np.bincount(passage[:-1] * _PAIRS + pair, minlength=n * _PAIRS).reshape(n, _PAIRS)
+    own = np.ones(len(pair), bool)
+    own[ends[:-1] - 1] = False  # a blank between two texts and the first letter of the next are no pair
+    hashed = np.bincount((passage[:-1] * _PAIRS + pair)[own], minlength=n * _PAIRS).reshape(n, _PAIRS)
     x[:, -_PAIRS:] = np.sqrt(hashed / size)
     return x, bag
 
@@ -220,7 +222,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """One row per row of ``docs``: id_col, held_out, score (0 to 1), predicted (1 if score >= ``threshold``, else 0).
 
     Null, empty and blank texts are one passage without words and are scored as such. Repeated rows and null ids are
-    scored like all others.
+    scored like all others. An empty table gives no rows. Texts may be of any length; no other column of ``docs``, whatever its
+    name, is read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
@@ -235,7 +238,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose text scores below ``threshold``. All columns stay as they are."""
+    """``docs`` without the rows whose text scores below ``threshold``. All columns stay as they are; an empty table
+    stays empty."""
     schema = docs.schema
 
     def keep(it):
