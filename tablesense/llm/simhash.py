@@ -17,7 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.llm.components import connected_components
@@ -88,13 +88,15 @@ def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
         raise ValueError(f"three segments with one-bit variants find up to {2 * len(SEGMENTS) - 1} differing bits")
     spark = prints.sparkSession
     copies = F.col("n") if "n" in prints.columns else F.lit(1)
-    # every fingerprint becomes 64 rows, which the planner doesn't count: joins of the index are never left to its choice
+    # every fingerprint becomes 64 rows, which the planner doesn't count: no join reads the index itself
     spread = prints.select("fp", copies.alias("n")).repartition(partitions(spark), "fp")
     index = spread.select("fp", "n", F.explode(_variants(F.col("fp"))).alias("key"))
+    # a bucket has each fingerprint once, and its rows are sorted, with spills, never held
+    bucket = Window.partitionBy("key")
+    members = index.select("key", "fp", F.count("*").over(bucket).alias("members"), F.max_by("fp", F.struct("n", "fp")).over(bucket).alias("hub"))
     with temporary(spark) as put:
-        hubs = put(index.groupBy("key").agg(F.max_by("fp", "n").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "hubs")
         beside = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance
-        met = put(index.select("fp", "key").hint("merge").join(hubs.hint("merge"), "key").select("key", "fp", "hub", beside.alias("beside")), "met")
+        met = put(members.where("members > 1").select("key", "fp", "hub", beside.alias("beside")), "met")
         x, y = met.where("not beside").select("key", "fp").alias("x"), met.select("key", "fp", "beside").alias("y")
         differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
         once = F.col("y.beside") | (F.col("x.fp") < F.col("y.fp"))
