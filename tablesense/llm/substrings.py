@@ -8,10 +8,10 @@ begin with the same q-gram, has two members.
 Buckets are refined, and members that are alone dropped, in rounds:
 
 1. q-gram buckets of all anchors; the rest of the corpus is done with here.
-2. Buckets refined by identifiers of what stands at later and earlier offsets of each suffix: by all that strings with this
-   anchor can cover (which settles the inside of repeated passages), and by the two halves that bound which of its strings can
-   repeat. Of suffixes that agree in all of that, one stands for all from here on.
-3. What is left, strings with a byte that nothing found so far covers, is judged string by string, together with those of the
+2. Buckets refined by identifiers of all that strings with this anchor can cover, at later and earlier offsets of each suffix. This
+   settles the inside of repeated passages. Of suffixes that agree, one stands for all from here on.
+3. Those and the others refined by the two halves that bound which of an anchor's strings can repeat.
+4. What is left, strings with a byte that nothing found so far covers, is judged string by string, together with those of the
    same distance in the same bucket. The bounds of the round before carry over.
 
 An identifier is the BLAKE2b digest of 128 bits of the string itself, so equal identifiers are equal strings to the same
@@ -174,12 +174,14 @@ _NEAR, _FAR, _FULL, _FIRST = range(4)
 _KINDS = 4
 
 
-def _probe_places(at: np.ndarray, size: int, length: int):
-    """For each kind: which anchors have it, where it starts, and its size."""
+def _probe_places(at: np.ndarray, size: int, length: int, halves: bool):
+    """For each kind of a round: which anchors have it, where it starts, and its size."""
     near = (length - Q) // 2
-    yield _NEAR, at + length - near <= size, at, length - near
-    yield _FAR, at - near >= 0, at - near, near + Q
-    yield _FULL, (at - (length - Q) >= 0) & (at + length <= size), at - (length - Q), 2 * length - Q
+    if halves:
+        yield _NEAR, at + length - near <= size, at, length - near
+        yield _FAR, at - near >= 0, at - near, near + Q
+    else:
+        yield _FULL, (at - (length - Q) >= 0) & (at + length <= size), at - (length - Q), 2 * length - Q
 
 
 def _batches(key: pa.Array, found: Iterator[tuple[int, list[np.ndarray]]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +203,16 @@ def _batches(key: pa.Array, found: Iterator[tuple[int, list[np.ndarray]]], names
         yield out()
 
 
-def _probe_rows(length: int):
+def _probe_rows(length: int, halves: bool):
+    """What is judged of the anchors of each text; the halves, of those only that no other stands for."""
+
     def probes(batch):
         for k, data in _text_rows(batch, 1):
             at, view = np.sort(_list(batch, "at", k)), memoryview(data)
-            for kind, has, start, size in _probe_places(at, len(data), length):
+            if halves and batch.column("full")[k].is_valid:
+                seen, kind = np.divmod(_list(batch, "full", k), _KINDS)
+                at = np.setdiff1d(at, seen[kind == _FULL])
+            for kind, has, start, size in _probe_places(at, len(data), length, halves):
                 for j in range(0, int(has.sum()), 1 << 16):
                     some = slice(j, j + (1 << 16))
                     ids = _digests(view, start[has][some], size, kind)
@@ -226,14 +233,14 @@ def covered_bytes(size: int, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _found(seen: np.ndarray, length: int) -> np.ndarray:
-    """Starts of strings that the second round has found: two that cover all that an anchor's strings can."""
+    """Starts of strings that the second round has settled: two that cover all that an anchor's strings can."""
     at, kind = np.divmod(seen, _KINDS)
     full = at[kind >= _FULL]
     return np.concatenate([full - (length - Q), full])
 
 
 class _Judged:
-    """A text after the second round: places of anchors that have halves which repeat and that no other stands for, and
+    """A text after the third round: places of anchors that have halves which repeat and that no other stands for, and
     how many bytes before each place of the text nothing found covers."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, data: np.ndarray, length: int):
@@ -373,16 +380,23 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
         near = kept(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
         with temporary(spark) as put:
             shared = put(near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
-            own = near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at"))
-            probes = put(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length), "tkey binary, probe long, x long, y long"), "probes")
+            own = put(near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at")), "shared-anchors")
             free_shuffles(spark)
-            member = F.xxhash64("tkey", "probe")
-            often = probes.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1").select("x", "y", "first")
-            repeated = put(often, "repeated-probes")
+            judged, member = "tkey binary, probe long, x long, y long", F.xxhash64("tkey", "probe")
+            with temporary(spark) as soon:
+                probes = soon(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length, False), judged), "surroundings")
+                often = soon(probes.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1").select("x", "y", "first"), "repeated-surroundings")
+                marked = probes.join(often.hint("shuffle_hash"), ["x", "y"]).select("tkey", (F.col("probe") + F.when(member == F.col("first"), _FIRST - _FULL).otherwise(0)).alias("probe"))
+                full = put(marked.groupBy("tkey").agg(F.collect_list("probe").alias("full")), "full")
             free_shuffles(spark)
-            stands = (F.col("probe") % _KINDS == _FULL) & (member == F.col("first"))
-            marked = probes.join(repeated.hint("shuffle_hash"), ["x", "y"]).select("tkey", (F.col("probe") + F.when(stands, _FIRST - _FULL).otherwise(0)).alias("probe"))
-            seen = kept(marked.groupBy("tkey").agg(F.collect_list("probe").alias("seen")), "seen")
+            with temporary(spark) as soon:
+                left = plain.join(own.hint("shuffle_hash"), "tkey").join(full.hint("shuffle_hash"), "tkey", "left")
+                probes = soon(left.mapInArrow(_probe_rows(length, True), judged), "halves")
+                often = soon(probes.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "repeated-halves")
+                half = probes.join(often.hint("shuffle_hash"), ["x", "y"]).groupBy("tkey").agg(F.collect_list("probe").alias("half"))
+                both = full.join(half, "tkey", "full")
+                nothing = F.array().cast("array<long>")
+                seen = kept(both.select("tkey", F.concat(F.coalesce("full", nothing), F.coalesce("half", nothing)).alias("seen")), "seen")
         free_shuffles(spark)
 
         open_ = plain.join(seen.hint("shuffle_hash"), "tkey").mapInArrow(_open_rows(length), "bucket long, least long, most long")
