@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import delete, free_shuffles, new_folder, partitions, stage, temporary, text_key
+from tablesense.llm.shared import delete, discard, free_shuffles, new_folder, partitions, stage, temporary, text_key
 from tablesense.llm.tokens import slices
 
 Q = 64
@@ -276,8 +276,13 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
+def _words(length: int) -> list[str]:
+    """Columns of 64 bits each, with a bit for each distance from a string's start to its anchor."""
+    return [f"m{i}" for i in range((length - Q) // 64 + 1)]
+
+
 def _open_rows(length: int):
-    """Buckets of the anchors with strings that aren't inside what was found, and how far before the anchor those begin."""
+    """Buckets of the anchors with strings that aren't inside what was found, and at which distances before the anchor those begin."""
 
     def run(it):
         for batch in it:
@@ -291,10 +296,11 @@ def _open_rows(length: int):
                     some = text.is_open(start)
                     buckets.append(grams_at(data, places)[which[some]])
                     before.append(places[which[some]] - start[some])
-            pairs = np.unique(np.stack([np.concatenate(buckets).view(np.int64), np.concatenate(before)]), axis=1)
-            first = np.flatnonzero(np.diff(pairs[0], prepend=pairs[0][:1] ^ 1)) if pairs.size else np.zeros(0, np.int64)
-            last = np.append(first[1:], pairs.shape[1]) - 1 if len(first) else first
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0][first]), pa.array(pairs[1][first]), pa.array(pairs[1][last])], names=["bucket", "least", "most"])
+            own, row = np.unique(np.concatenate(buckets), return_inverse=True)
+            bits = np.zeros((len(own), 64 * len(_words(length))), bool)
+            bits[row, np.concatenate(before)] = True
+            masks = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *(pa.array(m) for m in masks.T.copy())], names=["bucket", *_words(length)])
 
     return run
 
@@ -306,17 +312,18 @@ def _string_rows(length: int):
     def strings(batch):
         for k, data in _text_rows(batch, 1):
             text, wanted = _Judged(batch, k, data, length), batch.column("open")[k].values
-            bucket, least, most = (wanted.field(n).to_numpy(zero_copy_only=False) for n in ("bucket", "least", "most"))
+            bucket, *masks = (wanted.field(n).to_numpy(zero_copy_only=False) for n in ("bucket", *_words(length)))
             order = np.argsort(bucket.view(np.uint64))
-            bucket, least, most = bucket.view(np.uint64)[order], least[order], most[order]
+            bucket, masks = bucket.view(np.uint64)[order], np.stack(masks, axis=1)[order]
             for j in range(0, len(text.places), 1 << 12):
                 places = text.places[j : j + (1 << 12)]
                 own = grams_at(data, places)
                 row = np.minimum(np.searchsorted(bucket, own), len(bucket) - 1)
                 take = bucket[row] == own
                 places, row = places[take], row[take]
-                lo, hi = text.bounds(places)
-                _, start = _spread(np.maximum(lo, places - most[row]), np.minimum(hi, places - least[row]))
+                which, start = _spread(*text.bounds(places))
+                asked = np.unpackbits(masks[row].view(np.uint8), axis=1, bitorder="little")
+                start = start[asked[which, places[which] - start] > 0]
                 if len(start):
                     ids = _digests(memoryview(data), start, length, _KINDS)
                     yield k, [start.astype(np.int64), ids[:, 0].copy(), ids[:, 1].copy(), text.is_open(start)]
@@ -377,11 +384,13 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
     spark = docs.sparkSession
     with _bucketed_texts(docs, text_col) as texts, temporary(spark) as kept:
         plain = texts.select("tkey", "text")
-        near = kept(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
+        with temporary(spark) as soon:
+            every = soon(plain.mapInArrow(_anchor_rows(length), "tkey binary, at long, bucket long"), "anchors")
+            shared = soon(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
+            near = kept(every.join(shared.hint("shuffle_hash"), "bucket").select("tkey", "at", "bucket"), "shared-anchors")
+        free_shuffles(spark)
         with temporary(spark) as put:
-            shared = put(near.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
-            own = put(near.join(shared.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_list("at").alias("at")), "shared-anchors")
-            free_shuffles(spark)
+            own = put(near.groupBy("tkey").agg(F.collect_list("at").alias("at")), "anchors-of-texts")
             judged, member = "tkey binary, probe long, x long, y long", F.xxhash64("tkey", "probe")
             with temporary(spark) as soon:
                 probes = soon(plain.join(own.hint("shuffle_hash"), "tkey").mapInArrow(_probe_rows(length, False), judged), "surroundings")
@@ -399,12 +408,14 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
                 seen = kept(both.select("tkey", F.concat(F.coalesce("full", nothing), F.coalesce("half", nothing)).alias("seen")), "seen")
         free_shuffles(spark)
 
-        open_ = plain.join(seen.hint("shuffle_hash"), "tkey").mapInArrow(_open_rows(length), "bucket long, least long, most long")
+        masks = _words(length)
+        open_ = plain.join(seen.hint("shuffle_hash"), "tkey").mapInArrow(_open_rows(length), ", ".join(f"{c} long" for c in ["bucket", *masks]))
         with temporary(spark) as put:
-            open_buckets = put(open_.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most")), "open-buckets")
-            listed = near.join(open_buckets.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", "least", "most")).alias("open"))
+            open_buckets = put(open_.groupBy("bucket").agg(*[F.bit_or(m).alias(m) for m in masks]), "open-buckets")
+            listed = near.join(open_buckets.hint("shuffle_hash"), "bucket").groupBy("tkey").agg(F.collect_set(F.struct("bucket", *masks)).alias("open"))
             to_list = plain.join(seen.hint("shuffle_hash"), "tkey").join(listed.hint("shuffle_hash"), "tkey")
             strings = put(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, x long, y long, open boolean"), "strings")
+            discard(near)
             free_shuffles(spark)
             counted = strings.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("open").alias("open"))
             twice = put(counted.where("n > 1 and open").select("x", "y"), "repeated-strings")
