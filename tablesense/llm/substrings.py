@@ -29,6 +29,7 @@ import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ Q = 64
 _BLOCK = 256 << 10
 #: So much of a text is hashed at a time.
 _PIECE = 2 << 20
+#: Strings are counted in so many slices of their identifiers, one after the other, so that a fraction of them is shuffled at a time.
+_SLICES = 4
 
 
 def _codes() -> np.ndarray:
@@ -417,11 +420,15 @@ def substring_cuts(docs: DataFrame, text_col: str = "text", length: int = 200, k
             strings = put(to_list.mapInArrow(_string_rows(length), "tkey binary, start long, x long, y long, open boolean"), "strings")
             discard(near)
             free_shuffles(spark)
-            counted = strings.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("open").alias("open"))
-            twice = put(counted.where("n > 1 and open").select("x", "y"), "repeated-strings")
-            free_shuffles(spark)
-            found = strings.where("open").join(twice.hint("shuffle_hash"), ["x", "y"])
-            starts = kept(found.groupBy("tkey").agg(F.collect_list("start").alias("starts")), "starts")
+            found = []
+            for k in range(_SLICES):
+                own = strings.where(F.pmod("x", F.lit(_SLICES)) == k)
+                counted = own.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+                twice = put(counted.where("n > 1 and open").select("x", "y"), "repeated-strings")
+                free_shuffles(spark)
+                found.append(put(own.where("open").join(twice.hint("shuffle_hash"), ["x", "y"]).select("tkey", "start"), "found"))
+                free_shuffles(spark)
+            starts = kept(reduce(DataFrame.union, found).groupBy("tkey").agg(F.collect_list("start").alias("starts")), "starts")
         free_shuffles(spark)
         cut = texts.join(seen.hint("shuffle_hash"), "tkey", "left").join(starts.hint("shuffle_hash"), "tkey", "left").select("tkey", "text", "copies", "seen", "starts")
         cuts = stage(cut.mapInArrow(_cut_rows(length, keep_text), "tkey binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cuts")
