@@ -26,6 +26,11 @@ def main(argv: list[str] | None = None) -> None:
     score = commands.add_parser("score", help="a prediction against its gold table, both CSV")
     score.add_argument("gold")
     score.add_argument("prediction")
+    whole = commands.add_parser("score-run", help="all predictions of a run's folder against a folder of gold tables")
+    whole.add_argument("run")
+    whole.add_argument("gold")
+    whole.add_argument("--penalty", type=float, default=0.5)
+    whole.add_argument("--no-summary", action="store_true", help="don't write score_summary.json")
     args = parser.parse_args(argv)
     spark = session()
     if args.command == "status":
@@ -37,6 +42,15 @@ def main(argv: list[str] | None = None) -> None:
         from tablesense.plans import catalog
 
         catalog.QUERIES[args.name](spark, args.tables).show(args.rows, truncate=False)
+    elif args.command == "score-run":
+        from tablesense.operators.answers import run_summary
+        from tablesense.sources.runs import score_folder, write_score_summary
+
+        scores = score_folder(spark, args.run, args.gold, args.penalty).cache()
+        scores.orderBy("task_id").show(1000, truncate=False)
+        print(json.dumps(run_summary(scores).first().asDict()))
+        if not args.no_summary:
+            print(write_score_summary(spark, scores, args.run))
     else:
         from tablesense.operators.answers import score_table
 

@@ -6,6 +6,7 @@ sorted or collected; its signature is made of sums over its cells' hashes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +27,22 @@ def _ordinal(df: DataFrame) -> DataFrame:
 
 def signatures(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
     """col_idx, signature: equal for columns with the same cells as often. Tables may have columns of the same name."""
-    counts = token_cells(_ordinal(df), tolerance).groupBy("col_idx", "token").agg(F.count("*").alias("n"))
-    h = F.xxhash64("token", "n")
-    sums = counts.groupBy("col_idx").agg(F.sum("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 20)).alias("s"), F.bit_xor(F.crc32(F.concat_ws(":", "token", "n").cast("binary"))).alias("c"))
-    return sums.select("col_idx", F.sha2(F.concat_ws("|", "n", "x", "s", "c"), 256).alias("signature"))
+    spark = df.sparkSession
+    if not df.columns:
+        return spark.createDataFrame([], "col_idx int, signature string")
+    there = spark.range(len(df.columns)).select(F.col("id").cast("int").alias("col_idx"), F.lit(None).cast("string").alias("token"))
+    return signed(token_cells(_ordinal(df), tolerance).unionByName(there), "col_idx")
+
+
+def signed(cells: DataFrame, *keys: str) -> DataFrame:
+    """keys, signature: of columns given as cells (keys, token). A null token is no cell; it says that its column is there, so
+    that columns without cells have a signature too, all the same one."""
+    counts = cells.groupBy(*keys, "token").agg(F.count("token").alias("n"))
+    has = F.col("n") > 0
+    h = F.when(has, F.xxhash64("token", "n"))
+    check = F.when(has, F.crc32(F.concat_ws(":", "token", "n").cast("binary")))
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 20)).alias("s"), F.bit_xor(check).alias("c"))
+    return sums.select(*keys, F.sha2(F.concat_ws("|", "n", "x", "s", "c"), 256).alias("signature"))
 
 
 def match_columns(gold: DataFrame, prediction: DataFrame, tolerance: float = 1e-2) -> DataFrame:
@@ -139,7 +152,7 @@ def vote_winners(sigs: DataFrame, least: int = 2) -> DataFrame:
 def best_sample(sigs: DataFrame, winners: DataFrame) -> DataFrame:
     """sample_id, coverage, extras: the sample with most winning columns, then fewest others, then the first."""
     marked = sigs.join(winners.select("signature", F.lit(1).alias("won")), "signature", "left")
-    each = marked.groupBy("sample_id").agg(F.count_distinct(F.when(F.col("won") == 1, F.col("signature"))).alias("coverage"), F.count("*").alias("width"))
+    each = marked.groupBy("sample_id").agg(F.count_distinct(F.when(F.col("won") == 1, F.col("signature"))).alias("coverage"), F.count_distinct("signature").alias("width"))
     each = each.withColumn("extras", F.col("width") - F.col("coverage"))
     return each.orderBy(F.desc("coverage"), "extras", "sample_id").limit(1).select("sample_id", "coverage", "extras")
 
@@ -147,4 +160,56 @@ def best_sample(sigs: DataFrame, winners: DataFrame) -> DataFrame:
 def agreed_columns(primary: DataFrame, verifiers: DataFrame, agreement: int = 2) -> DataFrame:
     """col_idx: columns of the primary answer whose signature ``agreement - 1`` of the others have or more."""
     seen = verifiers.select("sample_id", "signature").distinct().groupBy("signature").agg(F.count("*").alias("n"))
-    return primary.join(seen.where(F.col("n") >= agreement - 1), "signature", "left_semi").select("col_idx")
+    return primary.join(seen, "signature", "left").where(F.coalesce("n", F.lit(0)) >= agreement - 1).select("col_idx")
+
+
+def projected(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    """Columns by their places, in that order; names may repeat."""
+    return _ordinal(df).select(*[F.col(f"c{i}").alias(df.columns[i]) for i in places])
+
+
+def _known(sigs: DataFrame) -> DataFrame:
+    """Signatures as local rows, a row per column of an answer, so that the answers are read once."""
+    return sigs.sparkSession.createDataFrame(sigs.collect(), "sample_id int, col_idx int, signature string")
+
+
+def voted_answer(samples: Sequence[DataFrame], least: int = 2, tolerance: float = 1e-2) -> tuple[DataFrame | None, int | None]:
+    """The answer most samples agree on, and which sample it comes from: the best sample's columns that won the vote, the most
+    voted first, then in its own order. Without winners the first sample's columns are wanted; a best sample that lacks a
+    wanted column is given whole. No samples: (None, None)."""
+    if not samples:
+        return None, None
+    sigs = _known(sample_signatures(list(samples), tolerance))
+    votes = {w["signature"]: w["votes"] for w in vote_winners(sigs, max(least, 1)).collect()}
+    wanted = list(votes) or [s["signature"] for s in sigs.where("sample_id = 0").orderBy("col_idx").collect()]
+    if not wanted:
+        return samples[0], 0
+    chosen = best_sample(sigs, sigs.sparkSession.createDataFrame([(s,) for s in sorted(set(wanted))], "signature string")).first()["sample_id"]
+    own = {s["signature"]: s["place"] for s in sigs.where(F.col("sample_id") == chosen).groupBy("signature").agg(F.min("col_idx").alias("place")).collect()}
+    if not set(wanted) <= set(own) or (chosen == 0 and not votes):
+        return samples[chosen], chosen
+    places = sorted((own[s] for s in votes), key=lambda p: (-next(votes[s] for s in votes if own[s] == p), p)) if votes else [own[s] for s in wanted]
+    return projected(samples[chosen], places), chosen
+
+
+def intersected_answer(primary: DataFrame, verifiers: Sequence[DataFrame], agreement: int = 2, tolerance: float = 1e-2) -> DataFrame:
+    """The primary answer's columns that ``agreement - 1`` verifiers or more have too; all of it where there is none."""
+    sigs = _known(sample_signatures([primary, *verifiers], tolerance))
+    agreed = agreed_columns(sigs.where("sample_id = 0"), sigs.where("sample_id > 0"), agreement)
+    places = sorted(r["col_idx"] for r in agreed.collect())
+    return projected(primary, places) if places else primary
+
+
+def stamped(answer: object, succeeded: bool, reason: str | None = None) -> tuple[bool, str | None, list[str]]:
+    """Whether a task succeeded once its answer is looked at, why not, and the codes of its errors: missing_answer (None),
+    invalid_answer_type (not a table), or those of ``validation_issues``. What failed before stays failed, for its own reason."""
+    if answer is None:
+        codes = ["missing_answer"]
+    elif not isinstance(answer, DataFrame):
+        codes = ["invalid_answer_type"]
+    else:
+        codes = [r["code"] for r in validation_issues(answer).where("severity = 'error'").orderBy("col_idx", "code").collect()]
+    if not codes or not succeeded:
+        return succeeded, reason, codes
+    said = "invalid_answer: " + "; ".join(codes)
+    return False, f"{reason} | {said}" if reason else said, codes

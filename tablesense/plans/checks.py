@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
@@ -162,6 +162,37 @@ def _nodes(plan) -> Iterator:
                 yield from _nodes(node._2())
 
 
+def tables_of(spark: SparkSession, sql: str) -> list[str]:
+    """Last parts of the names of the tables that a statement reads, in lower case and sorted; its common table expressions aren't tables."""
+    read, own = set(), set()
+    for node in _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            read.add((parts.size(), parts.last().lower()))
+        elif kind == "UnresolvedWith":
+            relations = node.cteRelations()
+            own |= {(1, relations.apply(k)._1().lower()) for k in range(relations.size())}
+    return sorted({name for _, name in read - own})
+
+
+def with_overrides(spec: QuerySpec, overrides: Sequence[Mapping], concepts: Mapping[str, str] | None = None) -> QuerySpec:
+    """A specification with filters that were found to be otherwise: an override names a field, or a concept whose column ``concepts`` (lower case)
+    says, and a value. Filters of that column take the value; a field without a filter gets one. Overrides without a value change nothing."""
+    filters = list(spec.filters)
+    for o in overrides:
+        name = str(o.get("field") or "").strip()
+        meant = {name, (concepts or {}).get(str(o.get("concept") or "").strip().lower(), "")} - {""}
+        if not {"new_value", "value"} & set(o):
+            continue
+        value = o.get("new_value", o.get("value"))
+        if any(f.column in meant for f in filters):
+            filters = [replace(f, value=value) if f.column in meant else f for f in filters]
+        elif name:
+            filters.append(Filter(name, "=" if o.get("operator", "==") == "==" else o["operator"], value))
+    return replace(spec, filters=tuple(filters))
+
+
 def read_only_sql(spark: SparkSession, sql: str, limit: int | None = 200) -> tuple[DataFrame, DataFrame]:
     """Rows of a reading statement, at most ``limit`` of them, and whether there are more. The whole parsed tree decides: every
     node of it must be of ``READING_NODES``, and no function may call the JVM. Text that doesn't parse raises Spark's error."""

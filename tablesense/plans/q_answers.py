@@ -119,6 +119,19 @@ def cross_intersect(spark, d):
     return A.agreed_columns(sigs.where("sample_id = 0"), sigs.where("sample_id > 0"), agreement=3)
 
 
+@query("""SELECT n_name, n_nationkey FROM nation""")
+def voted_answer(spark, d):
+    n = table(spark, d, "nation")
+    answer, _ = A.voted_answer([n.select("n_name", "n_regionkey", "n_nationkey"), n.select("n_nationkey", F.lower("n_name").alias("b"), F.lit(1).alias("one"))])
+    return answer
+
+
+@query("""SELECT c_custkey, c_name FROM customer""")
+def intersected_answer(spark, d):
+    c = table(spark, d, "customer")
+    return A.intersected_answer(c.select("c_custkey", "c_name", "c_acctbal"), [c.select(F.upper("c_name").alias("x"), F.col("c_custkey").cast("string").alias("y"))])
+
+
 def _run(spark, d) -> DataFrame:
     tasks = spark.createDataFrame([(f"task_{i}",) for i in range(1, 5)], "task_id string")
     gold, noisy, n = _gold(spark, d), _noisy(_gold(spark, d)), table(spark, d, "nation")
