@@ -6,6 +6,9 @@ is the necessary prefix, the rarest, so a window is looked for where its rarest
 bounds where the window begins and ends, within its text. A candidate is verified by all the window's shingles standing at their places;
 shingles are compared as strings, so no hash decides. Only the occurrences of the items' own shingles ever leave the
 scan, as three numbers each, and texts are never shuffled. Equal texts are one text until the last join.
+
+The items' distinct shingles go to every executor if their measured size is within ``broadcast_bytes``; beyond it, the
+shingles of the texts are joined to them by a shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from tablesense.llm.shared import stage, text_key
 
 #: Characters between words, once A-Z are lower-cased: the ASCII characters that are neither digits nor letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes that a broadcast row takes besides its shingle: row header, two numbers and its place in the hash table.
+_ROW_BYTES = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +50,7 @@ def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str)
     return each.groupBy("w").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), F.size("w").alias("n"), "w", "items")
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """What ``contamination`` returns, with the key of the text as ``__content``."""
     # what is staged here stays, for the result reads it; all of it is narrow
     windows = stage(item_windows(benchmark, window, item_col, item_text_col), "windows")
@@ -55,7 +60,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
         "window-shingles",
     )
     known = stage(parts.select("size", "shingle").distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles")
-    sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # up to ``shingle`` numbers
+    measured = known.groupBy("size").agg(F.sum(F.octet_length("shingle") + _ROW_BYTES).alias("bytes")).orderBy("size").collect()  # up to ``shingle`` rows
+    sizes = [r["size"] for r in measured]
 
     nothing = F.array().cast("array<string>")
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("content"), words(F.col(text_col)).alias("w"))
@@ -66,6 +72,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("shingle")))
     each = texts.select("id", "content", "n_words", F.explode(F.concat(document, *[_shingles(F.col("w"), n) for n in sizes])).alias("e")).select("id", "content", "n_words", "e.*")
     wanted = known.select("shingle", "sid").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"), F.lit(-1).cast("long").alias("sid")))
+    if sum(r["bytes"] for r in measured) <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
     met = stage(each.join(wanted, "shingle").select(F.when(F.col("sid") < 0, F.col("id")).alias("id"), "content", "n_words", "pos", "sid"), "occurrences")
     rows = met.where("sid < 0").select("id", "content", "n_words")
     found = stage(met.where("sid >= 0").select("content", "pos", "sid").distinct(), "found")
@@ -84,7 +92,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     return rows.join(hits, "content", "left").select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", nothing).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_hit (words inside an occurrence of a window), items (sorted array
     of the ids, as strings, of items with occurring windows).
 
@@ -93,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     equal text are all named. Empty tables give no rows or no hits. Texts may be of any length; other columns of either table,
     whatever their names, are not read.
     """
-    return _judged(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text_col).drop("__content")
+    return _judged(docs, benchmark, window, shingle, id_col, text_col, item_col, item_text_col, broadcast_bytes).drop("__content")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -85,12 +85,13 @@ def brute_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 16 << 20])
+def test_decontamination_against_brute_force(spark, broadcast_bytes):
     item = "One two three, four FIVE six seven eight nine ten eleven twelve"
     items = [(1, item, 0), (2, "É uno dos", 0), (3, "single", 0), (4, None, 0), (5, "...", 0), (10, item, 0), (None, "null item words", 0)]
     texts = [None, "", item.upper(), "zero " + item.replace(",", " ;") + " one two three", "one two three four five six seven eight nine", "É UNO dos tres", "é uno dos", "singles", "a single single b", "null ITEM words", item + " " + item, "w " * 20_000 + item]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(None, "single", 1, 2), (3, "clean", 1, 2)], "doc_id long, text string, item int, w int")
-    got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string, n int")).collect()
+    got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string, n int"), broadcast_bytes=broadcast_bytes).collect()
     want = collections.Counter()
     for i, t in [*enumerate(texts), (None, "single"), (3, "clean")]:
         words, hit, named = brute_words(t), set(), set()
