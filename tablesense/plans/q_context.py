@@ -78,7 +78,7 @@ def counter_summary(spark, d):
     return X.counter_summary(table(spark, d, "part"), "p_brand")
 
 
-@query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND conv_id = 0 GROUP BY 1""")
+@query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1""")
 def first_success(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("ok"))
     return X.first_success(c, "turn", "ok", ["conv_id"]).select("conv_id", "turn")

@@ -60,7 +60,7 @@ def profile_dtype_vote(spark, d):
     return P.dtype_votes(P.long_form(e.select("*", F.col("event_id").alias("__pos")), e.columns, "__pos"))
 
 
-@query("""SELECT user_id AS value, cnt, cardinality FROM (SELECT user_id, count(*) AS cnt FROM events WHERE user_id < 40 GROUP BY 1 ORDER BY cnt DESC, user_id LIMIT 5), (SELECT count(DISTINCT user_id) AS cardinality FROM events WHERE user_id < 40)""")
+@query("""SELECT event_type AS value, cnt, cardinality FROM (SELECT event_type, count(*) AS cnt FROM events GROUP BY 1 ORDER BY cnt DESC, event_type NULLS FIRST LIMIT 5), (SELECT count(DISTINCT event_type) AS cardinality FROM events)""")
 def profile_database_column(spark, d):
     return P.exact_profile(table(spark, d, "events"), "event_type")
 

@@ -158,7 +158,7 @@ def legality_records(spark, d):
     return X.legalities(blocks, "block", "pos").drop("first_seen")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AS is_record FROM orders WHERE o_orderkey < 500""")
+@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AS is_record FROM orders""")
 def record_text_detector(spark, d):
     para = "Patient file number 12345 was recorded on 1991-03-04 with GOT level 35 U/L and creatinine value 1.2 mg/dL. "
     text = F.when(F.col("o_orderkey") % 2 == 0, F.repeat(F.lit(para), 6)).otherwise(F.repeat(F.lit("A quiet walk by the river. "), 40))
@@ -225,7 +225,7 @@ def tfidf_topk(spark, d):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 10),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 6""")
