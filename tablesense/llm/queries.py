@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
+from tablesense.llm import collocations, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def _normalised_sql(text: str) -> str:
     plain = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.SIGNS}', '  ', 'g')"
     spelt = f"concat(' ', {plain}, ' ')"
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
