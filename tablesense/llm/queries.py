@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import collocations, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
+from tablesense.llm import collocations, conversations, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,6 +76,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = conversations.ordered_turns(_table(spark, sf_dir, "conversations"))
+    convs, rebuilt = conversations.branched(turns, base=conv - conv % 100, taken=conversations.crc_of_id(conv) % 6, most=5)
+    return conversations.prefix_trie(convs, rebuilt)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_collocations": op13_collocations,
 }
 
