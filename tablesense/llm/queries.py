@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesense.llm import collocations, conversations, decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
+from tablesense.llm import collocations, conversations, decontamination, language_id, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substrings, tokens, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,6 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs, max_documents=2400, max_windows=4))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     turns = conversations.ordered_turns(_table(spark, sf_dir, "conversations"))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_language_id": op11_language_id,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_collocations": op13_collocations,
 }
