@@ -7,8 +7,10 @@ word further on: places p of ``w1 .. wk`` meet places p + 1 of ``w2 .. wk+1``, t
 the phrase that it ends, since the longer phrase can only be frequent if both are. The meeting places are the longer phrase's
 list.
 
-Lists stay in their block; what is shuffled is a row per block and phrase. A phrase has one such row per block at most, so the
-commonest phrase is no hot key.
+Lists stay in their block. To learn which phrases are frequent, each block deals its phrases and their counts out over buckets, as
+arrays of numbers, one row for each bucket; a bucket adds them up and sends each block back the ids of those that are frequent. A
+phrase has one count per block at most, so the commonest phrase is no hot key, and there are as many buckets as keep one to
+a few million counts.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.llm.shared import discard, stage
+from tablesense.llm.shared import discard, partitions, stage
 from tablesense.llm.tokens import slices
 
 #: Words that a task holds before it writes its blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 4_000_000
+#: Counts that a bucket has, on average, at most.
+BUCKET_COUNTS = 4_000_000
 LONGEST = 4
 _LINE = "\n"
 _SPELT = {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)} | {ord(c): _LINE for c in ".,;:!?\x0a\x0b\x0c\x0d"} | {ord("\t"): " "}
@@ -34,6 +38,25 @@ _PIECE_PARTS = re.compile("[^ \n]+|\n")
 _LISTS = "block long, ids binary, ends binary, positions binary"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, lowest first: the upper planes of small numbers are all zeros, which compress to nothing."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _numbers(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _packed_lists(positions: np.ndarray) -> bytes:
+    """Places list by list, as differences, which are small within a list."""
+    return _packed(np.diff(positions.astype(np.int32), prepend=np.int32(0)))
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(packed, np.int32), dtype=np.int32)
+
+
 class _Block:
     """Words of one language, numbered in order of appearance; the end of a piece is -1."""
 
@@ -87,7 +110,7 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for lang, block in held.items():
                 words, counts, positions = block.lists()
                 made += 1
-                row = [[task << 32 | made], [lang], [int(counts.sum())], [words], [counts], [positions.tobytes()]]
+                row = [[task << 32 | made], [lang], [int(counts.sum())], [words], [counts], [_packed_lists(positions)]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()), strict=True)], names=["block", "lang", "n", "words", "counts", "positions"])
             held.clear()
 
@@ -103,31 +126,89 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return stage(rows.mapInArrow(write, "block long, lang string, n long, words array<string>, counts array<int>, positions binary"), "word-lists")
 
 
-def _frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows of ``counts`` (block, keys, count) whose keys have ``least`` in all blocks together, with total, an id of the keys,
-    and first, true in one row of each id; as a written table."""
-    total = F.sum("count").over(Window.partitionBy(*keys)).alias("total")
-    rows = counts.select(*counts.columns, total).where(F.col("total") >= least)  # rows of equal keys stand together
+def _frequent_words(blocks: DataFrame, least: int) -> DataFrame:
+    """block, word_no, lang, word, total, id of words that occur ``least`` times in their language; first is true in one row of each
+    id. A written table."""
+    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("word_no", "w")).select("block", "lang", "word_no", F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("count"))
+    total = F.sum("count").over(Window.partitionBy("lang", "word")).alias("total")
+    named = rows.select("block", "lang", "word_no", "word", total).where(F.col("total") >= least)  # rows of one word stand together
 
     def name(it):
         part, number, last = TaskContext.get().partitionId(), -1, None
         for batch in it:
             if not batch.num_rows:
                 continue
-            of = [batch.schema.get_field_index(k) for k in keys]
             new = np.zeros(batch.num_rows, bool)
-            for i in of:
-                c = batch.column(i)
+            for c in (batch.column("lang"), batch.column("word")):
                 new[1:] |= np.array(pc.not_equal(c[1:], c[:-1]), bool)
-            head = [batch.column(i)[0].as_py() for i in of]
-            new[0] = head != last
-            last = [batch.column(i)[-1].as_py() for i in of]
+            ends = [(batch.column("lang")[i].as_py(), batch.column("word")[i].as_py()) for i in (0, batch.num_rows - 1)]
+            new[0] = ends[0] != last
+            last = ends[1]
             ids = number + np.cumsum(new)
             number = int(ids[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((part << 40) + ids), pa.array(new)], names=[*batch.schema.names, "id", "first"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return stage(rows.mapInArrow(name, f"{kinds}, id long, first boolean"), "frequent")
+    return stage(named.mapInArrow(name, "block long, lang string, word_no int, word string, total long, id long, first boolean"), "frequent")
+
+
+def _frequent_pairs(lists: DataFrame, least: int, buckets: int) -> DataFrame:
+    """What of two lists that follow each other ``least`` times: rows of arrays a, b and id for each block, and rows without a block that
+    have total too, for each phrase once. A written table."""
+    kind = "bucket int, block long, a binary, b binary, n binary"
+
+    def deal(it):
+        for batch in it:
+            for block, *kept in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                known, _, a, b = _merged(*kept)
+                pairs, n = np.unique(a * max(1, len(known)) + b, return_counts=True)
+                if not len(pairs):
+                    continue
+                a, b = (known[x] for x in np.divmod(pairs, len(known)))
+                mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                bucket = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                there, first = np.unique(bucket[order], return_index=True)
+                parts = [np.split(x[order], first[1:]) for x in (a, b, n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), block)), *[pa.array([_packed(x) for x in p], pa.binary()) for p in parts]], names=["bucket", "block", "a", "b", "n"])
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        blocks = rows.column("block").to_pylist()
+        parts = [[_numbers(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("a", "b", "n")]
+        a, b, n = (np.concatenate(p) for p in parts)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        total = np.add.reduceat(n[order], np.flatnonzero(new))
+        run = np.cumsum(new) - 1
+        ids = np.where(total >= least, np.cumsum(total >= least) - 1, -1)
+        of = np.empty(len(order), np.int64)
+        of[order] = ids[run]
+        bucket = key[0].as_py()
+        head = np.flatnonzero(new)[total >= least]
+        name = lambda x: x * buckets + bucket
+        out = [(None, a[head], b[head], name(ids[total >= least]), total[total >= least])] if len(head) else []
+        at = 0
+        for block, x, y in zip(blocks, *parts[:2], strict=True):
+            own = of[at : at + len(x)]
+            at += len(x)
+            if (own >= 0).any():
+                out.append((block, x[own >= 0], y[own >= 0], name(own[own >= 0]), None))
+        columns = [pa.array([r[0] for r in out], pa.int64())] + [pa.array([None if r[i] is None else _packed(r[i]) for r in out], pa.binary()) for i in range(1, 5)]
+        return pa.Table.from_arrays(columns, names=["block", "a", "b", "id", "total"])
+
+    dealt = lists.mapInArrow(deal, kind)
+    return stage(dealt.groupBy("bucket").applyInArrow(add, "block long, a binary, b binary, id binary, total binary"), "frequent")
+
+
+def _phrases(named: DataFrame) -> DataFrame:
+    """id, total, a, b: a row for each phrase."""
+
+    def rows(it):
+        for batch in it:
+            for packed in zip(*(batch.column(c).to_pylist() for c in ("id", "total", "a", "b")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(x, np.int64)) for x in packed], names=["id", "total", "a", "b"])
+
+    return stage(named.where("block is null").mapInArrow(rows, "id long, total long, a long, b long"), "phrases")
 
 
 def _vertical(ids: np.ndarray, positions: np.ndarray) -> list[bytes]:
@@ -135,12 +216,12 @@ def _vertical(ids: np.ndarray, positions: np.ndarray) -> list[bytes]:
     order = np.argsort(ids, kind="stable")
     known, first = np.unique(ids[order], return_index=True)
     ends = np.append(first[1:], len(ids)).astype(np.int32)
-    return [known.astype(np.int64).tobytes(), ends.tobytes(), positions[order].astype(np.int32).tobytes()]
+    return [_packed(known.astype(np.int64)), _packed(ends), _packed_lists(positions[order])]
 
 
 def _merged(ids: bytes, ends: bytes, positions: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lists' ids, and where one list's place p meets another's p + 1: p, and which lists these are."""
-    known, last, place = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int32), np.frombuffer(positions, np.int32)
+    known, last, place = _numbers(ids, np.int64), _numbers(ends, np.int32), _places(positions)
     of = np.repeat(np.arange(len(known)), np.diff(last, prepend=0))
     order = np.argsort(place, kind="stable")
     place, of = place[order], of[order]
@@ -148,21 +229,6 @@ def _merged(ids: bytes, ends: bytes, positions: bytes) -> tuple[np.ndarray, np.n
     return known, place[meet], of[meet], of[meet + 1]
 
 
-def _extensions(lists: DataFrame) -> DataFrame:
-    """block, a, b, count: how often the list of b goes on where that of a leaves off."""
-
-    def count(it):
-        for batch in it:
-            for block, *kept in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                known, _, a, b = _merged(*kept)
-                pairs, n = np.unique(a * max(1, len(known)) + b, return_counts=True)
-                if len(pairs):
-                    a, b = np.divmod(pairs, len(known))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(known[a]), pa.array(known[b]), pa.array(n.astype(np.int64))], names=["block", "a", "b", "count"])
-
-    return lists.mapInArrow(count, "block long, a long, b long, count long")
-
-
 def _lists_of_words(blocks: DataFrame, named: DataFrame) -> DataFrame:
     """Lists of the frequent words, under their ids."""
 
@@ -172,7 +238,7 @@ def _lists_of_words(blocks: DataFrame, named: DataFrame) -> DataFrame:
             counts = counts.values.to_numpy()
             of = np.full(len(counts), -1, np.int64)
             of[right.column("word_no").to_numpy()] = right.column("id").to_numpy()
-            ids, place = np.repeat(of, counts), np.frombuffer(positions.as_py(), np.int32)
+            ids, place = np.repeat(of, counts), _places(positions.as_py())
             kept = ids >= 0
             rows.append(_vertical(ids[kept], place[kept]))
         return _lists_table(key[0].as_py(), rows)
@@ -185,7 +251,7 @@ def _lists_of_longer(lists: DataFrame, named: DataFrame) -> DataFrame:
 
     def keep(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        wanted = [right.column(c).to_numpy() for c in ("a", "b", "id")]
+        wanted = [np.concatenate([np.zeros(0, np.int64), *(_numbers(x, np.int64) for x in right.column(c).to_pylist())]) for c in ("a", "b", "id")]
         for kept in zip(*(left.column(c).to_pylist() for c in ("ids", "ends", "positions")), strict=True):
             known, place, a, b = _merged(*kept)
             if not len(wanted[0]) or not len(place):
@@ -199,7 +265,7 @@ def _lists_of_longer(lists: DataFrame, named: DataFrame) -> DataFrame:
             rows.append(_vertical(ids[at[found]], place[found]))
         return _lists_table(key[0].as_py(), rows)
 
-    return stage(lists.groupBy("block").cogroup(named.select("block", "a", "b", "id").groupBy("block")).applyInArrow(keep, _LISTS), "phrase-lists")
+    return stage(lists.groupBy("block").cogroup(named.where("block is not null").select("block", "a", "b", "id").groupBy("block")).applyInArrow(keep, _LISTS), "phrase-lists")
 
 
 def _lists_table(block: int, rows: list[list[bytes]]) -> pa.Table:
@@ -213,21 +279,20 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     without its last word (a) and without its first (b)."""
     blocks = word_blocks(docs, text_col, lang_col, block_words)
     sizes = stage(blocks.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "words")
-    counts = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("word_no", "w")).select("block", "lang", "word_no", F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("count"))
-    named = _frequent(counts, ["lang", "word"], least)
+    named = _frequent_words(blocks, least)
     lists = _lists_of_words(blocks, named)
     discard(blocks)
     found = [stage(named.where("first").select("id", "total", "lang", "word"), "phrases")]
+    discard(named)
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-n // BUCKET_COUNTS))
     for size in range(2, LONGEST + 1):
-        discard(named)
-        if size == LONGEST:  # nothing is built on these, so their lists aren't either
-            longest = _extensions(lists).groupBy("a", "b").agg(F.sum("count").alias("total")).where(F.col("total") >= least)
-            found.append(stage(longest.select(F.monotonically_increasing_id().alias("id"), "total", "a", "b"), "phrases"))
-        else:
-            named = _frequent(_extensions(lists), ["a", "b"], least)
-            found.append(stage(named.where("first").select("id", "total", "a", "b"), "phrases"))
+        named = _frequent_pairs(lists, least, buckets)
+        found.append(_phrases(named))
+        if size < LONGEST:  # nothing is built on the longest
             before, lists = lists, _lists_of_longer(lists, named)
             discard(before)
+        discard(named)
     discard(lists)
     return sizes, found
 
