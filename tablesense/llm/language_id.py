@@ -44,17 +44,19 @@ _SYMBOL = _symbols()
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of some texts, each padded to whole windows and to ``_AHEAD`` places at least; and for each window the text it is
-    of and how many bytes of it. A text's last window may have no byte of it."""
+    """Windows of symbols, a row each with the ``_AHEAD`` places that follow it in the text, padded at its end; the text that each
+    is of, and how many bytes of it. A text without bytes has one window."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    count = (sizes + _AHEAD + WINDOW - 1) // WINDOW
-    begins = (np.cumsum(count) - count) * WINDOW
-    out = np.zeros(int(count.sum()) * WINDOW, np.uint8)
+    count = np.maximum(1, -(-sizes // WINDOW))
+    room = count * WINDOW + _AHEAD
+    begins = np.cumsum(room) - room
+    line = np.zeros(int(room.sum()), np.uint8)
     for text, at in zip(texts, begins, strict=True):
-        out[at : at + len(text)] = _SYMBOL[np.frombuffer(text, np.uint8)]
+        line[at : at + len(text)] = _SYMBOL[np.frombuffer(text, np.uint8)]
     of = np.repeat(np.arange(len(texts)), count)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    return out, of, np.clip(sizes[of] - nth * WINDOW, 0, WINDOW)
+    rows = line[(begins[of] + nth * WINDOW)[:, None] + np.arange(WINDOW + _AHEAD)]
+    return rows, of, np.clip(sizes[of] - nth * WINDOW, 0, WINDOW)
 
 
 @dataclass(frozen=True)
@@ -78,19 +80,15 @@ class Network:
         return np.ascontiguousarray(np.concatenate(parts, axis=1), dtype=np.float32)
 
     def pooled(self, symbols: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """The filters' highest answers in each window, over places of the windows and what follows them."""
-        n = len(symbols) // WINDOW
-        padded = np.append(symbols, np.zeros(_AHEAD + 1, np.uint8)).astype(np.intp)
-        pairs = padded[:-1] * _SYMBOLS + padded[1:]
-        found = np.empty((n, len(WIDTHS) * _FILTERS), np.float32)
-        for lo in range(0, n, _WINDOWS_AT_ONCE):
-            hi = min(n, lo + _WINDOWS_AT_ONCE)
-            size, at = (hi - lo) * WINDOW, 0
-            answers = table[pairs[lo * WINDOW : hi * WINDOW + _AHEAD]]
+        """The filters' highest answers in each window."""
+        pairs = symbols[:, :-1].astype(np.intp) * _SYMBOLS + symbols[:, 1:]
+        found = np.empty((len(symbols), len(WIDTHS) * _FILTERS), np.float32)
+        for lo in range(0, len(symbols), _WINDOWS_AT_ONCE):
+            answers, at = table[pairs[lo : lo + _WINDOWS_AT_ONCE]], 0
             for j, width in enumerate(WIDTHS):
-                own = sum(answers[k : k + size, at + k // 2 * _FILTERS :][:, :_FILTERS] for k in range(0, width, 2))
+                own = sum(answers[:, k : k + WINDOW, at + k // 2 * _FILTERS :][..., :_FILTERS] for k in range(0, width, 2))
                 at += width // 2 * _FILTERS
-                found[lo:hi, j * _FILTERS : (j + 1) * _FILTERS] = own.reshape(hi - lo, WINDOW, _FILTERS).max(axis=1)
+                found[lo : lo + _WINDOWS_AT_ONCE, j * _FILTERS : (j + 1) * _FILTERS] = own.max(axis=1)
         return found
 
     def predict(self, texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
