@@ -167,6 +167,14 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _first_of_each(rows: DataFrame, key: str, order: list[str], most: int, ways: int = 128) -> DataFrame:
+    """The first ``most`` rows of each key, in two steps: no task reads more than ``ways * most`` rows of a key in the second."""
+    for dealt in ([key, F.spark_partition_id() % ways], [key]):
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*dealt).orderBy(*order))).where(F.col("__n") <= most)
+        rows = rows.drop("__n")
+    return rows
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = 2400, max_windows: int = 4) -> Network:
     """Learns from rows that aren't held out and whose text and language aren't null.
 
@@ -178,9 +186,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).cast("string").alias("t"))
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_documents).collect())
     each = max(1, max_documents // max(1, len(languages)))
-    first = Window.partitionBy("lang").orderBy("h")
-    # first the hashes alone, which sets the highest of each language's sample; then the texts of those
-    bounds = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).groupBy(F.col("lang").alias("own")).agg(F.max("h").alias("most"))
+    # first the hashes alone, which set the highest of each language's sample; then the texts of those
+    bounds = _first_of_each(rows.select("lang", "h"), "lang", ["h"], each).groupBy(F.col("lang").alias("own")).agg(F.max("h").alias("most"))
     near = rows.join(F.broadcast(bounds.limit(max_documents)), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("most"))).select("lang", "h", "t")
     size = WINDOW + _AHEAD
 
@@ -194,8 +201,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(samples, pa.list_(pa.binary()))], names=["lang", "h", "samples"])
 
     sampled = near.mapInArrow(cut, "lang string, h long, samples array<binary>")
-    got = sampled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "samples"))).where(F.col("n") <= each).collect()
-    got.sort(key=lambda r: (r["lang"], r["n"]))
+    got = _first_of_each(sampled, "lang", ["h", "samples"], each).collect()
+    got.sort(key=lambda r: (r["lang"], r["h"], r["samples"]))
     place = {lang: k for k, lang in enumerate(languages)}
     samples = [(bytes(s), place[r["lang"]]) for r in got for s in r["samples"] if s]
     return fit([s for s, _ in samples], np.array([k for _, k in samples], np.int64), languages)
