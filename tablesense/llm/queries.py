@@ -115,6 +115,35 @@ FROM d LEFT JOIN known ON known.digest = sha256(normal)
 """
 
 
+#: CRC-32 by its table of 256 remainders, a byte at a time.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(tab[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295)"
+
+_TRIE_SQL = f"""
+WITH tab AS (
+  SELECT list(t ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) r(i))
+), t AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), h AS (SELECT conv, own, conv - conv % 100 AS base, {_CRC.format("CAST(conv AS VARCHAR)")} % 6 AS taken FROM (SELECT conv, count(*) AS own FROM t GROUP BY conv), tab
+), k AS (SELECT h.*, least(taken, coalesce(b.own, 0)) AS lead FROM h LEFT JOIN (SELECT conv, own FROM h) b ON b.conv = h.base), turns AS (
+  SELECT k.conv, t.i AS depth, role, text FROM k JOIN t ON t.conv = base AND t.i <= lead
+  UNION ALL SELECT k.conv, t.i - taken + lead, role, text FROM k JOIN t ON t.conv = k.conv AND t.i > taken
+), x AS (
+  SELECT conv, depth, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ) OVER (PARTITION BY conv ORDER BY depth)) AS node FROM turns
+  UNION ALL SELECT conv, 0, 0, '' FROM k
+), size AS (SELECT conv, max(depth) AS size FROM x GROUP BY conv), nodes AS (
+  SELECT node, min(x.conv) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars,
+    string_agg(CAST(x.conv AS VARCHAR), ',' ORDER BY x.conv) FILTER (depth = size) AS ends FROM x JOIN size USING (conv) GROUP BY node
+), up AS (
+  SELECT nodes.node, p.node AS parent, q.conv_id AS parent_conv_id FROM nodes LEFT JOIN x p ON p.conv = nodes.conv_id AND p.depth = nodes.depth - 1 LEFT JOIN nodes q ON q.node = p.node
+), kids AS (SELECT parent AS node, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent), sums AS (
+  SELECT a.node, sum((n.n_convs - 1) * n.chars) AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves
+  FROM nodes n JOIN x a ON a.conv = n.conv_id AND a.depth <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY a.node
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN up USING (node) JOIN sums USING (node) LEFT JOIN kids USING (node)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -132,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_trie": _TRIE_SQL,
     "op8_licenses": _licenses_sql(),
     "op6_decontamination": r"""
 WITH d AS (
