@@ -1,56 +1,136 @@
 """Answer tables: validation, comparison by column content, scoring, voting and agreement.
 
 Tables are compared as multisets of column contents: names, row order and column order don't matter. A column is never
-sorted or collected; its signature is made of sums over its cells' hashes.
+sorted or collected; its signature is made of sums over its cells' hashes, which one aggregate takes for all columns. Where
+equal signatures aren't enough, their cells' counts are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.functions.cells import is_emptyish, match_token, value_label
-
-
-def token_cells(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
-    """col_idx, token: every cell of a table, columns by their place, from one scan."""
-    cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), match_token(F.col(f"`{c}`"), tolerance).alias("token")) for i, c in enumerate(df.columns)])
-    return df.select(F.explode(cells).alias("c")).select("c.col_idx", "c.token")
+from tablesense.functions.cells import EMPTY, is_emptyish, match_token, value_label
 
 
 def _ordinal(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def signatures(df: DataFrame, tolerance: float = 1e-2) -> DataFrame:
-    """col_idx, signature: equal for columns with the same cells as often. Tables may have columns of the same name."""
-    spark = df.sparkSession
-    if not df.columns:
-        return spark.createDataFrame([], "col_idx int, signature string")
-    there = spark.range(len(df.columns)).select(F.col("id").cast("int").alias("col_idx"), F.lit(None).cast("string").alias("token"))
-    return signed(token_cells(_ordinal(df), tolerance).unionByName(there), "col_idx")
+def cell_hashes(token: Column) -> list[Column]:
+    """Four numbers of 24 bits from two hashes of a token: sums of them over a column don't overflow below 2^39 rows."""
+    h, other = F.xxhash64(token), F.xxhash64(F.lit(7), token)
+    low = F.lit((1 << 24) - 1).cast("long")
+    return [h.bitwiseAND(low), F.shiftrightunsigned(h, 40), other.bitwiseAND(low), F.shiftrightunsigned(other, 40)]
+
+
+Hashes = Callable[[Column], Sequence[Column]]
 
 
-def signed(cells: DataFrame, *keys: str) -> DataFrame:
-    """keys, signature: of columns given as cells (keys, token). A null token is no cell; it says that its column is there, so
-    that columns without cells have a signature too, all the same one."""
-    counts = cells.groupBy(*keys, "token").agg(F.count("token").alias("n"))
-    has = F.col("n") > 0
-    h = F.when(has, F.xxhash64("token", "n"))
-    check = F.when(has, F.crc32(F.concat_ws(":", "token", "n").cast("binary")))
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 20)).alias("s"), F.bit_xor(check).alias("c"))
-    return sums.select(*keys, F.sha2(F.concat_ws("|", "n", "x", "s", "c"), 256).alias("signature"))
+def _fingerprint(n: Column, sums: Sequence[Column]) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.sha2(F.concat_ws("|", n, *[F.coalesce(s, zero) for s in sums]).cast("binary"), 256)
 
 
-def match_columns(gold: DataFrame, prediction: DataFrame, tolerance: float = 1e-2) -> DataFrame:
+def _wide_signatures(df: DataFrame, tolerance: float, hashes: Hashes = cell_hashes, counted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One aggregate over the table as it is: nothing but a row per partition is shuffled."""
+    places = range(len(df.columns))
+    tokens = _ordinal(df).select(*[match_token(F.col(f"c{i}"), tolerance).alias(f"c{i}") for i in places])
+    if counted:
+        tokens = tokens.select(*[F.when(counted(F.col(f"c{i}")), F.col(f"c{i}")).alias(f"c{i}") for i in places])
+    parts = [hashes(F.col(f"c{i}")) for i in places]
+    hashed = tokens.select(*[F.when(F.col(f"c{i}").isNotNull(), F.struct(*[p.alias(f"h{j}") for j, p in enumerate(parts[i])])).alias(f"c{i}") for i in places])
+    sums = hashed.agg(*[F.struct(F.lit(i).alias("col_idx"), _fingerprint(F.count(f"c{i}"), [F.sum(f"c{i}.h{j}") for j in range(len(parts[i]))]).alias("signature")).alias(f"c{i}") for i in places])
+    return sums.select(F.explode(F.array(*[f"c{i}" for i in places])).alias("s")).select("s.col_idx", "s.signature")
+
+
+def signatures(df: DataFrame, tolerance: float = 1e-2, hashes: Hashes = cell_hashes) -> DataFrame:
+    """col_idx, signature: equal for columns with the same cells as often. Tables may have columns of the same name.
+
+    A signature is a count and sums of hashes; ``column_classes`` says which columns of equal signatures have equal cells."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "col_idx int, signature string")
+    return _wide_signatures(df, tolerance, hashes)
+
+
+def signed(cells: DataFrame, *keys: str, hashes: Hashes = cell_hashes) -> DataFrame:
+    """keys, signature: of columns given as cells (keys, token), the same as ``signatures`` has. A null token is no cell; it says
+    that its column is there, so that columns without cells have a signature too, all the same one."""
+    sums = [F.sum(F.when(F.col("token").isNotNull(), h)) for h in hashes(F.col("token"))]
+    return cells.groupBy(*keys).agg(_fingerprint(F.count("token"), sums).alias("signature"))
+
+
+def column_classes(tables: Sequence[DataFrame], tolerance: float = 1e-2, hashes: Hashes = cell_hashes) -> DataFrame:
+    """table_no, col_idx, class_no: columns of one class have the same cells as often, cell by cell; the class is numbered by its
+    first column, counted over all tables.
+
+    Signatures choose candidates, of which there are as many rows as columns. Columns alone in their signature are done; the others
+    are confirmed: cells are counted, and each column's counts are joined with those of its candidate class's first column by a
+    full outer join on the token. A column with a count that differs or is missing on either side is no member; such columns
+    are tried among themselves, until none is left over. Columns without cells (of tables without rows) are equal.
+    """
+    spark = next(iter(tables)).sparkSession
+    sigs = [r for i, df in enumerate(tables) for r in signatures(df, tolerance, hashes).withColumn("t", F.lit(i)).collect()]
+    order = {c: n for n, c in enumerate(sorted((r["t"], r["col_idx"]) for r in sigs))}
+    pending: dict[int, list[int]] = {}
+    for members in _grouped((r["signature"], order[r["t"], r["col_idx"]]) for r in sigs).values():
+        pending[members[0]] = members
+    done: dict[int, int] = {}
+    place = {n: c for c, n in order.items()}
+    while pending:
+        done.update({m: first for first, members in pending.items() for m in members[:1]})
+        again = {first: members for first, members in pending.items() if len(members) > 1}
+        if not again:
+            break
+        equal = _equal_to_first(spark, tables, again, place, tolerance)
+        done.update({m: first for first, members in again.items() for m in members if m in equal})
+        pending = {left[0]: left for members in again.values() if (left := [m for m in members[1:] if m not in equal])}
+    return spark.createDataFrame([(*place[m], first) for m, first in done.items()], "table_no int, col_idx int, class_no int")
+
+
+def _grouped(pairs) -> dict:
+    found: dict = {}
+    for key, value in sorted(pairs):
+        found.setdefault(key, []).append(value)
+    return found
+
+
+def _equal_to_first(spark, tables: Sequence[DataFrame], classes: Mapping[int, list[int]], place: Mapping[int, tuple[int, int]], tolerance: float) -> set[int]:
+    """Which members of candidate classes have the same cells as often as the first of their class."""
+    wanted = _grouped((place[m][0], (place[m][1], m)) for members in classes.values() for m in members)
+    cells = []
+    for t, columns in wanted.items():
+        own = _ordinal(tables[t])
+        cell = F.array(*[F.struct(F.lit(m).alias("member"), match_token(F.col(f"c{i}"), tolerance).alias("token")) for i, m in columns])
+        cells.append(own.select(F.explode(cell).alias("c")).select("c.member", "c.token"))
+    counts = reduce(DataFrame.unionByName, cells).groupBy("member", "token").agg(F.count("*").alias("n"))
+    first_of = spark.createDataFrame([(m, first) for first, members in classes.items() for m in members], "m int, first int")  # a row per column
+    counted = counts.join(F.broadcast(first_of), F.col("member") == F.col("m")).select("member", "first", "token", "n")
+    own = counted.where("member <> first")
+    heads = counted.where("member = first").select(F.col("first").alias("f"), F.col("token").alias("t"), F.col("n").alias("k"))
+    others = F.broadcast(first_of.where("m <> first"))
+    expected = heads.join(others, F.col("f") == F.col("first")).select(F.col("m").alias("of"), "t", "k")
+    joined = own.join(expected, (F.col("member") == F.col("of")) & F.col("token").eqNullSafe(F.col("t")), "full")
+    odd = joined.where(~F.col("n").eqNullSafe(F.col("k"))).select(F.coalesce("member", "of").alias("m")).distinct()
+    unequal = {r["m"] for r in odd.collect()}
+    return {m for first, members in classes.items() for m in members if m == first or m not in unequal}
+
+
+def match_columns(gold: DataFrame, prediction: DataFrame, tolerance: float = 1e-2, exact: bool = False) -> DataFrame:
     """gold_idx, pred_idx: a largest set of pairs of equal columns. Equality parts columns into classes, and a class of g
-    gold and p predicted columns has min(g, p) pairs, the i-th gold with the i-th last of as many predicted ones."""
+    gold and p predicted columns has min(g, p) pairs, the i-th gold with the i-th last of as many predicted ones. Classes are those of
+    equal signatures, or with ``exact`` of equal cells."""
+    if exact:
+        sides = column_classes([gold, prediction], tolerance).select("table_no", "col_idx", F.col("class_no").alias("signature"))
+        sides = [sides.where(F.col("table_no") == i).drop("table_no") for i in (0, 1)]
+    else:
+        sides = [signatures(gold, tolerance), signatures(prediction, tolerance)]
     place = Window.partitionBy("signature").orderBy("col_idx")
-    g = signatures(gold, tolerance).withColumn("i", F.row_number().over(place) - 1).withColumn("g", F.count("*").over(Window.partitionBy("signature")))
-    p = signatures(prediction, tolerance).withColumn("j", F.row_number().over(place) - 1).withColumn("p", F.count("*").over(Window.partitionBy("signature")))
+    g = sides[0].withColumn("i", F.row_number().over(place) - 1).withColumn("g", F.count("*").over(Window.partitionBy("signature")))
+    p = sides[1].withColumn("j", F.row_number().over(place) - 1).withColumn("p", F.count("*").over(Window.partitionBy("signature")))
     pairs = g.alias("x").join(p.alias("y"), "signature").withColumn("t", F.least("g", "p"))
     return pairs.where((F.col("i") < F.col("t")) & (F.col("j") == F.col("t") - 1 - F.col("i"))).select(F.col("x.col_idx").alias("gold_idx"), F.col("y.col_idx").alias("pred_idx"))
 
@@ -74,12 +154,9 @@ def strict_match(gold: DataFrame, prediction: DataFrame, tolerance: float = 1e-2
     """correct: whether every gold column is among the predicted ones, empty cells left out and multiplicity aside."""
 
     def full(df: DataFrame) -> DataFrame:
-        cells = token_cells(_ordinal(df), tolerance).where("token <> '__EMPTY__' and token <> 'nan'")
-        counts = cells.groupBy("col_idx", "token").agg(F.count("*").alias("n"))
-        h = F.xxhash64("token", "n")
-        own = counts.groupBy("col_idx").agg(F.sum("n").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 20)).alias("s"))
-        every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("col_idx"))
-        return every.join(own, "col_idx", "left").select(F.coalesce(F.concat_ws("|", "n", "x", "s"), F.lit("")).alias("sig"))
+        if not df.columns:
+            return df.sparkSession.createDataFrame([], "sig string")
+        return _wide_signatures(df, tolerance, counted=lambda t: ~t.isin(EMPTY, "nan")).select(F.col("signature").alias("sig"))
 
     missing = full(gold).join(full(prediction), "sig", "left_anti")
     return missing.agg((F.count("*") == 0).alias("correct"))

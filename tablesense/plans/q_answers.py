@@ -54,6 +54,19 @@ def column_signature_equal(spark, d):
     return g.alias("g").join(p.alias("p"), "signature").select(F.col("g.col_idx").alias("gold_idx"), F.col("p.col_idx").alias("pred_idx"))
 
 
+@query("""
+WITH cells AS (
+  SELECT 0 AS t, unnest([{'c': 0, 'v': CAST(l_quantity AS DOUBLE)}, {'c': 1, 'v': l_discount}, {'c': 2, 'v': l_tax}, {'c': 3, 'v': CAST(l_linenumber AS DOUBLE)}]) AS x FROM lineitem
+  UNION ALL SELECT 1, unnest([{'c': 0, 'v': l_tax}, {'c': 1, 'v': CAST(l_linenumber AS DOUBLE)}, {'c': 2, 'v': l_quantity + CASE WHEN l_linenumber = 1 AND l_quantity = 1 THEN 1 ELSE 0 END}, {'c': 3, 'v': l_discount}]) FROM lineitem
+), counts AS (SELECT t, x.c AS c, round_even(x.v / 0.01, 0) AS v, count(*) AS n FROM cells GROUP BY 1, 2, 3),
+ columns_ AS (SELECT t, c, string_agg(CAST(v AS VARCHAR) || ':' || n, ',' ORDER BY v) AS content, t * 4 + c AS k FROM counts GROUP BY 1, 2)
+SELECT CAST(t AS INTEGER) AS table_no, CAST(c AS INTEGER) AS col_idx, CAST(min(k) OVER (PARTITION BY content) AS INTEGER) AS class_no FROM columns_""")
+def confirmed_columns(spark, d):
+    li = table(spark, d, "lineitem")
+    changed = F.col("l_quantity") + F.when((F.col("l_linenumber") == 1) & (F.col("l_quantity") == 1), 1).otherwise(0)
+    return A.column_classes([li.select("l_quantity", "l_discount", "l_tax", "l_linenumber"), li.select(F.col("l_tax").alias("a"), F.col("l_linenumber").cast("string").alias("a"), changed.alias("b"), F.col("l_discount").alias("c"))])
+
+
 @query("""SELECT * FROM (VALUES (0, 1), (1, 0), (2, 3)) t(gold_idx, pred_idx)""")
 def match_columns(spark, d):
     g = table(spark, d, "nation").select(F.col("n_name").alias("x"), F.col("n_name").alias("y"), "n_nationkey", "n_regionkey")
