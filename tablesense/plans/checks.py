@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.functions.names import close_names, name_ratio, plain_name
-from tablesense.plans.dialect import tokens
 from tablesense.plans.spec import Filter, QuerySpec, compile_spec
 
 #: What Spark's error conditions are called here.
@@ -146,8 +144,14 @@ READING_NODES = frozenset(
     RelationTimeTravel UnresolvedOrdinal DescribeRelation DescribeColumn DescribeQueryCommand ShowTables ShowColumns ShowNamespaces ShowViews UnresolvedTable
     UnresolvedTableOrView UnresolvedView UnresolvedNamespace CurrentNamespace CurrentNamespace$""".split()
 )
-#: Functions that call any method of the JVM.
-CALLING_FUNCTIONS = frozenset({"reflect", "try_reflect", "java_method"})
+#: Groups of Spark's own functions that compute from their arguments and nothing else. The group of miscellaneous ones, which has those that
+#: call any method of the JVM, isn't here, nor is what a session has registered itself, which has no group.
+COMPUTING_GROUPS = frozenset(
+    """agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs
+    json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs xml_funcs""".split()
+)
+COMPUTING_OTHERS = frozenset({"typeof", "equal_null", "try_divide"})
+TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "json_tuple", "stack", "variant_explode", "variant_explode_outer"})
 
 
 def _nodes(plan) -> Iterator:
@@ -162,6 +166,42 @@ def _nodes(plan) -> Iterator:
                 yield from _nodes(node._2())
 
 
+def _expressions(plan) -> Iterator:
+    """All expressions of a parsed node, with what they are made of; those of named windows too, which the node has in a map."""
+    left = [x for seq in (plan.expressions(),) for x in _listed(seq)]
+    if plan.getClass().getSimpleName() == "WithWindowDefinition":
+        left += _listed(plan.windowDefinitions().values().toSeq())
+    while left:
+        one = left.pop()
+        yield one
+        left += _listed(one.children())
+
+
+def _listed(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _refused_calls(spark: SparkSession, plan) -> Iterator[str]:
+    """Names of functions of a parsed node that don't just compute; a name that is itself computed is one."""
+    catalog = spark._jsparkSession.sessionState().catalog()
+    for e in _expressions(plan):
+        kind = e.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:
+            yield "IDENTIFIER"
+        elif kind == "UnresolvedFunction":
+            parts = [p.lower() for p in _listed(e.nameParts())]
+            known = parts[0] in COMPUTING_OTHERS
+            if len(parts) == 1 and not known:
+                identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[0])
+                known = catalog.isBuiltinFunction(identifier) and not catalog.isTemporaryFunction(identifier) and catalog.lookupFunctionInfo(identifier).getGroup() in COMPUTING_GROUPS
+            if len(parts) > 1 or not known:
+                yield ".".join(parts)
+    if plan.getClass().getSimpleName() == "UnresolvedTableValuedFunction":
+        name = ".".join(p.lower() for p in _listed(plan.name()))
+        if name not in TABLE_FUNCTIONS:
+            yield name
+
+
 def tables_of(spark: SparkSession, sql: str) -> list[str]:
     """Last parts of the names of the tables that a statement reads, in lower case and sorted; its common table expressions aren't tables."""
     read, own = set(), set()
@@ -195,12 +235,13 @@ def with_overrides(spec: QuerySpec, overrides: Sequence[Mapping], concepts: Mapp
 
 def read_only_sql(spark: SparkSession, sql: str, limit: int | None = 200) -> tuple[DataFrame, DataFrame]:
     """Rows of a reading statement, at most ``limit`` of them, and whether there are more. The whole parsed tree decides: every
-    node of it must be of ``READING_NODES``, and no function may call the JVM. Text that doesn't parse raises Spark's error."""
+    node of it must be of ``READING_NODES``, and every function one of Spark's own that only compute. Text that doesn't parse raises Spark's error."""
     tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    odd = sorted({name for n in _nodes(tree) if (name := n.getClass().getSimpleName()) not in READING_NODES})
-    calls = {t.strip("`").lower() for t, then in itertools.pairwise([*(x for x in tokens(sql) if x.strip()), ""]) if then == "("} & CALLING_FUNCTIONS
-    if odd or calls:
-        raise ValueError(f"only statements that read are run, not {', '.join([*odd, *calls])}")
+    nodes = list(_nodes(tree))
+    odd = {name for n in nodes if (name := n.getClass().getSimpleName()) not in READING_NODES}
+    odd |= {name for n in nodes if n.getClass().getSimpleName() in READING_NODES for name in _refused_calls(spark, n)}
+    if odd:
+        raise ValueError(f"only statements that read are run, not {', '.join(sorted(odd))}")
     df = spark.sql(sql)
     if limit is None:
         return df, df.sparkSession.createDataFrame([(False,)], "truncated boolean")
