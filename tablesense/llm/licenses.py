@@ -2,11 +2,14 @@
 
 A text is normalised so that copies of a licence which differ in case, punctuation, layout, copyright lines or spelling are
 one string, whose SHA-256 is looked up among those of known licences by a hash join. Whole texts are compared: a text
-that quotes a licence among other words isn't one.
+that quotes a licence among other words isn't one. A licence's usual title at the very beginning is left out of the digest, so
+that a licence is known under any of its titles and without one.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -36,6 +39,7 @@ SPELLINGS = (
     ("favourite", "favorite"),
     ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"),
+    ("https", "http"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
@@ -80,6 +84,77 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Titles that licences stand under. A licence's own title is no part of what it says.
+TITLES = (
+    "MIT License",
+    "The MIT License",
+    "MIT License (MIT)",
+    "The MIT License (MIT)",
+    "Expat License",
+    "ISC License",
+    "The ISC License",
+    "ISC License (ISC)",
+    "The ISC License (ISC)",
+    "BSD Zero Clause License",
+    "Zero-Clause BSD",
+    "Zero-Clause BSD License",
+    "BSD License",
+    "The BSD License",
+    "BSD 2-Clause License",
+    "The BSD 2-Clause License",
+    "The 2-Clause BSD License",
+    'BSD 2-Clause "Simplified" License',
+    "Simplified BSD License",
+    "BSD 3-Clause License",
+    "The BSD 3-Clause License",
+    "The 3-Clause BSD License",
+    'BSD 3-Clause "New" or "Revised" License',
+    "New BSD License",
+    "Modified BSD License",
+    "Apache License",
+    "Apache License Version 2.0, January 2004",
+    "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "The Artistic License",
+    "CC0 1.0 Universal",
+    "Creative Commons Legal Code CC0 1.0 Universal",
+    "GNU Free Documentation License Version 1.2, November 2002",
+    "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "GNU General Public License Version 1, February 1989",
+    "GNU General Public License Version 2, June 1991",
+    "GNU General Public License Version 3, 29 June 2007",
+    "GNU Library General Public License Version 2, June 1991",
+    "GNU Lesser General Public License Version 2.1, February 1999",
+    "GNU Lesser General Public License Version 3, 29 June 2007",
+    "Mozilla Public License Version 1.1",
+    "Mozilla Public License Version 2.0",
+)
+
+#: The BSD licences, with places for the conditions' numbers and for those whom they speak of.
+BSD_SOURCE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+BSD_NAMES = "{0} Neither the name of {1} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY {0} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {1} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_NUMBERS = (("", "", ""), ("1.", "2.", "3."), ("a.", "b.", "c."))
+BSD_NAMED = ("the copyright holder", "the copyright holders", "the University", "the author", "the organization", "its copyright holder")
+BSD_PARTIES = (
+    ("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT HOLDER OR CONTRIBUTORS"),
+    ("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+    ("THE REGENTS AND CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS"),
+    ("THE AUTHOR AND CONTRIBUTORS", "THE AUTHOR OR CONTRIBUTORS"),
+    ("THE AUTHORS AND CONTRIBUTORS", "THE AUTHORS OR CONTRIBUTORS"),
+    ("THE AUTHOR", "THE AUTHOR"),
+)
+
+
+def bsd_texts() -> list[tuple[str, str]]:
+    """The BSD licences in all their wordings."""
+    made = []
+    for numbers, (provider, liable) in itertools.product(BSD_NUMBERS, BSD_PARTIES):
+        begun, ended = BSD_SOURCE.format(*numbers), BSD_DISCLAIMER.format(provider, liable)
+        made.append(("BSD-2-Clause", begun + ended))
+        made += [("BSD-3-Clause", begun + BSD_NAMES.format(numbers[2], named) + ended) for named in BSD_NAMED]
+    return made
+
+
 #: A line that begins with a copyright sign or word, after comment signs, is a copyright line; all of it goes.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SIGNS = r"[^\p{L}\p{N}\p{M}]+"
@@ -99,30 +174,42 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(spelt, " +", " "))
 
 
+def title_pattern() -> str:
+    """A regular expression of TITLES as they begin a normalised text; the longest that fits is taken."""
+    plain = sorted({re.sub(r"\W+", " ", t.lower()).strip() for t in TITLES}, key=lambda t: (-len(t), t))
+    return f"^(?:{'|'.join(plain)})(?: |$)"
+
+
+def untitled(normal: Column) -> Column:
+    """A normalised text without a licence's title at its beginning."""
+    return F.regexp_replace(normal, title_pattern(), "")
+
+
 def canonical_digest(text: Column) -> Column:
-    """SHA-256, in lower-case hex, of the normalised text."""
-    return F.sha2(normalised(text).cast("binary"), 256)
+    """SHA-256, in lower-case hex, of the normalised text without a title."""
+    return F.sha2(untitled(normalised(text)).cast("binary"), 256)
 
 
-def known_licenses(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id, digest. Of licences that are one after normalisation the first is named."""
-    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(known)], "k int, license_id string, text string")
+def known_licenses(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """license_id, digest of KNOWN and the BSD licences, or of other texts. Of licences that are one after normalisation the first is named."""
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate([*KNOWN, *bsd_texts()] if known is None else known)], "k int, license_id string, text string")
     return rows.select("k", "license_id", canonical_digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min_by("license_id", "k").alias("license_id"))
 
 
 def shipped_licenses(spark: SparkSession) -> DataFrame:
-    """license_id, digest: those of KNOWN and of ``DIGESTS``, which has none of KNOWN's."""
+    """license_id, digest: those of the texts here and of ``DIGESTS``, which has none of them."""
     more = spark.createDataFrame([(d, name) for name, digests in DIGESTS.items() for d in digests], "digest string, license_id string")
     return known_licenses(spark).select("digest", "license_id").unionByName(more)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id_col, n_normal (characters of the normalised text), digest, license_id (null: not known).
+    """One row per row of ``docs``: id_col, n_normal (characters of the normalised text), digest (of what follows a title), license_id
+    (null: not known).
 
-    Null, empty and blank texts, and texts of signs or copyright lines only, all have the digest of ''. Only digests are
+    Null, empty and blank texts, and texts of signs, copyright lines or a title only, all have the digest of ''. Only digests are
     joined; which side is broadcast, if one is, Spark decides by its size. Repeated rows and null ids are looked up like all others.
     An empty table gives no rows. Texts may be of any length; no other column of ``docs``, whatever its name, is read.
     """
     known = shipped_licenses(docs.sparkSession) if known is None else known
-    rows = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("normal")).select(id_col, F.char_length("normal").cast("long").alias("n_normal"), F.sha2(F.col("normal").cast("binary"), 256).alias("digest"))
+    rows = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("normal")).select(id_col, F.char_length("normal").cast("long").alias("n_normal"), F.sha2(untitled(F.col("normal")).cast("binary"), 256).alias("digest"))
     return rows.join(known.select("digest", "license_id"), "digest", "left").select(id_col, "n_normal", "digest", "license_id")

@@ -101,17 +101,16 @@ def _normalised_sql(text: str) -> str:
 
 
 def _licenses_sql() -> str:
-    quoted = [(name.replace("'", "''"), text.replace("'", "''")) for name, text in licenses.KNOWN]
+    quoted = [(name.replace("'", "''"), text.replace("'", "''")) for name, text in [*licenses.KNOWN, *licenses.bsd_texts()]]
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(quoted))
     digests = ", ".join(f"('{d}', '{name}')" for name, known in licenses.DIGESTS.items() for d in known)
+    untitled = f"regexp_replace(normal, '{licenses.title_pattern()}', '')"
     return f"""
-WITH known AS (
-  SELECT digest, min_by(license_id, k) AS license_id
-  FROM (SELECT k, license_id, sha256({_normalised_sql("text")}) AS digest FROM (VALUES {values}) v(k, license_id, text)) GROUP BY digest
+WITH texts AS (SELECT k, license_id, {_normalised_sql("text")} AS normal FROM (VALUES {values}) v(k, license_id, text)), known AS (
+  SELECT digest, min_by(license_id, k) AS license_id FROM (SELECT k, license_id, sha256({untitled}) AS digest FROM texts) GROUP BY digest
   UNION ALL SELECT digest, license_id FROM (VALUES {digests}) v(digest, license_id)
-), d AS (SELECT doc_id, {_normalised_sql("text")} AS normal FROM documents)
-SELECT doc_id, CAST(length(normal) AS BIGINT) AS n_normal, sha256(normal) AS digest, license_id
-FROM d LEFT JOIN known ON known.digest = sha256(normal)
+), d AS (SELECT doc_id, length(normal) AS n, sha256({untitled}) AS digest FROM (SELECT doc_id, {_normalised_sql("text")} AS normal FROM documents))
+SELECT doc_id, CAST(n AS BIGINT) AS n_normal, d.digest, license_id FROM d LEFT JOIN known ON known.digest = d.digest
 """
 
 

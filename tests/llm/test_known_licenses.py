@@ -62,6 +62,34 @@ def test_titled_licenses(spark):
     assert ids(spark, texts) == {"mit": "MIT", "isc": "ISC", "0bsd": "0BSD", "bsd2": "BSD-2-Clause", "bsd2-bullets": "BSD-2-Clause"}
 
 
+def test_a_licence_is_known_under_each_of_its_titles(spark):
+    """The commonest file: a title, a copyright line, the text."""
+    mit = dict(licenses.KNOWN)["MIT"]
+    titles = ["MIT License", "The MIT License", "MIT LICENCE", "The MIT License (MIT)", "# MIT License\n====", "  mit license:", ""]
+    texts = {str(i): f"{t}\n\nCopyright (c) 2020 Someone\n\n{mit}\n" for i, t in enumerate(titles)}
+    assert set(ids(spark, texts).values()) == {"MIT"}
+    odd = {"title": "MIT License", "twice": f"MIT License MIT License\n{mit}", "inside": f"It has the MIT License\n{mit}", "after": f"{mit}\nMIT License"}
+    assert set(ids(spark, odd).values()) == {None}
+
+
+def test_a_query_with_positive_rows(spark, tmp_path):
+    """The registered query and its SQL over documents of which some are licences."""
+    import duckdb
+
+    from tablesense.llm import queries
+
+    mit = dict(licenses.KNOWN)["MIT"]
+    rows = [(i, f"The {name} story" if i % 3 else f"MIT License\nCopyright 2020 N.\n{text.lower()}") for i, (name, text) in enumerate([*licenses.KNOWN, *licenses.bsd_texts()])]
+    rows += [(1000, mit), (1001, None), (1002, ""), (1003, mit[:-9])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_licenses"])
+    columns = [c[0] for c in want.description]
+    got = sorted(tuple(map(str, r)) for r in queries.op8_licenses(spark, str(tmp_path)).select(*columns).collect())
+    assert got == sorted(tuple(map(str, r)) for r in want.fetchall()) and sum(r[3] != "None" for r in got) > 40
+
+
 def test_digests_are_of_one_license_each(spark):
     every = [d for digests in DIGESTS.values() for d in digests] + [r["digest"] for r in licenses.known_licenses(spark).collect()]
     assert len(every) == len(set(every))
