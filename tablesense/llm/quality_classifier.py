@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesense.llm.shared import text_key
 from tablesense.llm.tokens import slices
 
 PASSAGE_WORDS = 64
@@ -188,12 +189,13 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 6000) -> Model:
-    """Fits on rows that aren't held out: at most ``max_documents`` of them, as many of each label as there are up to half
-    (the bound of the sample; a label's rows weigh as much as all its rows do), those of least hash of their id. All
-    passages of their texts are learned from.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_documents: int = 6000, max_bytes: int = 64 << 20) -> Model:
+    """Fits on rows that aren't held out: at most ``max_documents`` of them, as many of each label as there are up to half, those of
+    least hash of their id, and of these the first whose texts have ``max_bytes`` together (the sample's two bounds; a label's rows
+    weigh as much as all its rows do). All passages of their texts are learned from: a text that doesn't fit is left out, not cut.
 
-    A document with several labels has their mean, rounded half up; null labels are none.
+    A document with several labels has their mean, rounded half up; null labels are none. Of rows with one id, that of least
+    digest of its text is the one learned from.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     mixed = F.xxhash64(F.col(id_col).cast("string"))
@@ -203,6 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = wanted[0].union(wanted[1]).select(F.col(id_col).alias("__id"), "y")
     texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("t"))
     rows = texts.join(F.broadcast(sample), F.col("__own") == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "y", "t")
+    size = F.coalesce(F.octet_length("t"), F.lit(0))
+    one = rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(text_key(F.col("t")).alias("key"), size.alias("bytes"))).alias("least"))
+    room, taken = max_bytes, []
+    for r in sorted(one.select("id", "y", "least.key", "least.bytes", F.xxhash64("id").alias("h")).collect(), key=lambda r: (r["h"], r["id"])):  # ``max_documents`` rows
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            taken.append((r["id"], r["key"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "__id string, __key binary"))
+    rows = rows.join(chosen, (F.col("id") == F.col("__id")) & (text_key(F.col("t")) == F.col("__key"))).groupBy("id").agg(F.first("y").alias("y"), F.first("t").alias("t"))
 
     def encode(it):
         for b in it:
