@@ -68,14 +68,19 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     texts = texts.select("id", "content", "w", F.size("w").cast("long").alias("n_words"))  # before the words are exploded, so that no row carries all of them
     if not sizes:
         return texts.select(F.col("content").alias("__content"), F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
-    # one pass over the texts: a row for the document itself, by a shingle that no text has, and one for each shingle that the items have
-    document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("shingle")))
-    each = texts.select("id", "content", "n_words", F.explode(F.concat(document, *[_shingles(F.col("w"), n) for n in sizes])).alias("e")).select("id", "content", "n_words", "e.*")
-    wanted = known.select("shingle", "sid").union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"), F.lit(-1).cast("long").alias("sid")))
+    shingles = [_shingles(F.col("w"), n) for n in sizes]
+    wanted = known.select("shingle", "sid")
     if sum(r["bytes"] for r in measured) <= broadcast_bytes:
-        wanted = F.broadcast(wanted)
-    met = stage(each.join(wanted, "shingle").select(F.when(F.col("sid") < 0, F.col("id")).alias("id"), "content", "n_words", "pos", "sid"), "occurrences")
-    rows = met.where("sid < 0").select("id", "content", "n_words")
+        # one pass over the texts, which no row leaves: a row for the document itself, by a shingle that no text has, and one for each shingle that the items have
+        document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("shingle")))
+        each = texts.select("id", "content", "n_words", F.explode(F.concat(document, *shingles)).alias("e")).select("id", "content", "n_words", "e.*")
+        wanted = F.broadcast(wanted.union(docs.sparkSession.range(1).select(F.lit("").alias("shingle"), F.lit(-1).cast("long").alias("sid"))))
+        met = stage(each.join(wanted, "shingle").select(F.when(F.col("sid") < 0, F.col("id")).alias("id"), "content", "n_words", "pos", "sid"), "occurrences")
+        rows = met.where("sid < 0").select("id", "content", "n_words")
+    else:  # rows of documents come from a pass of their own: in the join, all of them would have one key
+        rows = stage(texts.select("id", "content", "n_words"), "words")
+        each = texts.select("content", F.explode(F.concat(*shingles)).alias("e")).select("content", "e.*").where("shingle is not null")
+        met = stage(each.join(wanted, "shingle").select("content", "pos", "sid"), "occurrences")
     found = stage(met.where("sid >= 0").select("content", "pos", "sid").distinct(), "found")
 
     counts = found.groupBy("sid").agg(F.count("*").alias("often"))
