@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.functions.text import bm25_idf, content_hash, cosine, index_tokens, tfidf_idf
+from tablesense.sources.store import Cache, content_key
 
 FIRST_STAGE, FINAL, RRF_K = 30, 6, 60
 #: Scores are rounded, so that equal texts tie whatever order their parts are summed in.
@@ -43,6 +44,16 @@ def hashed_terms(size: int = 256) -> Callable[[Column], Column]:
     return encode
 
 
+def encoded(chunks: DataFrame, text_col: str, encoder: Encoder, name: str, folder: str) -> DataFrame:
+    """``chunks`` with vector. Vectors are kept in a cache by encoder's name and text: each distinct text is encoded once, whatever runs share the
+    folder; a null text counts as ''."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = chunks.withColumn("__key", content_key(F.lit(name), text))
+    texts = keyed.select(F.col("__key").alias("key"), text.alias("text"))
+    vectors = Cache(chunks.sparkSession, folder).get(texts, lambda new: new.select("key", encoder(F.col("text")).alias("vector")))
+    return keyed.join(vectors, F.col("__key") == F.col("key")).drop("__key", "key")
+
+
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, token, tf."""
     tokens = chunks.select(id_col, F.explode(index_tokens(F.col(text_col))).alias("token"))

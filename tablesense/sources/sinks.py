@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tablesense.sources.store import Cache, write_text
 
 
 def write_answer(df: DataFrame, path: str, single_file: bool = True) -> None:
@@ -29,8 +29,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_trace(trace: Mapping, path: str) -> None:
-    Path(path).write_text(json.dumps(trace, indent=2, ensure_ascii=False, default=str))
+def write_trace(spark: SparkSession, trace: Mapping, path: str) -> None:
+    write_text(spark, path, json.dumps(trace, indent=2, ensure_ascii=False, default=str))
 
 
 def synthesised_name(path: str) -> str:
@@ -56,14 +56,5 @@ def finding_preview(df: DataFrame, most: int = 20) -> tuple[DataFrame, bool]:
 
 
 def cached(spark: SparkSession, requests: DataFrame, path: str, key: str, compute) -> DataFrame:
-    """Results of ``compute`` for the requests, kept in a Parquet folder by key: only new keys are computed."""
-    try:
-        have = spark.read.parquet(path)
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        have = None
-    new = requests if have is None else requests.join(have.select(key), key, "left_anti")
-    if not new.isEmpty():
-        compute(new).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(requests.select(F.col(key)).distinct(), key, "left_semi")
+    """Results of ``compute`` for the requests, kept in a folder by key: only new keys are computed, by any number of writers."""
+    return Cache(spark, path, key).get(requests, compute)
