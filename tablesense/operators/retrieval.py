@@ -65,6 +65,11 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("df"))
 
 
+def chunk_term_stats(chunks: DataFrame, text_col: str) -> DataFrame:
+    """token, df, from one grouped count: a chunk's tokens are made distinct in its row."""
+    return chunks.select(F.explode(F.array_distinct(index_tokens(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def query_tokens(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
     """query_id, token: each token once."""
     return queries.select(query_id, F.explode(F.array_distinct(index_tokens(F.col(query_text)))).alias("token"))
@@ -184,21 +189,50 @@ def within_budget(ranking: DataFrame, query_id: str, rank: str, size: Column, bu
     return ranking.withColumn("used", so_far).where((F.col(rank) == 1) | (F.col("used") <= budget))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, expand: Callable[[DataFrame], DataFrame] | None = None, rerank: Reranker | None = None, encoder: Encoder | None = None, first: int = FIRST_STAGE, final: int = FINAL, budget: int = 12_000) -> DataFrame:
+def _asked(queries: DataFrame, query_id: str, query_text: str, expand: Callable[[DataFrame], DataFrame] | None, most: int) -> DataFrame:
+    """``queries`` with variants: the question itself first, then what ``expand`` makes of it, each text once and ``most`` of them at most. An
+    ``expand`` that can't be applied leaves questions as they are."""
+    own = queries.select(query_id, query_text, F.lit(0).alias("__made"))
+    asked = own
+    if expand:
+        try:
+            asked = own.unionByName(expand(queries).select(query_id, query_text, F.lit(1).alias("__made")))
+        except Exception:  # noqa: BLE001
+            asked = own
+    texts = asked.where(F.col(query_text).isNotNull()).groupBy(query_id, query_text).agg(F.min("__made").alias("__made"))
+    variant = F.row_number().over(Window.partitionBy(query_id).orderBy("__made", query_text))
+    numbered = texts.withColumn("__variant", variant).where(F.col("__variant") <= most)
+    return numbered.select(query_id, query_text, F.count("*").over(Window.partitionBy(query_id)).alias("__variants"), F.struct(query_id, "__variant").alias("__ask"))
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, expand: Callable[[DataFrame], DataFrame] | None = None, rerank: Reranker | None = None, encoder: Encoder | None = None, first: int = FIRST_STAGE, final: int = FINAL, budget: int = 12_000, variants: int = 5) -> DataFrame:
     """Expansion, retrieval, fusion, reranking and cut to a budget: query_id, id_col, score, rank, used.
 
-    ``expand`` may give several rows per query, which are fused; by default queries stay as they are, and so does the
-    order of the first stage. With an ``encoder`` dense ranks are fused with BM25's."""
-    asked = expand(queries) if expand else queries
-    asked = asked.withColumn("__variant", F.row_number().over(Window.partitionBy(query_id).orderBy(query_text))).withColumn("__ask", F.struct(query_id, "__variant"))
-    ranked = [top_k(bm25(chunks, asked, id_col, text_col, "__ask", query_text), "__ask", id_col, first)]
+    ``expand`` may give further texts for a query, of which there are ``variants`` at most; a query that has one text keeps its raw scores, the
+    rankings of several are fused. With an ``encoder`` dense ranks are fused with BM25's for each text before. A ``rerank`` that can't be
+    applied, or changes how many candidates there are, leaves the order of the first stage."""
+    asked = _asked(queries, query_id, query_text, expand, variants)
+    scores = bm25(chunks, asked, id_col, text_col, "__ask", query_text)
     if encoder:
         vectors, wanted = chunks.withColumn("__v", encoder(F.col(text_col))), asked.withColumn("__w", encoder(F.col(query_text)))
-        ranked.append(top_k(dense(vectors, wanted, id_col, "__v", "__ask", "__w"), "__ask", id_col, first))
-    by_query = [r.withColumn(query_id, F.col(f"__ask.{query_id}")) for r in ranked]
-    fused = fuse(by_query, query_id, id_col) if expand or encoder else by_query[0].select(query_id, id_col, "score")
-    best = top_k(fused, query_id, id_col, first)
-    best = rerank(best) if rerank else best
-    final_rank = top_k(best.drop("rank"), query_id, id_col, final)
+        both = [top_k(s, "__ask", id_col, first) for s in (scores, dense(vectors, wanted, id_col, "__v", "__ask", "__w"))]
+        scores = fuse(both, "__ask", id_col)
+    ranked = top_k(scores, "__ask", id_col, first).join(asked.select("__ask", "__variants"), "__ask").withColumn(query_id, F.col(f"__ask.{query_id}"))
+    several = fuse([ranked.where("__variants > 1")], query_id, id_col)
+    best = top_k(ranked.where("__variants = 1").select(query_id, id_col, "score").unionByName(several), query_id, id_col, first)
+    final_rank = top_k(_reranked(best, rerank, query_id).drop("rank"), query_id, id_col, final)
     sized = final_rank.join(chunks.select(id_col, F.char_length(text_col).alias("__size")), id_col)
     return within_budget(sized, query_id, "rank", F.col("__size"), budget).select(query_id, id_col, "score", "rank", "used")
+
+
+def _reranked(best: DataFrame, rerank: Reranker | None, query_id: str) -> DataFrame:
+    if not rerank:
+        return best
+    try:
+        other = rerank(best).select(*best.columns)
+    except Exception:  # noqa: BLE001
+        return best
+    sides = other.withColumn("__new", F.lit(1)).unionByName(best.withColumn("__new", F.lit(0)))
+    new = F.col("__new") == 1
+    whole = F.count_if(new).over(Window.partitionBy(query_id)) == F.count_if(~new).over(Window.partitionBy(query_id))
+    return sides.withColumn("__whole", whole).where(F.col("__whole") == new).drop("__new", "__whole")

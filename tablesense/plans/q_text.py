@@ -9,7 +9,9 @@ from tablesense.functions import text as T
 from tablesense.operators import documents as D
 from tablesense.operators import extraction as X
 from tablesense.operators import retrieval as R
+from tablesense.operators import term_index as I
 from tablesense.plans.q_core import table
+from tablesense.sources import store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +43,7 @@ def doc_tokens(spark, d):
 
 @query(f"""SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens_sql("text")}) AS token FROM documents) GROUP BY 1""")
 def doc_term_stats(spark, d):
-    return R.term_stats(R.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return R.chunk_term_stats(table(spark, d, "documents"), "text")
 
 
 @query(f"""
@@ -194,9 +196,30 @@ _BM25 = f"""
  bmr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> I.TermIndex:
+    """The index of a folder's documents, written by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        folder = store.work_folder(spark, "documents-index")
+        I.write_index(table(spark, d, "documents"), "doc_id", "text", folder)
+        _indexes[key] = folder
+    return I.open_index(spark, _indexes[key])
+
+
+def _by_id(index: I.TermIndex, found: DataFrame) -> DataFrame:
+    return found.join(index.docs.select("place", "id"), "place").select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+def _questions(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+
+
 def _bm25(spark, d) -> DataFrame:
-    s = R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question")
-    return R.top_k(s, "item_id", "doc_id")
+    index = _index(spark, d)
+    return _by_id(index, I.bm25_best(index, _questions(spark, d), "item_id", "question", R.FIRST_STAGE))
 
 
 @query(f"""WITH {_BM25} SELECT item_id, doc_id, round(round(score, 6), 3) AS score, rank FROM bmr WHERE rank <= 30""")
@@ -215,8 +238,8 @@ _TFIDF = f"""
 
 
 def _tfidf(spark, d) -> DataFrame:
-    s = R.tfidf(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question")
-    return R.top_k(s, "item_id", "doc_id")
+    index = _index(spark, d)
+    return _by_id(index, R.top_k(I.tfidf_scores(index, _questions(spark, d), "item_id", "question"), "q", "place"))
 
 
 @query(f"""WITH {_TFIDF} SELECT item_id, doc_id, CAST(floor(round(score, 6) * 1000) AS BIGINT) AS score_thousandths, rank FROM tfr WHERE rank <= 30""")
@@ -250,6 +273,27 @@ def rrf_fuse(spark, d):
     return _fused(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_LONG = f"array_to_string(list_filter({_tokens_sql('text')}, lambda w: length(w) > 9), ' ')"
+_CROSS = f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place, {_tokens_sql("text")} AS l FROM documents), n AS (SELECT count(*) AS n, greatest(avg(len(l)), 1.0) AS avg_len FROM d),
+ p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS token FROM d) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+ top AS (SELECT doc_id, max(tf) AS top FROM p GROUP BY 1), w AS (SELECT p.doc_id, p.token, tf, tf / CAST(top AS DOUBLE) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM p JOIN top USING (doc_id) JOIN df ON df.token = p.token, n),
+ q0 AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_tokens_sql("question")}) AS token FROM (SELECT item_id, {_LONG} AS question FROM benchmark)) GROUP BY 1, 2),
+ q AS (SELECT item_id, q0.token, tf / CAST(max(tf) OVER (PARTITION BY item_id) AS DOUBLE) * (ln((1 + n) / CAST(1 + coalesce(df, 0) AS DOUBLE)) + 1) AS w, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM q0 LEFT JOIN df ON df.token = q0.token, n),
+ dn AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(w * w)) AS s FROM q GROUP BY 1),
+ hit AS (SELECT q.item_id, w.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(len(l), 1) / avg_len))) AS bm, sum(q.w * w.w) AS dot FROM q JOIN w ON w.token = q.token JOIN d ON d.doc_id = w.doc_id, n GROUP BY 1, 2),
+ every AS (SELECT b.item_id, d.doc_id, place, d.text, coalesce(round(bm, 6), 0) AS bm, coalesce(round(dot / (qn.s * dn.s), 6), 0) AS tf FROM benchmark b CROSS JOIN (SELECT doc_id, place, text FROM d) d LEFT JOIN hit ON hit.item_id = b.item_id AND hit.doc_id = d.doc_id LEFT JOIN qn ON qn.item_id = b.item_id LEFT JOIN dn ON dn.doc_id = d.doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm DESC, place) AS r1, row_number() OVER (PARTITION BY item_id ORDER BY tf DESC, place) AS r2 FROM every),
+ f AS (SELECT item_id, text, round(sum(1.0 / (60 + r1) + 1.0 / (60 + r2)), 12) AS score, min(r1) AS first, max_by(doc_id, r2) AS doc_id FROM r GROUP BY 1, 2)
+"""
+
+
+@query(f"""{_CROSS} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) AS rank FROM f) WHERE rank <= 30""")
+def rrf_full_rankings(spark, d):
+    index, long = _index(spark, d), _questions(spark, d).select("item_id", F.array_join(F.filter(T.index_tokens(F.col("question")), lambda w: F.length(w) > 9), " ").alias("question"))
+    found = I.fused(index, long, "item_id", [I.bm25_scores(index, long, "item_id", "question"), I.tfidf_scores(index, long, "item_id", "question")], R.FIRST_STAGE)
+    return found.select("item_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"""{_RRF}, s AS (SELECT item_id, r.doc_id, rank, sum(length(text)) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 6)
 SELECT item_id, doc_id, rank, CAST(used AS BIGINT) AS used FROM s WHERE rank = 1 OR used <= 12000""")
 def char_budget_cut(spark, d):
