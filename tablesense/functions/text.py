@@ -11,19 +11,23 @@ from tablesense.functions.cells import strip
 
 #: Words that term indexes leave out.
 STOPWORDS = (
-    "the a an of is are was were and or in on for to by with what which who how list "
-    "show give name names all this that these those from many much do does be as at it its"
-).split()
+    "the", "a", "an", "of", "is", "are", "was", "were", "and", "or", "in", "on", "for", "to", "by", "with", "what",
+    "which", "who", "how", "list", "show", "give", "name", "names", "all", "this", "that", "these", "those", "from",
+    "many", "much", "do", "does", "be", "as", "at", "it", "its",
+)
 
 #: Words of questions that name nothing.
 QUESTION_STOPWORDS = (
-    "the a an of is are was were and or in on for to by with what which who how list show give name names all this "
-    "that these those from many much do does did be as at it its their his her they them we you i me my our us your "
-    "yours any some each every such than then so if but not no yes yet more less most least between amongst among have "
-    "has had been being where when while during after before into onto out over under above below about around across "
-    "through per via due find calculate compute count tell specify given based using use please can could would should "
-    "may might must will shall"
-).split()
+    "the", "a", "an", "of", "is", "are", "was", "were", "and", "or", "in", "on", "for", "to", "by", "with", "what",
+    "which", "who", "how", "list", "show", "give", "name", "names", "all", "this", "that", "these", "those", "from",
+    "many", "much", "do", "does", "did", "be", "as", "at", "it", "its", "their", "his", "her", "they", "them", "we",
+    "you", "i", "me", "my", "our", "us", "your", "yours", "any", "some", "each", "every", "such", "than", "then", "so",
+    "if", "but", "not", "no", "yes", "yet", "more", "less", "most", "least", "between", "amongst", "among", "have", "has",
+    "had", "been", "being", "where", "when", "while", "during", "after", "before", "into", "onto", "out", "over", "under",
+    "above", "below", "about", "around", "across", "through", "per", "via", "due", "find", "calculate", "compute",
+    "count", "tell", "specify", "given", "based", "using", "use", "please", "can", "could", "would", "should", "may",
+    "might", "must", "will", "shall",
+)
 
 
 def index_tokens(c: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -22,9 +22,9 @@ BOOLEAN = r"^\s*(is|are|was|were|does|do|did|has|have|can)\b"
 WEAK = ("with", "by", "same", "times", "number", "after", "before")
 #: Words that make a question harder, as parts of it.
 AGGREGATION_WORDS = (
-    "average avg mean median sum total count percentage percent ratio compare comparison difference trend max maximum min "
-    "minimum highest lowest rank year-over-year growth between range"
-).split()
+    "average", "avg", "mean", "median", "sum", "total", "count", "percentage", "percent", "ratio", "compare",
+    "comparison", "difference", "trend", "max", "maximum", "min", "minimum", "highest", "lowest", "rank", "year-over-year", "growth", "between", "range",
+)
 HOP_WORDS = ["join", "across", "both", "also", "then", "first", "second", "third", "after", "before", "while", "during", "whose", "with the same", "from each", "for each", "by each", "per", "every"]
 #: Calls of a model and of tools that each type of task may make, before additions.
 BUDGETS = {
