@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesense.functions.cells import id_text, is_true, join_key
 from tablesense.operators import relational as R
-from tablesense.plans.spec import Filter, Join, Measure, QuerySpec, compile_spec
+from tablesense.plans.spec import Filter, Join, Measure, Melt, Pivot, QuerySpec, Windowed, compile_spec
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,3 +237,47 @@ def rectangular_rows(spark, d):
 def drop_empty_columns(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_name", F.lit(" n/a ").alias("x"), F.lit(None).cast("string").alias("y"))
     return R.drop_empty_columns(df)
+
+
+_OWN = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+
+
+@query(f"""
+WITH c AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT o_orderkey, CASE WHEN count(cents) {_OWN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN round(avg(cents) {_OWN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) END AS rolling,
+ CAST(sum(cents) {_OWN} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, lag(cents, 2) {_OWN}) AS two_before, lead(cents) {_OWN}) AS next_one,
+ CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC) AS INTEGER) AS place FROM c""")
+def spec_windows(spark, d):
+    own = {"partition": ("o_custkey",), "order": (("o_orderdate", False), ("o_orderkey", False))}
+    spec = QuerySpec(
+        "orders",
+        derived={"cents": "cast(round(o_totalprice * 100) as bigint)"},
+        windows=(
+            Windowed("rolling", "avg", "cents", rows=3, least=3, **own),
+            Windowed("running", "sum", "cents", **own),
+            Windowed("two_before", "shift", "cents", rows=2, **own),
+            Windowed("next_one", "shift", "cents", rows=-1, **own),
+            Windowed("place", "dense_rank", partition=("o_orderstatus",), order=(("o_orderpriority", True),)),
+        ),
+        columns=("o_orderkey", "rolling", "running", "two_before", "next_one", "place"),
+    )
+    return compile_spec(spec, {"orders": table(spark, d, "orders")}).withColumn("rolling", F.round("rolling", 2))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2""")
+def spec_largest_of_each(spark, d):
+    largest = Windowed("n", "row_number", partition=("o_custkey",), order=(("o_totalprice", True), ("o_orderkey", False)))
+    return compile_spec(QuerySpec("orders", windows=(largest,), where_windows=(Filter("n", "<=", 2),), columns=("o_custkey", "o_orderkey", "o_totalprice")), {"orders": table(spark, d, "orders")})
+
+
+@query("""SELECT c_nationkey, coalesce(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN cents END) AS BIGINT), 0) AS "F", coalesce(CAST(sum(CASE WHEN o_orderstatus = 'O' THEN cents END) AS BIGINT), 0) AS "O"
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def spec_pivot(spark, d):
+    spec = QuerySpec("orders", joins=(Join("customer", ("o_custkey",), ("c_custkey",)),), derived={"cents": "cast(round(o_totalprice * 100) as bigint)"}, pivot=Pivot(("c_nationkey",), "o_orderstatus", "cents", "sum", ("F", "O"), fill=0))
+    return compile_spec(spec, {t: table(spark, d, t) for t in ("orders", "customer")})
+
+
+@query("""SELECT x.m AS measure, count(*) AS n, min(x.v) AS least, max(x.v) AS most FROM (SELECT unnest([{'m': 'l_quantity', 'v': l_quantity}, {'m': 'l_discount', 'v': l_discount}, {'m': 'l_tax', 'v': l_tax}]) AS x FROM lineitem) GROUP BY 1""")
+def spec_melt(spark, d):
+    spec = QuerySpec("lineitem", melt=Melt((), ("l_quantity", "l_discount", "l_tax"), "measure", "amount"), groups=("measure",), measures=(Measure("n", "count"), Measure("least", "min", "amount"), Measure("most", "max", "amount")))
+    return compile_spec(spec, {"lineitem": table(spark, d, "lineitem")})
