@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tablesense.functions import names as N
 from tablesense.functions.cells import cell_dtype, value_label
+from tablesense.operators import json_profile as J
 from tablesense.operators import linking as L
 from tablesense.operators import profile as P
+from tablesense.operators import task_profile as TP
 from tablesense.plans.q_core import table
 
 QUERIES: dict = {}
@@ -172,3 +174,52 @@ def cell_types(spark, d):
 def size_totals(spark, d):
     files = spark.createDataFrame([("a.csv", "csv", 1000), ("b.csv", "csv", 200), ("c.db", "db", 300), ("k.md", "md", 10)], "path string, kind string, length long")
     return P.size_totals(files)
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+ c AS (SELECT event_id, '$.k' AS path, 0 AS slot, 'n:' || k AS class, CAST(k AS VARCHAR) AS shown FROM e
+  UNION ALL SELECT event_id, '$.flag', 0, CASE WHEN event_id % 4 = 3 THEN 's:1' ELSE 'n:1' END, CASE event_id % 4 WHEN 0 THEN 'true' ELSE '1' END FROM e
+  UNION ALL SELECT event_id, '$.in.kind', 0, 's:' || event_type, event_type FROM e
+  UNION ALL SELECT event_id, '$.in.pair[]', 0, 'n:' || event_id % 7, CAST(event_id % 7 AS VARCHAR) FROM e
+  UNION ALL SELECT event_id, '$.in.pair[]', 1, 'null', 'null' FROM e
+  UNION ALL SELECT event_id, '$.in.pair[].deep', 2, 's:' || event_id % 3, CAST(event_id % 3 AS VARCHAR) FROM e),
+ f AS (SELECT path, class, count(*) AS cnt, min(event_id * 10 + slot) AS first, arg_min(shown, event_id * 10 + slot) AS value FROM c GROUP BY 1, 2),
+ g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY first) AS nth, count(*) OVER (PARTITION BY path) AS different, sum(cnt) OVER (PARTITION BY path) AS n FROM f),
+ h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cnt DESC, first) AS rank FROM g WHERE nth <= 60)
+SELECT path, rank, value, cnt, CAST(least(different, 60) AS BIGINT) AS cardinality, CAST(n AS BIGINT) AS n FROM h WHERE rank <= 5""")
+def json_field_profile(spark, d):
+    e = table(spark, d, "events")
+    k = F.expr("get_json_object(props, '$.k')")
+    flag = F.element_at(F.array(F.lit("true"), F.lit("1"), F.lit("1.0"), F.lit('"1"')), (F.col("event_id") % 4 + 1).cast("int"))
+    pair = F.concat(F.lit("["), F.col("event_id") % 7, F.lit(',null,{"deep":"'), F.col("event_id") % 3, F.lit('"},[],{}]'))
+    text = F.concat(F.lit('{"k":'), k, F.lit(',"flag":'), flag, F.lit(',"in":{"kind":"'), "event_type", F.lit('","pair":'), pair, F.lit("}}"))
+    return J.json_field_profile(e.select("event_id", text.alias("doc")), "event_id", "doc")
+
+
+_PROFILED = {"task_1": (("customer", "c_custkey"), ("nation", "n_nationkey")), "task_2": (("part", "p_partkey"), ("supplier", "s_suppkey"), ("region", "r_regionkey")), "task_3": (("orders", "o_orderkey"),)}
+_COLUMNS = {
+    "customer": "c_custkey c_name c_nationkey c_mktsegment",
+    "nation": "n_nationkey n_name n_regionkey",
+    "part": "p_partkey p_name p_brand p_type p_size",
+    "supplier": "s_suppkey s_name s_nationkey",
+    "region": "r_regionkey r_name",
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority",
+}
+_ALL_CELLS = " UNION ALL ".join(f"SELECT '{task}' AS task_id, '{t}.csv' AS source, {n} AS col_no, '{c}' AS name, {pos} AS pos, CAST({c} AS VARCHAR) AS value FROM {t}" for task, tables in _PROFILED.items() for t, pos in tables for n, c in enumerate(_COLUMNS[t].split()))
+
+
+@query(f"""
+WITH seen AS (SELECT task_id, source, name, value, count(*) AS cnt, min(pos) AS first FROM ({_ALL_CELLS}) GROUP BY 1, 2, 3, 4),
+ nth AS (SELECT *, row_number() OVER (PARTITION BY task_id, source, name ORDER BY first, value) AS nth FROM seen),
+ best AS (SELECT *, row_number() OVER (PARTITION BY task_id, source, name ORDER BY cnt DESC, first, value) AS r FROM nth WHERE nth <= 60),
+ whole AS (SELECT task_id, source, name, CAST(sum(cnt) AS BIGINT) AS row_count, least(count(*), 60) AS cardinality, bool_and(regexp_full_match(value, '[0-9]+')) AS whole FROM seen GROUP BY 1, 2, 3)
+SELECT w.task_id, w.source, w.name, row_count, cardinality, CASE WHEN whole THEN 'int' ELSE 'str' END AS dtype, string_agg(value || '=' || cnt, '|' ORDER BY r) AS samples
+FROM whole w JOIN best b ON b.task_id = w.task_id AND b.source = w.source AND b.name = w.name AND r <= 5 GROUP BY ALL""")
+def task_profiles(spark, d):
+    tasks = spark.createDataFrame([(t, "easy", "How many of them are there for each nation?") for t in _PROFILED], "task_id string, difficulty string, question string")
+    sources = {(task, f"{t}.csv"): (table(spark, d, t).select(*_COLUMNS[t].split()), pos) for task, tables in _PROFILED.items() for t, pos in tables}
+    files = spark.createDataFrame([(task, source, "csv", 1000) for task, source in sources], "task_id string, source string, kind string, length long")
+    profiles = TP.task_profiles(tasks, sources, files)
+    each = TP.schema_view(profiles).select("task_id", "source", "row_count", F.explode("columns").alias("c"))
+    return each.select("task_id", "source", "c.name", "row_count", "c.cardinality", "c.dtype", F.array_join(F.transform("c.samples", lambda x: F.concat_ws("=", x["value"], x["cnt"])), "|").alias("samples"))
