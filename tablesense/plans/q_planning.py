@@ -17,6 +17,7 @@ from tablesense.plans.q_core import table
 from tablesense.plans.spec import Filter, Join, Measure, QuerySpec
 from tablesense.sources import files as S
 from tablesense.sources import sinks as K
+from tablesense.sources.delimited import scan_delimited
 from tablesense.sources.sqlite_ds import read_sqlite, sqlite_catalog
 from tablesense.streaming import events as E
 
@@ -164,6 +165,16 @@ def csv_roundtrip(spark, d):
     return S.read_delimited(spark, path)
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS width, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name || ', "' || chr(10) || c_mktsegment END AS second FROM customer""")
+def ragged_scan(spark, d):
+    path, k = f"{_folder(spark)}/ragged", F.col("c_custkey") % 3
+    quoted = F.concat(F.lit('"'), "c_name", F.lit(', ""\n'), "c_mktsegment", F.lit('"'))
+    line = F.concat(F.col("c_custkey").cast("string"), F.when(k == 0, "").otherwise(F.concat(F.lit(","), quoted)), F.when(k == 1, ",more").otherwise(""))
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    rows = scan_delimited(spark, path)
+    return rows.select(F.get("cells", F.lit(0)).alias("key"), F.size("cells").alias("width"), F.get("cells", F.lit(1)).alias("second"))
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part""")
 def tsv_audit(spark, d):
     path = f"{_folder(spark)}/audit"
