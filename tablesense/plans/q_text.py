@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablesense.functions import text as T
 from tablesense.operators import documents as D
 from tablesense.operators import extraction as X
+from tablesense.operators import record_extraction as E
 from tablesense.operators import retrieval as R
 from tablesense.operators import term_index as I
 from tablesense.plans.q_core import table
@@ -160,6 +161,20 @@ def legality_records(spark, d):
     return X.legalities(blocks, "block", "pos").drop("first_seen")
 
 
+@query("""
+WITH o AS (SELECT 'doc/Laboratory/' || o_custkey || '.md' AS source, o_orderkey, CAST(1000 + o_orderkey % 3 AS VARCHAR) AS patient_id,
+  CAST((o_orderkey % 9 + 1) || '.' || (o_orderkey % 7) AS DOUBLE) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 5 <> 4)
+SELECT source, patient_id, arg_max(v, o_orderkey) AS creatinine, arg_max(v, o_orderkey) > 4.5 AS abnormal, CAST(min(nth) AS INTEGER) AS nth FROM o GROUP BY 1, 2""")
+def extracted_records(spark, d):
+    o = table(spark, d, "orders")
+    value = F.format_string("%d.%d", F.col("o_orderkey") % 9 + 1, F.col("o_orderkey") % 7)
+    note = F.concat(F.lit("Patient file number "), 1000 + F.col("o_orderkey") % 3, F.lit(":\ncreatinine was 2.5 mg/dL, then "), value, F.lit(" mg/dL."))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderkey") % 5 != 4, F.struct("o_orderkey", note.alias("n"))))), lambda x: x["n"]), "\n \n")
+    docs = o.groupBy("o_custkey").agg(text.alias("text")).select(F.concat(F.lit("doc/Laboratory/"), "o_custkey", F.lit(".md")).alias("source"), "text")
+    found = E.record_table(E.extract_records(docs, "Whose creatinine is high?", threshold=4.5), "creatinine", 4.5)
+    return found.select("source", "patient_id", F.col("creatinine").cast("double").alias("creatinine"), F.col("creatinine_abnormal").cast("boolean").alias("abnormal"), (F.col("first_pos") + 1).alias("nth"))
+
+
 @query("""SELECT o_orderkey, o_orderkey % 2 = 0 AS is_record FROM orders""")
 def record_text_detector(spark, d):
     para = "Patient file number 12345 was recorded on 1991-03-04 with GOT level 35 U/L and creatinine value 1.2 mg/dL. "
