@@ -157,6 +157,24 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+#: Groups whose states, of a few hundred bytes each and four starts, are broadcast; more are joined by a shuffle of salted keys.
+BROADCAST_GROUPS = 10_000
+_SALTS = 32
+
+
+def _few(groups: DataFrame) -> bool:
+    return groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+
+def _attached(rows: DataFrame, states: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Rows joined with what is known of their group, so that a group of any share of all rows is spread over tasks."""
+    if few:
+        return rows.join(F.broadcast(states), keys, how)
+    salted = states.withColumn("__salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def _groups(rows: DataFrame, least: int, put: Callable) -> tuple[DataFrame, DataFrame]:
     """Of each language and source: the group that judges it, which is its own, or its language, or all, the first of them
     with ``least`` rows, or else all; and the groups that it helps to estimate, which is every one of those three that judges any."""
@@ -172,12 +190,13 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in names], axis=1).astype(float)
 
 
-def _starts(rows: DataFrame, put: Callable) -> DataFrame:
-    """A state per group and start: medians, and covariances of median deviations with four kinds of correlation."""
+def _starts(rows: DataFrame, put: Callable) -> tuple[DataFrame, bool]:
+    """A state per group and start: medians, and covariances of median deviations with four kinds of correlation. And whether groups are few."""
     medians = put(rows.groupBy("group").agg(F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in _XS]), "medians")
-    off = put(rows.join(medians, "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in _XS]).join(medians, "group"), "deviations")
+    few = _few(medians)
+    off = put(_attached(rows, medians, ["group"], few).groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in _XS]).join(medians, "group"), "deviations")
     wide = [F.sqrt(F.pow(1.4826 * F.col(f"s_{x}"), 2) + FLOORS[i] ** 2) for i, x in enumerate(_XS)]
-    z = rows.join(off, "group").select("group", "size", *[F.col(f"m_{x}").alias(f"m{i}") for i, x in enumerate(_XS)], *[w.alias(f"s{i}") for i, w in enumerate(wide)], *[((F.col(x) - F.col(f"m_{x}")) / w).alias(f"z{i}") for i, (x, w) in enumerate(zip(_XS, wide))])
+    z = _attached(rows, off, ["group"], few).select("group", "size", *[F.col(f"m_{x}").alias(f"m{i}") for i, x in enumerate(_XS)], *[w.alias(f"s{i}") for i, w in enumerate(wide)], *[((F.col(x) - F.col(f"m_{x}")) / w).alias(f"z{i}") for i, (x, w) in enumerate(zip(_XS, wide))])
     length = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0))), F.lit(1e-9))
     kinds = {"squashed": lambda c: F.tanh(c), "signed": lambda c: c / length, "plain": lambda c: c}
     products = [F.sum(f(F.col(f"z{i}")) * f(F.col(f"z{j}"))).alias(f"{k}{i}_{j}") for k, f in kinds.items() for i, j in _TRI]
@@ -197,7 +216,7 @@ def _starts(rows: DataFrame, put: Callable) -> DataFrame:
                 values = np.concatenate([m, np.linalg.inv(cov)[:, r, c], np.linalg.slogdet(cov)[1][:, None]], axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(np.full(n, k, np.int32)), b.column("size"), *(pa.array(v) for v in values.T.copy())], names=["group", "start", "size", *_STATE, "logdet"])
 
-    return put(summed.mapInArrow(begin, _STATES), "starts")
+    return put(summed.mapInArrow(begin, _STATES), "starts"), few
 
 
 def _estimated(within: DataFrame, scale: float) -> DataFrame:
@@ -212,13 +231,13 @@ def _estimated(within: DataFrame, scale: float) -> DataFrame:
     return sums.mapInArrow(estimate, _STATES)
 
 
-def _step(rows: DataFrame, state: DataFrame, share: float, put: Callable) -> DataFrame:
+def _step(rows: DataFrame, state: DataFrame, share: float, few: bool, put: Callable) -> DataFrame:
     """One concentration step of every group and start of ``state``: the rows up to the bin that completes ``share`` of them."""
-    near = rows.join(state, "group").select("group", "start", "size", *_XS, F.least(F.floor(F.log2(1 + _distance()) * _PER_DOUBLING), F.lit(_BINS - 1)).alias("bin"))
+    near = _attached(rows, state, ["group"], few).select("group", "start", "size", *_XS, F.least(F.floor(F.log2(1 + _distance()) * _PER_DOUBLING), F.lit(_BINS - 1)).alias("bin"))
     counts = near.groupBy("group", "start", "size", "bin").agg(F.count("*").alias("c"))
     so_far = F.sum("c").over(Window.partitionBy("group", "start").orderBy("bin"))
     cutoff = counts.withColumn("cum", so_far).where(F.col("cum") >= F.ceil(F.col("size") * share)).groupBy("group", "start").agg(F.min("bin").alias("cut"))
-    within = near.join(put(cutoff, "cutoffs"), ["group", "start"]).where("bin <= cut")
+    within = _attached(near, put(cutoff, "cutoffs"), ["group", "start"], few).where("bin <= cut")
     return put(_estimated(within, share / chi2_cdf(chi2_quantile(share, D), D + 2)), "states")
 
 
@@ -228,19 +247,19 @@ def mcd_states(rows: DataFrame, share: float = 0.75, reweight: float = 0.975, le
 
     Steps go on while they lower a group's logdet by ``least_gain`` or more, so they end."""
     with temporary(rows.sparkSession) as put:
-        every = _starts(rows, put)
+        every, few = _starts(rows, put)
         for _ in range(2):
-            every = _step(rows, every, share, put)
+            every = _step(rows, every, share, few, put)
         best = put(every.groupBy("group").agg(F.min_by(F.struct(*every.columns), F.struct("logdet", "start")).alias("s")).select("s.*").withColumn("open", F.lit(True)), "best")
         while not (open_ := best.where("open")).isEmpty():
-            moved = _step(rows, open_.drop("open"), share, put)
+            moved = _step(rows, open_.drop("open"), share, few, put)
             after = moved.select("group", F.struct(*moved.columns).alias("after"))
             gain = F.col("open") & F.coalesce(F.col("logdet") - F.col("after.logdet") > least_gain, F.lit(False))
             kept = [F.when(gain, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in moved.columns if c != "group"]
             best = put(best.join(after, "group", "left").select("group", *kept, gain.alias("open")), "best")
         final = best.drop("open")
         if reweight:
-            inside = rows.join(final, "group").where(_distance() <= chi2_quantile(reweight, D)).select("group", "start", "size", *_XS)
+            inside = _attached(rows, final, ["group"], few).where(_distance() <= chi2_quantile(reweight, D)).select("group", "start", "size", *_XS)
             final = _estimated(inside, reweight / chi2_cdf(chi2_quantile(reweight, D), D + 2))
         return stage(final, "robust-states")
 
@@ -260,12 +279,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     base = rows.where("not base_failed")
     with temporary(docs.sparkSession) as put:
         judging, helping = _groups(base, least, put)
-        measured = put(base.join(helping, ["lang", "source"]).select("group", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
+        measured = put(_attached(base, helping, ["lang", "source"], _few(helping)).select("group", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "vectors")
         states = mcd_states(measured, share)
         named = stage(judging.join(states, "group"), "named-states")
     discard(states)
     vectors = rows.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
     far = F.when(~F.col("base_failed"), _distance())
-    judged = vectors.join(named, ["lang", "source"], "left").withColumn("distance", far)
+    judged = _attached(vectors, named, ["lang", "source"], _few(named), "left").withColumn("distance", far)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - tail, D), F.lit(True))
     return judged.select(F.col("id").alias(id_col), *STATS, "base_failed", "distance", kept.alias("kept"))

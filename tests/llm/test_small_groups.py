@@ -36,3 +36,23 @@ def test_small_tables_are_judged(spark, n):
     got = judged(spark, [(i, t, "en", "s") for i, t in enumerate(good)] + [(1000, junk(), "en", "s")] * (n > 1))
     assert all(r["distance"] is not None for r in got.values()) and all(got[i]["kept"] for i in range(n))
     assert n == 1 or not got[1000]["kept"]
+
+
+def test_a_group_of_most_rows_is_spread_over_tasks(spark, monkeypatch):
+    """States are broadcast though the planner isn't asked to, and beyond the bound the shuffle is salted, with the same verdicts."""
+    good, junk, _ = corpus(300)
+    rows = [(i, t, "en", "hot" if i % 10 else "rest") for i, t in enumerate(good)] + [(1000, junk(), "en", "hot")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    verdicts = []
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for most in (10_000, 0):
+            monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", most)
+            found = quality_rules.judge(docs)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == bool(most) and ("__salt" in plan) == (not most)
+            verdicts.append(sorted((r["doc_id"], r["kept"], round(r["distance"], 6)) for r in found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert verdicts[0] == verdicts[1] and dict((i, k) for i, k, _ in verdicts[0])[1000] is False
