@@ -77,12 +77,52 @@ def _meeting_bit(differing: Column) -> Column:
     return first
 
 
+#: A bucket in which more pairs than this for each member would be compared is divided first.
+PAIRS_A_MEMBER = 256
+
+
+def _chunks(segment: tuple[int, int], distance: int) -> list[int]:
+    """Masks of ``distance + 2`` runs of bits that the two other segments are cut into: two fingerprints within ``distance`` bits have two
+    runs alike at least."""
+    others = [bit for start, width in SEGMENTS if (start, width) != segment for bit in range(start, start + width)]
+    cuts = np.array_split(others, distance + 2)
+    return [sum(1 << int(b) for b in cut) for cut in cuts]
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def _codes(fp: Column, key: Column, distance: int) -> Column:
+    """Of a fingerprint in a bucket: (which two runs of bits, those bits) for every two runs."""
+    out = None
+    for start, width in SEGMENTS:
+        runs = _chunks((start, width), distance)
+        pairs = F.array(*[F.struct(F.lit(i * 16 + j).alias("runs"), fp.bitwiseAND(_signed(runs[i] | runs[j])).alias("bits")) for i in range(len(runs)) for j in range(i + 1, len(runs))])
+        own = F.shiftrightunsigned(key, 24).between(start, start + width - 1)
+        out = F.when(own, pairs) if out is None else out.when(own, pairs)
+    return out
+
+
+def _first_runs(differing: Column, key: Column, distance: int) -> Column:
+    """The first two runs that are alike, by which a pair is found once."""
+    out = None
+    for start, width in SEGMENTS:
+        alike = F.filter(F.array(*[F.when(differing.bitwiseAND(_signed(m)) == 0, F.lit(i)) for i, m in enumerate(_chunks((start, width), distance))]), lambda x: x.isNotNull())
+        own = F.shiftrightunsigned(key, 24).between(start, start + width - 1)
+        first = F.get(alike, F.lit(0)) * 16 + F.get(alike, F.lit(1))
+        out = F.when(own, first) if out is None else out.when(own, first)
+    return out
+
+
 def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """a, b (a < b), a written table: links between distinct ``fp`` within ``distance`` bits (up to 5, the bound of the variants).
 
     Not all pairs: those that a bucket's hub stands between are left out. The hub of a bucket is the member with the most
     copies (column n, where there is one). Members within ``distance`` of it get a link to it, and pairs are looked for only where one
-    member isn't. So the components are those of all pairs, but a dense group of distinct fingerprints is a star.
+    member isn't. So the components are those of all pairs, but a dense group of distinct fingerprints is a star. A bucket where
+    that would still be more than ``PAIRS_A_MEMBER`` pairs for each member, such as of pages of one template whose texts are otherwise
+    unlike, is divided by two more runs of bits, of which two members within ``distance`` have some in common.
     """
     if not 0 <= distance <= 2 * len(SEGMENTS) - 1:
         raise ValueError(f"three segments with one-bit variants find up to {2 * len(SEGMENTS) - 1} differing bits")
@@ -96,12 +136,23 @@ def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     members = index.select("key", "fp", F.count("*").over(bucket).alias("members"), F.max_by("fp", F.struct("n", "fp")).over(bucket).alias("hub"))
     with temporary(spark) as put:
         beside = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance
-        met = put(members.where("members > 1").select("key", "fp", "hub", beside.alias("beside")), "met")
-        x, y = met.where("not beside").select("key", "fp").alias("x"), met.select("key", "fp", "beside").alias("y")
+        counted = members.where("members > 1").select("key", "fp", "hub", "members", beside.alias("beside")).withColumn("apart", F.count_if(~F.col("beside")).over(bucket))
+        many = F.col("apart") * F.col("members") > PAIRS_A_MEMBER * (F.col("apart") + F.col("members"))
+        met = put(counted.select("key", "fp", "hub", "beside", many.alias("many")), "met")
         differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
         once = F.col("y.beside") | (F.col("x.fp") < F.col("y.fp"))
         near = (F.col("x.key") == F.col("y.key")) & once & (F.bit_count(differing) <= distance) & (F.shiftrightunsigned("x.key", 24) == _meeting_bit(differing))
-        pairs = x.hint("merge").join(y.hint("merge"), near).select(F.col("x.fp").alias("p"), F.col("y.fp").alias("q"))
+
+        def paired(rows: DataFrame, more: Column | None = None, *columns: str) -> DataFrame:
+            x, y = rows.where("not beside").select("key", "fp", *columns).alias("x"), rows.select("key", "fp", "beside", *columns).alias("y")
+            return x.hint("merge").join(y.hint("merge"), near if more is None else near & more).select(F.col("x.fp").alias("p"), F.col("y.fp").alias("q"))
+
+        pairs = paired(met.where("not many"))
+        if not met.where("many").isEmpty():
+            spread_out = met.where("many").repartition(partitions(spark), "fp")
+            divided = put(spread_out.select("key", "fp", "beside", F.explode(_codes(F.col("fp"), F.col("key"), distance)).alias("c")).select("key", "fp", "beside", "c.runs", "c.bits"), "divided")
+            same = (F.col("x.runs") == F.col("y.runs")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.runs") == _first_runs(differing, F.col("x.key"), distance))
+            pairs = pairs.union(paired(divided, same, "runs", "bits"))
         links = pairs.union(met.where("beside and fp <> hub").select("fp", "hub"))
         return stage(links.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near-links")
 

@@ -101,6 +101,22 @@ def test_near_links_are_true_and_lose_no_component(spark, seed):
     assert grouped(prints, got) == grouped(prints, all_pairs)
 
 
+@pytest.mark.parametrize("distance", [4, 5, 2])
+def test_buckets_without_a_hub_are_divided(spark, monkeypatch, distance):
+    """Fingerprints of one segment and otherwise unlike, with some within reach of each other: the same links as from all pairs."""
+    monkeypatch.setattr(simhash, "PAIRS_A_MEMBER", 3)
+    r = random.Random(distance)
+    start, width = simhash.SEGMENTS[1]
+    shared = r.getrandbits(width) << start
+    apart = [r.getrandbits(64) & ~(((1 << width) - 1) << start) | shared for _ in range(150)]
+    near = [p ^ sum(1 << k for k in r.sample(range(64), r.randint(1, distance + 2))) for p in r.sample(apart, 60) for _ in range(3)]
+    prints = sorted({*apart, *near, *(r.getrandbits(64) for _ in range(50))})
+    got = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(spark.createDataFrame(signed(prints), "fp long"), distance).collect()]
+    all_pairs = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance]
+    assert len(got) == len(set(got)) and set(got) <= {p for a, b in all_pairs for p in ((a, b), (b, a))}
+    assert grouped(prints, [tuple(sorted(p)) for p in got]) == grouped(prints, all_pairs)
+
+
 def test_a_dense_group_of_distinct_fingerprints_is_a_star(spark):
     """Every two of 2,017 fingerprints within two bits of one are linked, which is two million pairs; the hubs' links are few."""
     centre = random.Random(9).getrandbits(64)
