@@ -37,6 +37,17 @@ def cell_dtype(c: Column) -> Column:
     )
 
 
+def date_value(c: Column) -> Column:
+    """The date that a text says: 2020-01-31 (and a time), 1/31/2020, 1/31/20, or with the month's name, whole or short, before the day or after it,
+    with or without st, nd, rd, th and commas. Null for other texts and for days that no month has."""
+    t = F.regexp_replace(F.regexp_replace(strip(c.cast("string")), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"[,\s]+|\s+of\s+", " ")
+    named = F.regexp_replace(F.initcap(F.regexp_replace(t, r"(?i)\bof ", "")), r"^(\w{3})[a-z]*\.? (\d{1,2}) ", "$2 $1 ")
+    short = F.regexp_replace(named, r"^(\d{1,2}) (\w{3})[a-z]*\.? (\d{4})$", "$1 $2 $3")
+    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})(?:$|[ T])", 1)
+    said = [("yyyy-MM-dd", iso), ("M/d/yyyy", F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), t)), ("M/d/yy", F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), t)), ("d MMM yyyy", F.when(short.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"), short))]
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(x, F.lit(pattern))) for pattern, x in said])
+
+
 def value_label(c: Column) -> Column:
     """null, bool, number, empty or string: what a validator calls a text cell."""
     t = strip(c.cast("string"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.functions.text import bm25_idf, content_hash, cosine, index_tokens, tfidf_idf
+from tablesense.functions.text import bm25_idf, cosine, index_tokens, tfidf_idf
 from tablesense.sources.store import Cache, content_key
 
 FIRST_STAGE, FINAL, RRF_K = 30, 6, 60
@@ -178,11 +178,6 @@ def fuse(rankings: list[DataFrame], query_id: str, id_col: str, k: int = RRF_K)
     return all_.groupBy(query_id, id_col).agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
-def chunk_identity(source: Column, raw: Column) -> Column:
-    """Equal chunks of one source are one."""
-    return F.concat_ws("#", source, content_hash(raw))
-
-
 def within_budget(ranking: DataFrame, query_id: str, rank: str, size: Column, budget: int) -> DataFrame:
     """The first of each ranking as long as their sizes sum to the budget at most; the very first always."""
     so_far = F.sum(size).over(Window.partitionBy(query_id).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))

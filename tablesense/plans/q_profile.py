@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesense.functions import names as N
-from tablesense.functions.cells import cell_dtype, value_label
+from tablesense.functions.cells import cell_dtype, date_value, value_label
 from tablesense.operators import json_profile as J
 from tablesense.operators import linking as L
 from tablesense.operators import profile as P
@@ -223,3 +223,13 @@ def task_profiles(spark, d):
     profiles = TP.task_profiles(tasks, sources, files)
     each = TP.schema_view(profiles).select("task_id", "source", "row_count", F.explode("columns").alias("c"))
     return each.select("task_id", "source", "c.name", "row_count", "c.cardinality", "c.dtype", F.array_join(F.transform("c.samples", lambda x: F.concat_ws("=", x["value"], x["cnt"])), "|").alias("samples"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS long_form, CAST(o_orderdate AS DATE) AS short_form, CAST(o_orderdate AS DATE) AS signs, CAST(NULL AS DATE) AS wrong FROM orders""")
+def month_name_dates(spark, d):
+    day, at = F.dayofmonth("o_orderdate"), F.col("o_orderdate")
+    suffix = F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th")
+    long = F.concat(F.date_format(at, "MMMM"), F.lit(" "), day, suffix, F.lit(", "), F.year(at))
+    short = F.concat(F.lit(" "), day, F.lit(" "), F.upper(F.date_format(at, "MMM")), F.lit(". "), F.year(at))
+    wrong = F.concat(F.lit("February 30, "), F.year(at))
+    return table(spark, d, "orders").select("o_orderkey", date_value(long).alias("long_form"), date_value(short).alias("short_form"), date_value(F.date_format(at, "M/d/yyyy")).alias("signs"), date_value(wrong).alias("wrong"))

@@ -103,6 +103,24 @@ def primary_tool(kind: Column, has_database: Column) -> Column:
     )
 
 
+def auxiliary_tools(kind: Column, has_database: Column) -> Column:
+    """The tools that a type of task may need besides its primary one, in order."""
+    named = lambda *tools: F.array(*map(F.lit, tools))
+    return (
+        F.when(kind == "record_text_with_semantic_rule", named("pandas", "document_parser", "rag"))
+        .when(kind == "table_with_semantic_rule", F.when(has_database, named("sql", "document_parser", "rag")).otherwise(named("document_parser", "rag")))
+        .when(kind == "table_computation", F.when(has_database, named("pandas")).otherwise(named("sql")))
+        .when(kind == "document_qa", named("document_parser"))
+        .when(kind == "mixed_context", F.when(has_database, named("sql", "rag")).otherwise(named("document_parser", "rag")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def modalities(has_tables: Column, has_texts: Column, has_images: Column, has_others: Column) -> Column:
+    named = {"table": has_tables, "document": has_texts, "image": has_images, "unknown": has_others}
+    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in named.items()]), lambda x: x.isNotNull())
+
+
 def word_hits(question: Column, words: Iterable[str]) -> Column:
     q = F.lower(question)
     return sum((F.contains(q, F.lit(w)).cast("int") for w in words), F.lit(0))

@@ -5,6 +5,8 @@ import json
 
 from tablesense.operators import json_profile as J
 from tablesense.operators import task_profile as TP
+from tablesense.sources.files import read_delimited
+from tablesense.sources.sinks import write_tsv
 
 DOCS = [
     '{"a": true, "b": {"c": [1, 1.0, "1", null, {"d": []}], "e": {}}, "z": 1e2}',
@@ -85,6 +87,23 @@ def test_profiles_are_nested(spark):
     assert got["t3"]["sources"] == [] and got["t2"]["tool_calls"] > got["t1"]["tool_calls"]
 
 
+def test_routes_are_audited(spark, tmp_path):
+    tasks = spark.createDataFrame([("t1", "easy", "How many?"), ("t2", "hard", "Which rule?")], "task_id string, difficulty string, question string")
+    files = spark.createDataFrame([("t1", "a.db", "db", 10), ("t2", "b.csv", "csv", 9), ("t2", "x\ty.zip", "zip", 9), ("t2", "knowledge.md", "md", 7)], "task_id string, source string, kind string, length long")
+    table = spark.createDataFrame([(1, "x")], "id int, name string")
+    profiles = TP.task_profiles(tasks, {("t2", "b.csv"): (table, "id")}, files)
+    routes = {"direct": {"kind": "tablellm_direct", "model": "m1"}, "loop": {"kind": "react", "model": "m2"}}
+    write_tsv(TP.route_audit(profiles, routes, {"table_with_semantic_rule": "loop"}), f"file://{tmp_path}/audit")
+    rows = {r["task_id"]: r.asDict() for r in read_delimited(spark, f"file://{tmp_path}/audit", "\t").collect()}
+    assert list(rows["t1"]) == list(TP.AUDIT_COLUMNS) and len(TP.AUDIT_COLUMNS) == 18
+    one, two = rows["t1"], rows["t2"]
+    assert (one["route"], one["route_reason"], one["kind"], one["model"]) == ("direct", "task_type_auto", "tablellm_direct", "m1")
+    assert (one["primary_tool"], one["auxiliary_tools"], one["modalities"], one["source_kinds"]) == ("sql", "pandas", "table", "db:data")
+    assert (two["route"], two["route_reason"], two["model"], two["difficulty"]) == ("loop", "task_type_routing", "m2", "hard")
+    assert (two["modalities"], two["auxiliary_tools"]) == ("table,document,unknown", "document_parser,rag")
+    assert two["sources"] == "b.csv:csv;knowledge.md:md;x y.zip:zip" and "semantic_rule_context" in two["flags"]
+
+
 def test_views_cut_columns_and_samples(spark):
     wide = spark.range(9).selectExpr("id", *[f"id % 7 AS c{i}" for i in range(90)])
     tasks = spark.createDataFrame([("t", "easy", "q")], "task_id string, difficulty string, question string")
