@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesense.operators.relational import ranked
+
 #: The order in which kinds of files are shown.
 KIND_ORDER = ("csv", "db", "json", "record_text", "doc", "image")
 #: Which kind a suffix is shown as.
@@ -32,7 +34,8 @@ def shown_kind(suffix: Column) -> Column:
 def in_kind_order(files: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
     """With place: tables before databases, JSON, records, documents, images and the rest; by name within a kind."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col(kind)), F.lit(0)), F.lit(len(KIND_ORDER) + 1))
-    return files.withColumn("__k", rank).withColumn("place", F.row_number().over(Window.orderBy("__k", name))).drop("__k")
+    placed = ranked(files.withColumn("__order", F.struct(rank.alias("kind"), F.col(name).alias("name"))), "__order")
+    return placed.withColumn("place", F.col("pos") + 1).drop("__order", "pos")
 
 
 def table_relevance(name: Column, columns: Column, question: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.functions.cells import id_text, is_emptyish
+from tablesense.sources import store
 
 
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None, left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = True, normalise_keys: bool = False) -> DataFrame:
@@ -86,13 +87,20 @@ def diverse_sample(df: DataFrame, size: int, order: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with pos, from 0 in ascending order, without putting all rows into one task."""
-    parts = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    within = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    sizes = within.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return within.join(bases, "__part").withColumn("pos", F.col("__base") + F.col("__rank")).drop("__part", "__rank", "__base")
+    """``df`` with pos, from 0 in ascending order (nulls first), without putting all rows into one task. Rows are range-sorted into a written table
+    once; a partition's first place is a prefix sum over the partitions' sizes, of which there is a row each."""
+    spark, folder = df.sparkSession, store.work_folder(df.sparkSession, "ranked")
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    dealt.write.parquet(folder)
+    written = spark.read.schema(dealt.schema).parquet(folder)
+    sizes = sorted((r["part"], r["n"]) for r in written.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    bases, total = [], 0
+    for part, n in sizes:
+        bases.append((part, total))
+        total += n
+    base = F.broadcast(spark.createDataFrame(bases, "__part long, __base long"))
+    nth = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return written.join(base, F.shiftright("__at", 33) == F.col("__part")).withColumn("pos", F.col("__base") + nth).drop("__part", "__base", "__at")
 
 
 def last_record(df: DataFrame, key: str, order: str) -> DataFrame:

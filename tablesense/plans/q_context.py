@@ -22,9 +22,12 @@ def query(sql: str):
     return register
 
 
-@query("""SELECT * FROM (VALUES ('b.csv', 1), ('z.tsv', 2), ('a.db', 3), ('r.jsonl', 4), ('k.md', 5), ('i.png', 6), ('x.bin', 7)) t(name, place)""")
+@query("""
+WITH f AS (SELECT 'p' || page_id || ['.md', '.bin', '.tsv', '.csv', '.png', '.jsonl', '.db'][CAST(page_id % 7 AS INTEGER) + 1] AS name, [5, 7, 1, 1, 6, 3, 2][CAST(page_id % 7 AS INTEGER) + 1] AS k, ['', '', 'tsv', 'csv', '', '', ''][CAST(page_id % 7 AS INTEGER) + 1] AS own FROM pages)
+SELECT name, row_number() OVER (ORDER BY k, name) AS place FROM f""")
 def kind_order(spark, d):
-    files = spark.createDataFrame([(n,) for n in ("k.md", "x.bin", "z.tsv", "b.csv", "i.png", "r.jsonl", "a.db")], "name string")
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".bin", ".tsv", ".csv", ".png", ".jsonl", ".db"))), (F.col("page_id") % 7 + 1).cast("int"))
+    files = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id", suffix).alias("name"))
     return X.in_kind_order(files.withColumn("kind", X.shown_kind(F.regexp_extract("name", r"\.(\w+)$", 1)))).select("name", "place")
 
 
@@ -54,17 +57,22 @@ def positive_preview(spark, d):
     return X.preview_rows(rows, "doc_id", F.col("toxic") == 1)
 
 
-@query("""SELECT * FROM (VALUES (1, 'patient_id,birth_year,birthday_text'), (2, 'patient_id,creatinine,creatinine_abnormal,evidence'), (3, 'race_id,year,name,date'), (4, 'got,gpt'), (5, 'id,name,date,value'), (6, 'race_id,year,round,name,date,constructor_id,constructor_ref,url')) t(n, fields)""")
+@query("""SELECT o_orderkey, ['patient_id,birth_year,birthday_text', 'patient_id,creatinine,creatinine_abnormal,evidence', 'race_id,year,name,date', 'got,gpt', 'id,name,date,value', 'race_id,year,round,name,date,constructor_id,constructor_ref,url'][CAST(o_orderkey % 6 AS INTEGER) + 1] AS fields FROM orders""")
 def target_schema(spark, d):
-    rows = [(1, "doc/Patient.md", "Who was born before 1950?", ["got"]), (2, "Laboratory.md", "Is creatinine high?", []), (3, "races.md", "Which grand prix?", []), (4, "x.md", "What?", ["got", "gpt"]), (5, "x.md", "What?", []), (6, "race.md", "How fast?", ["year"])]
-    df = spark.createDataFrame(rows, "n int, path string, q string, seen array<string>")
-    return df.select("n", F.array_join(X.target_schema(F.col("path"), F.col("q"), F.col("seen")), ",").alias("fields"))
+    pick = lambda *values: F.element_at(F.array(*values), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    path = pick(*map(F.lit, ("doc/Patient.md", "Laboratory.md", "races.md", "x.md", "x.md", "race.md")))
+    asked = pick(*map(F.lit, ("Who was born before 1950?", "Is creatinine high?", "Which grand prix?", "What?", "What?", "How fast?")))
+    none = F.array().cast("array<string>")
+    seen = pick(F.array(F.lit("got")), none, none, F.array(F.lit("got"), F.lit("gpt")), none, F.array(F.lit("year")))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(X.target_schema(F.concat("o_orderstatus", F.lit("/"), path), asked, seen), ",").alias("fields"))
 
 
-@query("""SELECT * FROM (VALUES (8, '1,2,3,4,5,6,7,8'), (9, '1,2,3,4,...3 more...,8,9'), (20, '1,2,3,4,...14 more...,19,20')) t(n, shown)""")
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 20 + 1 AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n <= 8 THEN array_to_string(range(1, n + 1), ',') ELSE '1,2,3,4,...' || (n - 6) || ' more...,' || (n - 1) || ',' || n END AS shown FROM o""")
 def signature_preview(spark, d):
-    df = spark.createDataFrame([(8,), (9,), (20,)], "n int").withColumn("cells", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i.cast("string")))
-    return df.select("n", F.array_join(X.signature_preview(F.col("cells")), ",").alias("shown"))
+    cells = F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 20 + 1).cast("int")), lambda i: i.cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(X.signature_preview(cells), ",").alias("shown"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -19,6 +18,7 @@ from tablesense.sources import files as S
 from tablesense.sources import sinks as K
 from tablesense.sources.delimited import scan_delimited
 from tablesense.sources.sqlite_ds import read_sqlite, sqlite_catalog
+from tablesense.sources.store import work_folder
 from tablesense.streaming import events as E
 
 QUERIES: dict = {}
@@ -77,19 +77,41 @@ def difficulty_bucket(spark, d):
     return _questions(spark, d).withColumn("points", points).select("item_id", "points", G.difficulty_bucket(F.col("points")).alias("bucket"))
 
 
-@query("""SELECT * FROM (VALUES ('table_computation', 'easy', 'small', 8, 18), ('table_computation', 'hard', 'medium', 11, 32), ('document_qa', 'extreme', 'xlarge', 24, 44), ('mixed_context', 'other', 'large', 16, 34), ('record_text_with_semantic_rule', 'extreme', 'xlarge', 28, 60)) t(kind, difficulty, level, model_calls, tool_calls)""")
+_KINDS = (*G.BUDGETS, "something_else")
+_DIFFICULTIES = ("easy", "MEDIUM", "hard", "extreme", "other")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, {_listed(_KINDS)}[CAST(o_orderkey % {len(_KINDS)} AS INTEGER) + 1] AS kind, {_listed(_DIFFICULTIES)}[CAST(o_orderkey % 5 AS INTEGER) + 1] AS difficulty, CAST(o_orderkey % 2 = 0 AS INTEGER) AS many, CAST(o_orderkey % 3 = 0 AS INTEGER) AS large, CAST(o_orderkey % 7 = 0 AS INTEGER) AS unsure FROM orders),
+ b AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {m}, {t})" for k, (m, t) in G.BUDGETS.items())}) v(kind, m, t)), e AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {n})" for k, n in G.DIFFICULTY_CALLS.items())}) v(difficulty, more)),
+ c AS (SELECT o_orderkey, o.kind, o.difficulty, least(coalesce(m, 10) + coalesce(more, 1) + many + 6 * large + unsure, 30) AS model_calls, least(coalesce(t, 18) + 2 * coalesce(more, 1) + 4 * many + 8 * large + 2 * unsure, 60) AS tool_calls
+  FROM o LEFT JOIN b ON b.kind = o.kind LEFT JOIN e ON e.difficulty = lower(o.difficulty))
+SELECT o_orderkey, kind, CASE WHEN model_calls <= 9 THEN 'small' WHEN model_calls <= 14 THEN 'medium' WHEN model_calls <= 22 THEN 'large' ELSE 'xlarge' END AS level, model_calls, tool_calls FROM c""")
 def budget_levels(spark, d):
-    rows = [("table_computation", "easy", []), ("table_computation", "hard", ["large_table_context", "x", "many_files_no"]), ("document_qa", "extreme", ["large_document_context"]), ("mixed_context", "other", ["ambiguous_schema"]), ("record_text_with_semantic_rule", "extreme", ["large_document_context", "semantic_rule_context", "many_files"])]
+    key = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    flags = F.filter(F.array(F.when(key % 2 == 0, "many_files"), F.when(key % 3 == 0, "large_document_context"), F.when(key % 7 == 0, "low_confidence")), lambda x: x.isNotNull())
+    tasks = table(spark, d, "orders").select("o_orderkey", pick(_KINDS).alias("kind"), pick(_DIFFICULTIES).alias("difficulty"), flags.alias("flags"))
     level, model, tools = G.budget(F.col("kind"), F.col("difficulty"), F.col("flags"))
-    return spark.createDataFrame(rows, "kind string, difficulty string, flags array<string>").select("kind", "difficulty", level.alias("level"), model.alias("model_calls"), tools.alias("tool_calls"))
+    return tasks.select("o_orderkey", "kind", level.alias("level"), model.alias("model_calls"), tools.alias("tool_calls"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'table_computation', 'sql'), (2, 'document_qa', 'rag'), (3, 'mixed_context', 'pandas'), (4, 'table_with_semantic_rule', 'pandas'), (5, 'record_text_with_semantic_rule', 'document_extractor'), (6, 'image_understanding', 'vision'), (7, 'pure_reasoning', 'react')) t(n, kind, tool)""")
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 2 = 1 AS tables, o_orderkey % 3 = 0 AS docs, o_orderkey % 5 = 0 AS records, o_orderkey % 7 = 0 AS rules, o_orderkey % 11 = 0 AS images, o_orderkey % 4 = 1 AS db FROM orders),
+ t AS (SELECT *, CASE WHEN records AND rules THEN 'record_text_with_semantic_rule' WHEN tables AND rules THEN 'table_with_semantic_rule' WHEN tables AND (records OR docs) THEN 'mixed_context' WHEN docs AND NOT images THEN 'document_qa'
+  WHEN tables AND NOT images THEN 'table_computation' WHEN images AND NOT (tables OR docs) THEN 'image_understanding' WHEN images THEN 'mixed_context' ELSE 'pure_reasoning' END AS kind FROM o)
+SELECT o_orderkey, kind, CASE WHEN kind = 'record_text_with_semantic_rule' THEN 'document_extractor' WHEN kind IN ('table_with_semantic_rule', 'mixed_context') THEN 'pandas' WHEN kind = 'table_computation' THEN CASE WHEN db THEN 'sql' ELSE 'pandas' END
+  WHEN kind = 'document_qa' THEN 'rag' WHEN kind = 'image_understanding' THEN 'vision' ELSE 'react' END AS tool,
+ CASE kind WHEN 'record_text_with_semantic_rule' THEN 'pandas,document_parser,rag' WHEN 'table_with_semantic_rule' THEN CASE WHEN db THEN 'sql,' ELSE '' END || 'document_parser,rag' WHEN 'table_computation' THEN CASE WHEN db THEN 'pandas' ELSE 'sql' END
+  WHEN 'document_qa' THEN 'document_parser' WHEN 'mixed_context' THEN CASE WHEN db THEN 'sql,rag' ELSE 'document_parser,rag' END ELSE '' END AS others FROM t""")
 def task_type_rules(spark, d):
-    rows = [(1, True, False, False, False, False), (2, False, True, False, False, False), (3, True, True, False, False, False), (4, True, False, False, True, False), (5, False, True, True, True, False), (6, False, False, False, False, True), (7, False, False, False, False, False)]
-    df = spark.createDataFrame(rows, "n int, tables boolean, docs boolean, records boolean, rules boolean, images boolean")
-    kind = G.task_type(*(F.col(c) for c in ("tables", "docs", "records", "rules", "images")))
-    return df.withColumn("kind", kind).select("n", "kind", G.primary_tool(F.col("kind"), F.col("tables")).alias("tool"))
+    has = lambda n, rest=0: F.col("o_orderkey") % n == rest
+    kind = G.task_type(has(2, 1), has(3), has(5), has(7), has(11))
+    return table(spark, d, "orders").withColumn("kind", kind).select("o_orderkey", "kind", G.primary_tool(F.col("kind"), has(4, 1)).alias("tool"), F.array_join(G.auxiliary_tools(F.col("kind"), has(4, 1)), ",").alias("others"))
 
 
 @query(f"""WITH q AS (SELECT item_id, lower(q) AS q FROM {_Q}) SELECT item_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(q, '\\b{w}\\b') THEN '{w}' END" for w in G.WEAK)}], lambda x: x IS NOT NULL), ',') AS weak FROM q""")
@@ -153,9 +175,8 @@ def sqlite_dialect(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; without it, one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="tablesense-")
+    """A new folder in the shared one that spark.checkpoint.dir names; without it, one of this process."""
+    return work_folder(spark, "files")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', "' || chr(10) || 'x' AS c_name, c_mktsegment FROM customer""")
@@ -197,7 +218,10 @@ def sqlite_scan(spark, d):
 
 
 def _sqlite(spark, d) -> str:
-    folder = Path(_folder(spark).removeprefix("file://"))
+    root = _folder(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("a SQLite file is opened by its path: spark.checkpoint.dir must be a folder that all machines mount")
+    folder = Path(root.removeprefix("file://"))
     folder.mkdir(parents=True, exist_ok=True)
     rows = [tuple(r) for r in table(spark, d, "nation").collect()]  # 25 rows at every scale
     with sqlite3.connect(folder / "nation.db") as c:

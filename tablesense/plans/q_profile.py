@@ -155,10 +155,10 @@ def fuzzy_column_ratio(spark, d):
     return spark.createDataFrame(rows, "wanted string, col_name string, ratio double")
 
 
-@query("""SELECT 'csv/results.csv' AS path""")
+@query("""SELECT path FROM (SELECT 'csv/' || p_brand || '-' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.csv' ELSE '.json' END AS path FROM part) WHERE path LIKE '%.csv' ORDER BY levenshtein(path, 'csv/Brand#15.csv'), path LIMIT 1""")
 def closest_path(spark, d):
-    files = spark.createDataFrame([("csv/results.csv",), ("csv/races.csv",), ("json/results.json",)], "path string")
-    return L.closest_path(files, "csv/result.csv")
+    name = F.concat(F.lit("csv/"), "p_brand", F.lit("-"), "p_partkey", F.when(F.col("p_partkey") % 2 == 0, ".csv").otherwise(".json"))
+    return L.closest_path(table(spark, d, "part").select(name.alias("path")), "csv/Brand#15.csv")
 
 
 @query("""
@@ -170,10 +170,12 @@ def cell_types(spark, d):
     return table(spark, d, "orders").select("o_orderkey", cell_dtype(text).alias("dtype"), value_label(text).alias("label"))
 
 
-@query("""SELECT CAST(4 AS BIGINT) AS file_count, CAST(3 AS BIGINT) AS kind_count, CAST(1510 AS BIGINT) AS total_bytes, CAST(10 AS BIGINT) AS document_bytes, CAST(1500 AS BIGINT) AS table_bytes""")
+@query("""
+WITH f AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'db' WHEN 2 THEN 'md' WHEN 3 THEN 'png' ELSE 'docx' END AS kind, n_chars FROM documents)
+SELECT count(*) AS file_count, count(DISTINCT kind) AS kind_count, CAST(sum(n_chars) AS BIGINT) AS total_bytes, CAST(sum(CASE WHEN kind IN ('md', 'docx') THEN n_chars END) AS BIGINT) AS document_bytes, CAST(sum(CASE WHEN kind IN ('csv', 'db') THEN n_chars END) AS BIGINT) AS table_bytes FROM f""")
 def size_totals(spark, d):
-    files = spark.createDataFrame([("a.csv", "csv", 1000), ("b.csv", "csv", 200), ("c.db", "db", 300), ("k.md", "md", 10)], "path string, kind string, length long")
-    return P.size_totals(files)
+    kind = F.element_at(F.array(*map(F.lit, ("csv", "db", "md", "png", "docx"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return P.size_totals(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), kind.alias("kind"), F.col("n_chars").alias("length")))
 
 
 @query("""
