@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablesense.llm import decontamination, packing, quality_classifier, simhash, substrings
 from tablesense.llm.queries import tokenizer_path
-from tablesense.llm.shared import stage
+from tablesense.llm.shared import discard, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if read is not None:
+            discard(read)  # what the last stage has written is all that the next one reads
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)
