@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tablesense.functions.cells import strip
-from tablesense.functions.text import keyword_score
+from tablesense.functions.text import STOPWORDS, keyword_score
 
 #: Headings of up to this level; deeper ones are body text.
 LEVELS = 4
@@ -40,6 +40,31 @@ def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where("raw_text <> ''")
 
 
+def flat_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, section_no (from 1), heading, body: what stands under each heading by itself, whatever headings it stands under; empty bodies
+    too. Text before the first heading is left out; a text without any is one section, '(top)', as it is. Null texts have none."""
+    headed = F.coalesce(F.col(text_col).rlike(r"(?m)^#{1,4}\s+\S"), F.lit(False))
+    known = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__text"), headed.alias("__headed"))
+    lines = known.where("__headed").select(id_col, F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
+    title = F.regexp_extract("line", r"^#{1,4}\s+(.+?)\s*$", 1)
+    is_heading = F.col("line").rlike(r"^#{1,4}\s+\S")
+    numbered = lines.withColumn("section_no", F.count_if(is_heading).over(Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).where("section_no > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_heading, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    found = numbered.groupBy(id_col, F.col("section_no").cast("int").alias("section_no")).agg(F.max(F.when(is_heading, title)).alias("heading"), strip(body).alias("body"))
+    return found.unionByName(known.where("not __headed").select(id_col, F.lit(1).alias("section_no"), F.lit("(top)").alias("heading"), F.col("__text").alias("body")))
+
+
+def focused_sections(sections: DataFrame, id_col: str, question: Column, most: int) -> DataFrame:
+    """Of each document the ``most`` sections with most words of the question (of three letters or more, each once), in order of the text, with
+    score; sections without any are left out, unless no section has one: then the first ``most``."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(question), F.lit("([a-z0-9_]+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)))
+    scored = sections.withColumn("score", keyword_score(F.concat_ws("\n", "heading", "body"), words))
+    own = Window.partitionBy(id_col)
+    rank = F.row_number().over(own.orderBy(F.desc("score"), "section_no"))
+    kept = scored.withColumn("__any", F.max("score").over(own) > 0).withColumn("__rank", rank)
+    return kept.where((F.col("__rank") <= most) & (~F.col("__any") | (F.col("score") > 0))).drop("__any", "__rank")
+
+
 def indexable(path: Column, raw: Column) -> Column:
     """What is indexed of a chunk: its headings, then its text."""
     return F.when(F.size(path) > 0, F.concat(F.lit("["), F.array_join(path, " › "), F.lit("]\n"), raw)).otherwise(raw)

@@ -98,6 +98,17 @@ def md_sections(spark, d):
     return s.select("doc_id", "section_no", F.size("heading_path").cast("bigint").alias("depth"), F.char_length("raw_text").cast("bigint").alias("n_chars"))
 
 
+@query(f"""
+WITH m AS (SELECT doc_id, pos, pos % 5 = 1 AND trim(raw) <> '' AS head, raw FROM {_LINES}), s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM m),
+ b AS (SELECT doc_id, n, max(CASE WHEN head THEN trim(raw) END) AS heading, regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT head), ''), '^\\s+|\\s+$', '', 'g') AS body FROM s WHERE n > 0 GROUP BY 1, 2)
+SELECT doc_id, CAST(n AS INTEGER) AS section_no, substr(sha256(heading), 1, 16) AS heading, CAST(length(body) AS BIGINT) AS n_chars FROM b
+UNION ALL SELECT doc_id, 1, substr(sha256('(top)'), 1, 16), length(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b)""")
+def flat_sections(spark, d):
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when((i % 5 == 1) & (F.trim(x) != ""), F.concat(F.lit("## "), F.trim(x))).otherwise(x)), "\n")
+    s = D.flat_sections(table(spark, d, "documents").select("doc_id", marked.alias("md")), "doc_id", "md")
+    return s.select("doc_id", "section_no", T.content_hash(F.col("heading")).alias("heading"), F.char_length("body").cast("bigint").alias("n_chars"))
+
+
 def _paragraphed(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
