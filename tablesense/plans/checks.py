@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesense.functions.names import close_names, name_ratio, plain_name
+from tablesense.operators.answers import validation_issues
+from tablesense.operators.relational import drop_empty_columns
 from tablesense.plans.spec import Filter, QuerySpec, compile_spec
 
 #: What Spark's error conditions are called here.
@@ -102,7 +104,44 @@ def repair_source(spec: QuerySpec, sources: Mapping[str, DataFrame], issue: Issu
     return replace(spec, source=name(spec.source), joins=tuple(replace(j, source=name(j.source)) for j in spec.joins))
 
 
-FIXERS: tuple[Callable[[QuerySpec, Mapping[str, DataFrame], Issue], QuerySpec | None], ...] = (repair_source, repair_column, repair_keys)
+def repair_join_key(spec: QuerySpec, sources: Mapping[str, DataFrame], issue: Issue) -> QuerySpec | None:
+    """For a join whose key isn't on both sides: the one pair of columns whose names are the same but for case and signs, if there is just one,
+    else the one pair of ids, named alike but for the table's name or a link to it."""
+    if issue.code != "bad_join_key" or not spec.joins:
+        return None
+    left, fixed = set(sources[spec.source].columns), []
+    for j in spec.joins:
+        right = sources[j.source].columns
+        broken = any(c not in left for c in j.left_on) or any(c not in right for c in j.right_on)
+        if broken:
+            same = [(a, b) for a in sorted(left) for b in right if plain_name(a) == plain_name(b)]
+            own = plain_name(j.source).removesuffix("s")
+            ids = [(a, b) for a in sorted(left) for b in right if _id_of(a, own) and _id_of(b, own)]
+            pairs = same if len(same) == 1 else ids if not same else []
+            if len(pairs) != 1:
+                return None
+            j = replace(j, left_on=(pairs[0][0],), right_on=(pairs[0][1],))
+        fixed.append(j)
+        left |= set(right)
+    changed = replace(spec, joins=tuple(fixed))
+    return changed if changed != spec else None
+
+
+def _id_of(column: str, table: str) -> bool:
+    """Whether a column is named as the id of a table, or as a link to it: id, race_id, RaceID, link_to_race."""
+    name = plain_name(column)
+    return name in ("id", f"{table}id", f"linkto{table}") or name.endswith(f"{table}id")
+
+
+def drop_unknown_join(spec: QuerySpec, sources: Mapping[str, DataFrame], issue: Issue) -> QuerySpec | None:
+    """Without a join to a source that isn't there and is like none that is, if the rest doesn't need it."""
+    if issue.code != "no_such_table" or spec.source == issue.name:
+        return None
+    rest = replace(spec, joins=tuple(j for j in spec.joins if j.source != issue.name))
+    return rest if rest != spec and not check(rest, sources) else None
+
+
+FIXERS: tuple[Callable[[QuerySpec, Mapping[str, DataFrame], Issue], QuerySpec | None], ...] = (repair_source, repair_column, repair_join_key, repair_keys, drop_unknown_join)
 
 
 def loosened(spec: QuerySpec) -> QuerySpec:
@@ -135,6 +174,17 @@ def run_spec(spec: QuerySpec, sources: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
+def mended_answer(answer: DataFrame) -> tuple[DataFrame, list[str]]:
+    """An answer without the columns in which nothing is said, one kept at least, and the codes of the errors that are left. What has no rows or no
+    columns can't be mended."""
+    codes = lambda df: [r["code"] for r in validation_issues(df).where("severity = 'error'").orderBy("col_idx", "code").collect()]
+    met = codes(answer)
+    if "empty_column" not in met:
+        return answer, met
+    mended = drop_empty_columns(answer)
+    return mended, codes(mended)
+
+
 #: What a statement's parsed tree may hold: relations and operators of queries, and what describes them. Whatever isn't here
 #: isn't run, so commands that a later version of Spark adds are refused.
 READING_NODES = frozenset(
