@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesense.functions.text import bm25_idf, cosine, index_tokens, tfidf_idf
-from tablesense.sources.store import Cache, content_key, work_folder
+from tablesense.sources.store import Cache, content_key, written
 
 FIRST_STAGE, FINAL, RRF_K = 30, 6, 60
 #: Scores are rounded, so that equal texts tie whatever order their parts are summed in.
@@ -167,9 +167,8 @@ def nearest(items: DataFrame, queries: DataFrame, id_col: str, vector: str, quer
                 yield pa.RecordBatch.from_arrays([wanted.take(taken), ids.take(pa.array(order[top].ravel())), pa.array(scores.ravel())], names=["q", "i", "score"])
 
     spread = _blocks(items, id_col, vector, _ITEMS, "i").repartition(items.sparkSession.sparkContext.defaultParallelism)
-    asked, folder = _blocks(queries, query_id, query_vector, _QUERIES, "q"), work_folder(items.sparkSession, "query-blocks")
-    asked.write.parquet(folder)  # once, and not again for every part of the items
-    pairs = spread.crossJoin(items.sparkSession.read.schema(asked.schema).parquet(folder))
+    asked = written(_blocks(queries, query_id, query_vector, _QUERIES, "q"), "query-blocks")  # not again for every part of the items
+    pairs = spread.crossJoin(asked)
     best = pairs.mapInArrow(score, f"q {kinds[0]}, i {kinds[1]}, score double")
     return top_k(best.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "score"), query_id, id_col, k)
 

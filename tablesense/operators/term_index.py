@@ -63,6 +63,8 @@ def write_index(chunks: DataFrame, id_col: str, text_col: str, folder: str, sour
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     identity = F.concat_ws("#", F.coalesce((source if source is not None else F.lit("")).cast("string"), F.lit("")), content_hash(F.coalesce((raw if raw is not None else text).cast("string"), F.lit("")), 32))
     rows = chunks.select(F.col(id_col).alias("id"), identity.alias("identity"), index_tokens(text).alias("tokens")).select("id", "identity", F.size("tokens").alias("len"), term_counts(F.col("tokens")).alias("terms"))
+    rows = rows.withColumn("top", F.array_max(F.transform("terms", lambda t: t["tf"])))
+    rows = store.written(rows, "term-counts")  # ranges are found by a pass of their own, which mustn't tokenise again
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id())
     dealt.write.parquet(f"{staged}/forward")
     forward = spark.read.schema(dealt.schema).parquet(f"{staged}/forward")
@@ -77,8 +79,7 @@ def write_index(chunks: DataFrame, id_col: str, text_col: str, folder: str, sour
     low = F.lit((1 << 33) - 1).cast("long")
     placed = forward.join(base, F.shiftright("at", 33) == F.col("part")).withColumn("place", F.col("base") + F.col("at").bitwiseAND(low))
 
-    top = F.array_max(F.transform("terms", lambda t: t["tf"]))
-    each = placed.select("place", "len", top.alias("top"), F.explode("terms").alias("t")).select("place", "len", "t.term", "t.tf", (F.col("t.tf") / F.col("top")).alias("share"))
+    each = placed.select("place", "len", "top", F.explode("terms").alias("t")).select("place", "len", "t.term", "t.tf", (F.col("t.tf") / F.col("top")).alias("share"))
     block = F.array_sort(F.collect_list(F.struct("place", "tf", "len", "share")))
     blocks = each.groupBy("term", F.floor(F.col("place") / RANGE).alias("range_no")).agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), block.alias("postings"))
     blocks.repartitionByRange("term", "range_no").sortWithinPartitions("term", "range_no").write.parquet(f"{staged}/blocks")
@@ -190,6 +191,7 @@ def fused(index: TermIndex, queries: DataFrame, query_id: str, rankings: Sequenc
     """
     asked = queries.select(F.col(query_id).alias("q")).distinct()
     docs = index.docs.select("place", "identity", "id")
+    rankings = [store.written(s.select("q", "place", "score"), "ranking") for s in rankings]
     scored = reduce(DataFrame.unionByName, [s.where("score > 0").select("q", "place") for s in rankings]).distinct()
     touched = scored.join(docs.select("place", "identity"), "place").select("q", "identity").distinct()
     last = len(rankings) - 1
@@ -203,8 +205,8 @@ def fused(index: TermIndex, queries: DataFrame, query_id: str, rankings: Sequenc
 
     few = asked.join(touched.groupBy("q").agg(F.count("*").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k).select("q")
     heads = docs.groupBy("identity").agg(F.min("place").alias("first")).orderBy("first").limit(2 * k).select("identity")
-    known = touched.union(few.crossJoin(F.broadcast(heads))).distinct()  # 2 * k identities for a query at most
-    some = summed(known)
+    known = store.written(touched.union(few.crossJoin(F.broadcast(heads))).distinct(), "known")  # 2 * k identities for a query at most
+    some = store.written(summed(known), "fused")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     kth = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", F.col("score").alias("least"))
     bounds = docs.groupBy("identity").agg((F.sum(len(rankings) / (rrf_k + 1 + F.col("place"))) + 1e-11).alias("bound"))  # scores are rounded
