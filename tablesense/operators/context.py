@@ -162,6 +162,7 @@ def route(kind: str, routes: Mapping[str, Mapping], by_type: Mapping[str, str] |
     own = (by_type or {}).get(kind)
     if own in free:
         return own, "task_type_routing"
+    # fixed values: the kinds of routes that a type of task may take, in order
     tables = ("operator_executor", "tablellm_direct", "react", "multi_agent")
     kinds = {"table_computation": tables, "document_qa": tables, "mixed_context": tables, "image_understanding": ("multi_agent", "react")}.get(kind, ("react", "operator_executor", "multi_agent"))
     rag = kind in ("document_qa", "mixed_context")
