@@ -166,3 +166,16 @@ def test_errors_become_issues(spark):
         assert C.issue_of(caught.value).code == code
     assert C.issue_of(KeyError("k")).code == "no_such_column"
     assert C.issue_of(FileNotFoundError("f")).code == "no_such_file"
+
+
+def test_merge_of_many_with_many_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS", 500)
+    a = spark.createDataFrame([(i, None if i % 9 == 0 else i % 3, f"a{i}") for i in range(90)], "i int, k int, v string")
+    b = spark.createDataFrame([(i, None if i % 10 == 0 else i % 4, f"b{i}") for i in range(400)], "j int, k long, v string").coalesce(1)
+    for null_safe in (True, False):
+        plain, dealt = (R.merge(a, b, on=["k"], null_safe=null_safe, many=many) for many in (False, True))
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect())) and dealt.columns == plain.columns
+        tasks = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) < sum(tasks) / 4
+    monkeypatch.setattr(R, "PAIRS", 10**9)
+    assert R.merge(a, b, on=["k"], many=True).count() == R.merge(a, b, on=["k"]).count()
