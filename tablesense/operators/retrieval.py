@@ -6,6 +6,8 @@ corpus come from all of them. Chunks without a score are added for full rankings
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.functions.text import bm25_idf, cosine, index_tokens, tfidf_idf
+from tablesense.functions.text import STOPWORDS, bm25_idf, cosine, index_tokens, tfidf_idf
 from tablesense.sources.store import Cache, content_key, written
 
 FIRST_STAGE, FINAL, RRF_K = 30, 6, 60
@@ -60,6 +62,44 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.groupBy(id_col, "token").agg(F.count("*").alias("tf"))
 
 
+def counted(chunks: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """id_col, others, len, top (the most frequent term's count), terms (term, tf) of each chunk: ``index_tokens``, counted within the row,
+    so that no row of a chunk and a token is shuffled."""
+    types = dict(chunks.dtypes)
+    kept, stop = [id_col, *others], frozenset(STOPWORDS)
+
+    def count(batches):
+        words, signs = re.compile("[a-z0-9_]{2,}").findall, re.compile("[\u4e00-\u9fff]").findall
+        for batch in batches:
+            terms, tfs, lengths, tops, ends = [], [], [], [], [0]
+            for text in batch.column(len(kept)).to_pylist():
+                found = Counter(words(text))
+                if not text.isascii():
+                    found.update(signs(text))
+                for w in found.keys() & stop:
+                    del found[w]
+                terms.extend(found)
+                tfs.extend(found.values())
+                ends.append(len(terms))
+                lengths.append(found.total())
+                tops.append(max(found.values(), default=None))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lengths, pa.int32()), pa.array(tops, pa.int32()), lists], names=[*kept, "len", "top", "terms"])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", len int, top int, terms array<struct<term:string,tf:int>>"
+    return chunks.select(*kept, F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).mapInArrow(count, schema)
+
+
+#: Rows of a table that are sent to all tasks, at most; tables beyond are joined by a shuffle.
+BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows, which are counted: it should be cheap to compute."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     """token, df."""
     return posted.groupBy("token").agg(F.count("*").alias("df"))
@@ -77,12 +117,15 @@ def query_tokens(queries: DataFrame, query_id: str, query_text: str) -> DataFram
 
 def bm25(chunks: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, id_col, score of all chunks that share a token with a query."""
-    lengths = chunks.select(id_col, F.size(index_tokens(F.col(text_col))).alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    wanted = query_tokens(queries, query_id, query_text)
-    own = postings(chunks, id_col, text_col).join(wanted.select("token").distinct(), "token", "left_semi")
-    df = term_stats(own)
-    hits = own.join(df, "token").join(wanted, "token").join(lengths, id_col).crossJoin(F.broadcast(corpus))
+    rows = written(counted(chunks, id_col, text_col), "term-counts")
+    corpus = rows.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+    wanted = written(query_tokens(queries, query_id, query_text), "query-tokens")
+    terms = small(wanted.select("token").distinct())
+    df = term_stats(rows.select(F.explode("terms.term").alias("token")).join(terms, "token", "left_semi"))
+    asked = written(wanted.join(df, "token").crossJoin(F.broadcast(corpus)), "query-terms")
+    # a chunk's terms stay in its task, so that sums over them need no shuffle
+    each = rows.repartition(id_col).select(id_col, "len", F.explode("terms").alias("t")).select(id_col, "len", F.col("t.term").alias("token"), F.col("t.tf").alias("tf"))
+    hits = each.join(small(asked), "token")
     norm = 1 - b + b * F.greatest(F.col("len"), F.lit(1)) / F.col("avg_len")
     part = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
     return hits.groupBy(query_id, id_col).agg(F.round(F.sum(part), DIGITS).alias("score"))
