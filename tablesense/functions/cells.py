@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,15 +38,41 @@ def cell_dtype(c: Column) -> Column:
     )
 
 
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers; null for days that no month has. It is asked before a date is made: a parser would raise an error for each wrong row."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(month.between(1, 12) & day.between(1, last), F.make_date(year, month, day))
+
+
 def date_value(c: Column) -> Column:
     """The date that a text says: 2020-01-31 (and a time), 1/31/2020, 1/31/20, or with the month's name, whole or short, before the day or after it,
     with or without st, nd, rd, th and commas. Null for other texts and for days that no month has."""
-    t = F.regexp_replace(F.regexp_replace(strip(c.cast("string")), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"[,\s]+|\s+of\s+", " ")
-    named = F.regexp_replace(F.initcap(F.regexp_replace(t, r"(?i)\bof ", "")), r"^(\w{3})[a-z]*\.? (\d{1,2}) ", "$2 $1 ")
-    short = F.regexp_replace(named, r"^(\d{1,2}) (\w{3})[a-z]*\.? (\d{4})$", "$1 $2 $3")
-    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})(?:$|[ T])", 1)
-    said = [("yyyy-MM-dd", iso), ("M/d/yyyy", F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), t)), ("M/d/yy", F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), t)), ("d MMM yyyy", F.when(short.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"), short))]
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(x, F.lit(pattern))) for pattern, x in said])
+    plain = F.regexp_replace(F.regexp_replace(strip(c.cast("string")), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"[,\s]+|\s+of\s+", " ")
+    number = lambda text, pattern, group: F.regexp_extract(text, pattern, group).try_cast("int")
+    month = lambda text, pattern, group: F.array_position(F.array(*map(F.lit, _MONTHS)), F.regexp_extract(text, pattern, group)).cast("int")
+    iso, signs = r"^(\d{4})-(\d{2})-(\d{2})(?:$|[ T])", r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$"
+    before, after = r"^(\w{3})[a-z]*\.? (\d{1,2}) (\d{4})$", r"^(\d{1,2}) (\w{3})[a-z]*\.? (\d{4})$"
+
+    def by_name(t: Column) -> Column:
+        first = F.when(t.rlike(before), _day(number(t, before, 3), month(t, before, 1), number(t, before, 2)))
+        return first.when(t.rlike(after), _day(number(t, after, 3), month(t, after, 2), number(t, after, 1)))
+
+    def said(t: Column) -> Column:
+        year = F.regexp_extract(t, signs, 3)
+        first = F.when(t.rlike(iso), _day(number(t, iso, 1), number(t, iso, 2), number(t, iso, 3)))
+        first = first.when(t.rlike(signs), _day(F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year).try_cast("int"), number(t, signs, 1), number(t, signs, 2)))
+        return first.otherwise(_once(F.initcap(F.regexp_replace(t, r"(?i)\bof ", "")), by_name))
+
+    return _once(plain, said)
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is computed once however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def value_label(c: Column) -> Column:
