@@ -100,6 +100,17 @@ def match_token(c: Column, tolerance: float = 1e-2) -> Column:
     return F.when(c.isNull() | (t == ""), EMPTY).when(value.isNotNull(), F.concat(F.lit("#"), quantum(value, tolerance).cast("string"))).otherwise(F.lower(t))
 
 
+#: Types whose cells are numbers as they are. Floats and decimals aren't: what their text reads as is another double.
+NUMBERS = ("double", "bigint", "int", "smallint", "tinyint")
+
+
+def number_token(c: Column, tolerance: float = 1e-2) -> Column:
+    """``match_token`` of a column of one of the types ``NUMBERS``, without writing it as text and reading that."""
+    x = c.cast("double")
+    odd = F.when(c.isNull(), EMPTY).when(F.isnan(x), "nan").when(x == float("inf"), "infinity").when(x == float("-inf"), "-infinity")
+    return odd.otherwise(F.concat(F.lit("#"), quantum(x, tolerance).cast("string")))
+
+
 def show_token(value: object, tolerance: float = 1e-6) -> str:
     """The token as it is shown: integers without a point, other numbers with up to 12 significant digits."""
     if value is None or (isinstance(value, float) and math.isnan(value)):

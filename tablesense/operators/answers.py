@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesense.functions.cells import EMPTY, is_emptyish, match_token, value_label
+from tablesense.functions.cells import EMPTY, NUMBERS, is_emptyish, match_token, number_token, value_label
 
 
 def _ordinal(df: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def _fingerprint(n: Column, sums: Sequence[Column]) -> Column:
 def _wide_signatures(df: DataFrame, tolerance: float, hashes: Hashes = cell_hashes, counted: Callable[[Column], Column] | None = None) -> DataFrame:
     """One aggregate over the table as it is: nothing but a row per partition is shuffled."""
     places = range(len(df.columns))
-    tokens = _ordinal(df).select(*[match_token(F.col(f"c{i}"), tolerance).alias(f"c{i}") for i in places])
+    token = lambda i: (number_token if df.dtypes[i][1] in NUMBERS else match_token)(F.col(f"c{i}"), tolerance)
+    tokens = _ordinal(df).select(*[token(i).alias(f"c{i}") for i in places])
     if counted:
         tokens = tokens.select(*[F.when(counted(F.col(f"c{i}")), F.col(f"c{i}")).alias(f"c{i}") for i in places])
     parts = [hashes(F.col(f"c{i}")) for i in places]
@@ -103,10 +104,14 @@ def _equal_to_first(spark, tables: Sequence[DataFrame], classes: Mapping[int, li
     wanted = _grouped((place[m][0], (place[m][1], m)) for members in classes.values() for m in members)
     cells = []
     for t, columns in wanted.items():
-        own = _ordinal(tables[t])
-        cell = F.array(*[F.struct(F.lit(m).alias("member"), match_token(F.col(f"c{i}"), tolerance).alias("token")) for i, m in columns])
-        cells.append(own.select(F.explode(cell).alias("c")).select("c.member", "c.token"))
-    counts = reduce(DataFrame.unionByName, cells).groupBy("member", "token").agg(F.count("*").alias("n"))
+        own, types = _ordinal(tables[t]), [kind for _, kind in tables[t].dtypes]
+        value = lambda i, to, fits: (F.col(f"c{i}").cast(to) if fits else F.lit(None).cast(to)).alias(to)
+        cell = F.array(*[F.struct(F.lit(m).alias("member"), value(i, "double", types[i] in NUMBERS), value(i, "string", types[i] not in NUMBERS)) for i, m in columns])
+        cells.append(own.select(F.explode(cell).alias("c")).select("c.*"))
+    # equal values are counted before they become tokens, so that a value becomes one once
+    values = reduce(DataFrame.unionByName, cells).groupBy("member", "double", "string").agg(F.count("*").alias("n"))
+    token = F.when(F.col("double").isNotNull(), number_token(F.col("double"), tolerance)).otherwise(match_token(F.col("string"), tolerance))
+    counts = values.select("member", token.alias("token"), "n").groupBy("member", "token").agg(F.sum("n").alias("n"))
     first_of = spark.createDataFrame([(m, first) for first, members in classes.items() for m in members], "m int, first int")  # a row per column
     counted = counts.join(F.broadcast(first_of), F.col("member") == F.col("m")).select("member", "first", "token", "n")
     own = counted.where("member <> first")

@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from tablesense.functions import cells as C
 from tablesense.functions.cells import date_value
+from tablesense.operators import answers as A
 from tablesense.operators import json_profile as J
 
 
@@ -28,3 +30,24 @@ def test_scalars_are_written_once_at_any_depth(spark, monkeypatch):
     assert len(written) == 3  # five levels a pass
     scalars = J.json_scalars(df, "n", "j")
     assert "SortAggregate" not in scalars.groupBy("path", "class", "shown", "at").agg(F.count("*"), F.min("pos"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_become_tokens_as_their_text_does(spark):
+    odd = [None, 0.0, -0.0, 0.005, 0.015, -2.675, 1e-300, 1e15, 123456.785, float("nan"), float("inf"), float("-inf"), 3.0]
+    df = spark.createDataFrame([(x, None if x is None else i * 10**15 - 7) for i, x in enumerate(odd)], "d double, n long")
+    rows = df.select(*[f(F.col(c)).alias(f"{c}{i}") for c in ("d", "n") for i, f in enumerate((C.match_token, C.number_token))]).collect()
+    assert all(r["d0"] == r["d1"] and r["n0"] == r["n1"] for r in rows)
+
+
+def test_values_are_counted_before_they_become_tokens(spark, monkeypatch):
+    """Regular expressions see each different value once, not each cell."""
+    df = spark.range(4000, numPartitions=2).select((F.col("id") % 5).alias("n"), F.concat((F.col("id") % 5).cast("string"), F.lit(".0 ")).alias("s"), (F.col("id") % 5 / 1.0).alias("x"))
+    plans = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or collect(d))
+    assert [tuple(r) for r in sorted(A.column_classes([df, df.select("x", "n")]).collect())] == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 0, 0), (1, 1, 0)]
+    confirmed = next(p for p in plans if "FullOuter" in p)
+    for line in confirmed.split("\n"):
+        assert "explode" not in line or "rlike" not in line.lower()
+    below = confirmed[confirmed.index("FullOuter"):].split("Generate")[1]
+    assert "bround" not in below.lower() and "rlike" not in below.lower()
