@@ -179,3 +179,13 @@ def test_merge_of_many_with_many_is_dealt_out(spark, monkeypatch):
         assert max(tasks) < sum(tasks) / 4
     monkeypatch.setattr(R, "PAIRS", 10**9)
     assert R.merge(a, b, on=["k"], many=True).count() == R.merge(a, b, on=["k"]).count()
+
+
+def test_frequent_pairs_meet_in_hash_tables_and_rare_ones_apart(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS", 400)
+    a = spark.createDataFrame([(i, 1 if i < 60 else i, "a") for i in range(90)], "i int, k int, v string")
+    b = spark.createDataFrame([(i, 1 if i < 50 else i, "b") for i in range(90)], "j int, k int, v string")
+    dealt = R.merge(a, b, on=["k"], many=True)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, R.merge(a, b, on=["k"]).collect())) and dealt.count() == 60 * 50 + 30
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=shuffle_hash") == 1 and "LeftAnti" in plan
