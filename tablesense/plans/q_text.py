@@ -299,11 +299,10 @@ def rrf_fuse(spark, d):
     return _fused(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-_LONG = f"array_to_string(list_filter({_tokens_sql('text')}, lambda w: length(w) > 9), ' ')"
 _CROSS = f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place, {_tokens_sql("text")} AS l FROM documents), n AS (SELECT count(*) AS n, greatest(avg(len(l)), 1.0) AS avg_len FROM d),
  p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS token FROM d) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
  top AS (SELECT doc_id, max(tf) AS top FROM p GROUP BY 1), w AS (SELECT p.doc_id, p.token, tf, tf / CAST(top AS DOUBLE) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM p JOIN top USING (doc_id) JOIN df ON df.token = p.token, n),
- q0 AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_tokens_sql("question")}) AS token FROM (SELECT item_id, {_LONG} AS question FROM benchmark)) GROUP BY 1, 2),
+ q0 AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_tokens_sql("text")}) AS token FROM benchmark) GROUP BY 1, 2),
  q AS (SELECT item_id, q0.token, tf / CAST(max(tf) OVER (PARTITION BY item_id) AS DOUBLE) * (ln((1 + n) / CAST(1 + coalesce(df, 0) AS DOUBLE)) + 1) AS w, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM q0 LEFT JOIN df ON df.token = q0.token, n),
  dn AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(w * w)) AS s FROM q GROUP BY 1),
  hit AS (SELECT q.item_id, w.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(len(l), 1) / avg_len))) AS bm, sum(q.w * w.w) AS dot FROM q JOIN w ON w.token = q.token JOIN d ON d.doc_id = w.doc_id, n GROUP BY 1, 2),
@@ -315,8 +314,8 @@ _CROSS = f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id)
 
 @query(f"""{_CROSS} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) AS rank FROM f) WHERE rank <= 30""")
 def rrf_full_rankings(spark, d):
-    index, long = _index(spark, d), _questions(spark, d).select("item_id", F.array_join(F.filter(T.index_tokens(F.col("question")), lambda w: F.length(w) > 9), " ").alias("question"))
-    found = I.fused(index, long, "item_id", [I.bm25_scores(index, long, "item_id", "question"), I.tfidf_scores(index, long, "item_id", "question")], R.FIRST_STAGE)
+    index, asked = _index(spark, d), _questions(spark, d)
+    found = I.fused(index, asked, "item_id", [I.bm25_scores(index, asked, "item_id", "question"), I.tfidf_scores(index, asked, "item_id", "question")], R.FIRST_STAGE)
     return found.select("item_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
